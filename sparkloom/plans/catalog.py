@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import evaluation, library, retrieval  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "hybrid_retrieval"
