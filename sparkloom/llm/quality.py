@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,16 @@ from pyspark.sql import functions as F
 
 from .common import crc32_mod
 
-MAX_TRAIN = 20_000
+MAX_TRAIN = 8_000
 THRESHOLD = 0.3
 SEGMENTS = 8
 #: Classes of bytes whose shares are features.
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t\n\r", "stop": b".,;:", "shout": b"!?", "bar": b"|", "sign": b"#$%&*@^~<>=+_/\\{}[]", "quote": b"\"'()-`"}
-CLASS_OF = np.full(256, len(CLASSES), np.int64)
-for _i, _b in enumerate(CLASSES.values()):
-    CLASS_OF[list(_b)] = _i
 N_CLASSES = len(CLASSES) + 1
-N_FEATURES = 3 * N_CLASSES + 16
+#: Every byte's class, as a table for bytes.translate.
+CLASS_OF = bytes(next((i for i, b in enumerate(CLASSES.values()) if v in b), len(CLASSES)) for v in range(256))
+SPACE = list(CLASSES).index("space")
+N_FEATURES = 3 * N_CLASSES + 13
 
 
 def features(text: str | None) -> np.ndarray:
@@ -47,22 +48,23 @@ def features(text: str | None) -> np.ndarray:
     words = raw.split()
     if not words:
         return out
-    kinds = CLASS_OF[np.frombuffer(raw, np.uint8)]
+    kinds = np.frombuffer(raw.translate(CLASS_OF), np.uint8)
     cuts = [len(raw) * i // SEGMENTS for i in range(SEGMENTS + 1)]
-    shares = np.array([np.bincount(kinds[a:b], minlength=N_CLASSES) / max(1, b - a) for a, b in zip(cuts, cuts[1:])])
-    out[:N_CLASSES] = np.bincount(kinds, minlength=N_CLASSES) / len(raw)
+    counted = np.array([np.bincount(kinds[a:b], minlength=N_CLASSES) for a, b in zip(cuts, cuts[1:])])
+    shares = counted / np.maximum(1, np.diff(cuts))[:, None]
+    out[:N_CLASSES] = counted.sum(0) / len(raw)
     out[N_CLASSES : 2 * N_CLASSES] = shares.max(0)
     out[2 * N_CLASSES : 3 * N_CLASSES] = shares.min(0)
     n = len(words)
     counts = Counter(words)
-    lengths = np.fromiter(map(len, words), np.int64, n)
+    gaps = np.flatnonzero(kinds == SPACE)
+    lengths = np.diff(np.concatenate(([-1], gaps, [len(raw)]))) - 1
+    lengths = lengths[lengths > 0]
     lines = raw.split(b"\n")
-    line_counts = Counter(lines)
     out[3 * N_CLASSES :] = (
         np.log1p(n) / 8, np.log1p(len(raw)) / 10, lengths.mean() / 8, lengths.std() / 8, min(lengths.max(), 100) / 50, (lengths <= 3).mean(),
-        len(counts) / n, np.log(len(counts) + 1) / np.log(n + 1), max(counts.values()) / n, sum(c for c in counts.values() if c > 1) / n,
-        sum(a == b for a, b in zip(words, words[1:])) / n, sum(map(bytes.isupper, words)) / n, sum(map(bytes.istitle, words)) / n,
-        sum(map(bytes.isalpha, words)) / n, sum(c - 1 for c in line_counts.values()) / len(lines), np.log1p(n / len(lines)) / 5,
+        len(counts) / n, np.log(len(counts) + 1) / np.log(n + 1), max(counts.values()) / n, sum([c for c in counts.values() if c > 1]) / n,
+        sum(map(eq, words, words[1:])) / n, 1 - len(set(lines)) / len(lines), np.log1p(n / len(lines)) / 5,
     )
     return out
 
@@ -137,12 +139,14 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 150)
     return float(np.clip(ratio.min(), 0.05, 0.98))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 600) -> Network:
-    """Minimise the non-negative risk with the logistic loss; where its second part is negative, step back out of it."""
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 800, batch: int = 1024) -> Network:
+    """Minimise the non-negative risk over batches with the logistic loss; where its second part is negative, step back out of it."""
     net = fresh(positive, unlabelled)
-    zp, zu = net.normed(positive), net.normed(unlabelled)
-    z = np.vstack([zp, zu])
+    rng = np.random.default_rng(6)
+    all_p, all_u = net.normed(positive)[rng.permutation(len(positive))], net.normed(unlabelled)[rng.permutation(len(unlabelled))]
     for r in range(rounds):
+        zp = all_p[(r * batch + np.arange(min(batch, len(all_p)))) % len(all_p)]
+        zu = all_u[(r * batch + np.arange(min(batch, len(all_u)))) % len(all_u)]
         op, ou = net.odds(zp), net.odds(zu)
         negative = np.logaddexp(0, ou).mean() - prior * np.logaddexp(0, op).mean()
         up, uu = -prior * sigmoid(op) / len(op), sigmoid(ou) / len(ou)
@@ -150,7 +154,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: in
             g = np.append(up - prior * sigmoid(-op) / len(op), uu)
         else:
             g = np.append(-up, -uu)
-        net.grad_step(z, g, rate=0.01 if r < rounds * 2 // 3 else 0.002)
+        net.grad_step(np.vstack([zp, zu]), g, rate=0.01 if r < rounds // 2 else 0.002)
     return net
 
 
