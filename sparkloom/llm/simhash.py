@@ -119,13 +119,20 @@ def trees_sampled(bits: int, trees: int, picked: int, seed: int = 7) -> list[np.
 
 
 class Tree:
-    """A vantage-point tree over a sample; its leaves are numbered shards."""
+    """A vantage-point tree over a sample; its leaves are numbered shards.
+
+    Node k has the vantage point ``points[k]`` and the threshold ``mu[k]``; ``near`` and ``far``
+    are its children: another node, or leaf l as -1 - l.
+    """
 
     def __init__(self, sample: np.ndarray, mask: np.ndarray, radius: int, leaf: int):
         self.mask, self.radius, self.leaves = mask, radius, 0
-        self.root = self._grow(sample, max(1, leaf), np.random.default_rng(11))
+        nodes: list[list] = []
+        self.root = self._grow(sample, max(1, leaf), np.random.default_rng(11), nodes)
+        self.points = np.array([n[0] for n in nodes], np.uint64).reshape(len(nodes), sample.shape[1])
+        self.mu, self.near, self.far = (np.array([n[i] for n in nodes], np.int64) for i in (1, 2, 3))
 
-    def _grow(self, points: np.ndarray, leaf: int, rng: np.random.Generator):
+    def _grow(self, points: np.ndarray, leaf: int, rng: np.random.Generator, nodes: list[list]) -> int:
         if len(points) > leaf:
             trial = points[rng.integers(len(points), size=8)]
             spread = [np.std(distance(points, v, self.mask)) for v in trial]
@@ -135,24 +142,27 @@ class Tree:
             mu -= mu >= d.max()
             inside = d <= mu
             if inside.any() and not inside.all():
-                return vantage, mu, self._grow(points[inside], leaf, rng), self._grow(points[~inside], leaf, rng)
+                node = [vantage, mu, 0, 0]
+                nodes.append(node)
+                at = len(nodes) - 1
+                node[2], node[3] = (self._grow(points[side], leaf, rng, nodes) for side in (inside, ~inside))
+                return at
         self.leaves += 1
-        return self.leaves - 1
-
-    def route(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-        """(row numbers, leaf, whether it is the row's own leaf) for every leaf that rows reach."""
-        todo = [(self.root, np.arange(len(points)), np.ones(len(points), bool))]
-        while todo:
-            node, rows, own = todo.pop()
-            if not len(rows):
-                continue
-            if isinstance(node, int):
-                yield rows, node, own
-                continue
-            vantage, mu, near, far = node
-            d = distance(points[rows], vantage, self.mask)
-            for child, inside, reach in ((near, d <= mu, d <= mu + self.radius), (far, d > mu, d > mu - self.radius)):
-                todo.append((child, rows[reach], own[reach] & inside[reach]))
+        return -self.leaves
+
+    def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row numbers, leaf, whether it is the row's own leaf) for every leaf that rows reach, level by level."""
+        rows, at, own = np.arange(len(points)), np.full(len(points), self.root), np.ones(len(points), bool)
+        done = []
+        while len(rows):
+            ended = at < 0
+            done.append((rows[ended], -1 - at[ended], own[ended]))
+            rows, at, own = rows[~ended], at[~ended], own[~ended]
+            d, mu = distance(points[rows], self.points[at], self.mask), self.mu[at]
+            inside = d <= mu
+            steps = [(self.near[at], d <= mu + self.radius, inside), (self.far[at], d > mu - self.radius, ~inside)]
+            rows, at, own = (np.concatenate(x) for x in zip(*((rows[reach], child[reach], own[reach] & mine[reach]) for child, reach, mine in steps)))
+        return tuple(np.concatenate(x) for x in zip(*done)) if done else (rows, at, own)
 
 
 def pairs_within(points: np.ndarray, queries: np.ndarray, limit: int, small: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -201,7 +211,7 @@ def local_links(keys: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]
     return [(i, r) for i in range(len(keys)) if (r := find(i)) != i]
 
 
-def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1) -> DataFrame:
+def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM) -> DataFrame:
     """(a, b): links between the ids ``node`` of distinct fingerprints f0.. that tie all within ``limit``.
 
     ``points`` has one row per fingerprint. Links tie exactly the groups that all pairs
@@ -214,19 +224,20 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
     share = min(1.0, SAMPLE / max(n, 1))
     chosen = points.where((F.pmod(F.xxhash64(*names), F.lit(1_000_003)) < int(share * 1_000_003) + 1)).select(*names).limit(2 * SAMPLE).toPandas()
     sample = chosen.to_numpy(np.int64).view(np.uint64).reshape(-1, words)
-    trees = [Tree(sample, m, radius, int(LEAF_AIM * share)) for m in masks]
+    trees = [Tree(sample, m, radius, int(leaf_aim * share)) for m in masks]
     held = spark.sparkContext.broadcast(trees)
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             fp = np.ascontiguousarray(pdf[names].to_numpy(np.int64)).view(np.uint64)
             for t, tree in enumerate(held.value):
-                for rows, leaf, own in tree.route(fp):
-                    yield pd.DataFrame({"shard": np.int64(t << 32 | leaf), "node": pdf["node"].to_numpy()[rows], "own": own} | {c: pdf[c].to_numpy()[rows] for c in names})
+                rows, leaf, own = tree.route(fp)
+                yield pd.DataFrame({"shard": (t << 32) + leaf.astype(np.int64), "node": pdf["node"].to_numpy()[rows], "own": own} | {c: pdf[c].to_numpy()[rows] for c in names})
 
     columns = "node long, own boolean, " + ", ".join(f"{c} long" for c in names)
-    routed = materialize(points.select("node", *names).mapInPandas(route, f"shard long, {columns}"), "shards")
-    counted = routed.groupBy("shard").agg(F.ceil(F.count("*") / LEAF_ROWS).cast("int").alias("chunks")).where("chunks > 1")
+    # Routing is cheaper than keeping a copy of every fingerprint for each tree, so it runs twice.
+    routed = points.select("node", *names).mapInPandas(route, f"shard long, {columns}")
+    counted = materialize(routed.groupBy("shard").agg(F.ceil(F.count("*") / LEAF_ROWS).cast("int").alias("chunks")).where("chunks > 1"), "large")
     # Shards beyond LEAF_ROWS go in pairs of chunks (i <= j); there are at most rows / LEAF_ROWS of them.
     chunk = F.pmod(F.xxhash64("node"), "chunks").cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
@@ -265,7 +276,7 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
     return sorted_parts.mapInPandas(search, "a long, b long").distinct()
 
 
-def groups(prints: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1) -> DataFrame:
+def groups(prints: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM) -> DataFrame:
     """``prints`` (doc_id, f0..) with component_id: the smallest doc_id that links reach.
 
     A null doc_id takes part in links but is never the smallest unless it stands alone.
@@ -276,7 +287,7 @@ def groups(prints: DataFrame, limit: int, masks: list[np.ndarray], radius: int,
     points = prints.groupBy(*names).agg(F.min("doc_id").alias("least"))
     points = points.withColumn("node", F.coalesce("least", F.shiftright(F.xxhash64(*names), 2) - (1 << 62)))
     points = materialize(points, "points")
-    tied = components(near_links(points, limit, masks, radius, words))
+    tied = components(near_links(points, limit, masks, radius, words, leaf_aim))
     real = F.when(F.col("node") == F.coalesce("least", F.col("node") + 1), F.col("least"))
     named = points.join(tied, "node", "left").withColumn("root", F.coalesce("component", "node")).withColumn("real", real)
     best = named.groupBy("root").agg(F.min("real").alias("component_id"))
@@ -292,8 +303,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-#: The stage: fingerprints of 512 bits over five-word shingles; trees that look at 16 bits each.
-STAGE_WORDS, STAGE_TREES, STAGE_BITS, STAGE_SHINGLE = 8, 48, 16, 5
+#: The stage: fingerprints of 256 bits over five-word shingles; trees that look at 16 bits each, with small leaves.
+STAGE_WORDS, STAGE_TREES, STAGE_BITS, STAGE_SHINGLE, STAGE_LEAF = 4, 48, 16, 5, 128
 
 
 def bits_for(similarity: float, words: int) -> int:
@@ -309,6 +320,6 @@ def kept_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     cases, at 0.85 in 99.6. Rows with a null id stay; rows that repeat an id stay together.
     """
     prints = fingerprints(docs, id_col, text_col, STAGE_SHINGLE, words)
-    found = groups(prints.where("doc_id is not null"), bits_for(similarity, words), trees_sampled(64 * words, trees, picked), 0, words)
+    found = groups(prints.where("doc_id is not null"), bits_for(similarity, words), trees_sampled(64 * words, trees, picked), 0, words, STAGE_LEAF)
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti")
