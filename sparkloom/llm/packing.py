@@ -35,7 +35,7 @@ END_ID = 2
 #: Tails that are balanced together, and the longest run of a tail that stays in one piece.
 TAILS, LONGEST_PIECE = 1024, 512
 #: Distinct words whose ids a worker keeps; beyond that the table starts anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -58,6 +58,7 @@ class WordTokenizer:
 
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     LATIN = re.compile(r"[\t-\r \x21-\x7e\xa1-\u024f]+")
+    CONTROLS = bytes([*range(9), *range(14, 32), 127])
     BYTES = byte_letters()
 
     def __init__(self, path: str):
@@ -69,34 +70,45 @@ class WordTokenizer:
         self.parts_model = Tokenizer(self.model.model)
         self.parts_model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         mark = next(c for c in "\u2764\u2728\u2022\u20ac" if len(self.encode(c)) == 1)  # outside LATIN, so in no part
         self.mark, self.mark_id = "".join(self.BYTES[b] for b in mark.encode()), self.encode(mark)[0]
 
     def encode(self, text: str) -> list[int]:
         return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def latin(self, text: str) -> bool:
+        if text.isascii():  # the same test, by a faster way
+            raw = text.encode()
+            return len(raw.translate(None, self.CONTROLS)) == len(raw)
+        return self.LATIN.fullmatch(text) is not None
+
+    def normal(self, text: str) -> str:
+        return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+
     def split(self, text: str) -> list[str]:
-        """The runs of a text; in a Latin text they are normalised at once, all others are left as they are."""
-        if text.isascii() or self.LATIN.fullmatch(text):
-            return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
-        return [w.decode() for w in text.encode("utf-8", "replace").split()]
+        """The runs of a text, Latin ones in their normal form, all others as they are."""
+        if self.latin(text):
+            return self.normal(text).split()
+        runs = [w.decode() for w in text.encode("utf-8", "replace").split()]
+        return [self.normal(w) if self.latin(w) else w for w in runs]
 
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.known)
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known.clear()
-            self.parts.clear()
             new = words
-        known, parts = self.known, self.parts
+        known = self.known
         cut: dict[str, list[str]] = {}
+        fresh: list[str] = []  # parts are runs too: one table serves both
         for w in new:
-            if not w.isascii() and not self.LATIN.fullmatch(w):
+            if w.isalpha() and (w.isascii() or self.LATIN.fullmatch(w)):
+                fresh.append(w)
+            elif self.latin(w):
+                cut[w] = self.PARTS.findall(w)
+            else:
                 known[w] = np.array(self.encode(w), "<u4").tobytes()
-                continue
-            low = (w if w.isascii() else unicodedata.normalize("NFC", w)).lower()
-            cut[w] = [low] if low.isalpha() else self.PARTS.findall(low)
-        fresh = list({p for ps in cut.values() for p in ps}.difference(parts))
+        fresh += {p for ps in cut.values() for p in ps}.difference(known, new)
+        fresh += {w for w, ps in cut.items() if ps == [w]}
         for i in range(0, len(fresh), 500):
             some = fresh[i : i + 500]
             spelled = [p if p.isascii() else "".join([self.BYTES[b] for b in p.encode()]) for p in some]
@@ -104,18 +116,18 @@ class WordTokenizer:
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
             raw, start = ids.tobytes(), 0
             for p, e in zip(some, ends, strict=True):
-                parts[p] = raw[4 * start : 4 * e]
+                known[p] = raw[4 * start : 4 * e]
                 start = e + 1
         for w, ps in cut.items():
-            known[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
+            known[w] = b"".join([known[p] for p in ps])
 
     def texts(self, texts: list[str | None], at_once: int = 64) -> Iterator[bytes]:
         for i in range(0, len(texts), at_once):
             split = [self.split(t or "") for t in texts[i : i + at_once]]
             self.learn(set().union(*split))
-            known = self.known
+            get = self.known.__getitem__
             for words in split:
-                yield b"".join([known[w] for w in words])
+                yield b"".join(map(get, words))
 
 
 def differencing(sizes: list[int], windows: int) -> list[int]:
