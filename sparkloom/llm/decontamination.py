@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WINDOW = 13
 SHARE = 20
 #: Windows of the benchmark up to which their hash set is broadcast (some 100 bytes each).
@@ -73,7 +75,7 @@ def hit_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", tex
 def judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words)."""
     windows = test_windows(benchmark, window)
-    hits = hit_windows(docs, windows, id_col, text_col).distinct()
+    hits = materialize(hit_windows(docs, windows, id_col, text_col).distinct(), "hits")  # read twice below
     before = Window.partitionBy("doc_id").orderBy("at", "n").rowsBetween(Window.unboundedPreceding, -1)
     ends = hits.select("doc_id", "at", "n").distinct().withColumn("covered", F.coalesce(F.max(F.col("at") + F.col("n")).over(before), F.lit(0)))
     new = F.greatest(F.lit(0), F.col("at") + F.col("n") - F.greatest("at", "covered"))
