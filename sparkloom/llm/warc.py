@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import fresh_dir, materialize
 
 SPLIT_BYTES = 8 << 20
+#: Tasks of a read at most; beyond that a task reads several ranges.
+MOST_TASKS = 100_000
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -162,7 +164,9 @@ def read_warc(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
     schema = "record_id string, record_type string, uri string, payload_digest string, payload_bytes long, refers_to string" + ", payload binary" * with_payload
     splits = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    dealt = splits.repartition(F.col("path"), F.col("start"))
+    # A given number of tasks: by size alone AQE would put these tiny rows, which stand for much reading, into one.
+    tasks = manifest.where("bytes > 0").agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    dealt = splits.repartition(min(int(tasks), MOST_TASKS), F.col("path"), F.col("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

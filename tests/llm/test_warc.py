@@ -51,7 +51,8 @@ def pages(spark):
 
 
 @pytest.mark.parametrize("split", [64, 997, 8 << 20])
-def test_every_split_size_reads_every_record_once(spark, pages, split):
+def test_every_split_size_reads_every_record_once(spark, pages, split, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_TASKS", 4)
     rows, df = pages
     manifest = warc.write_warc(df, fresh_dir(spark, "warc"))
     back = warc.read_warc(spark, manifest, split).collect()
