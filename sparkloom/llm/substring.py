@@ -25,6 +25,7 @@ repeat id and text share one result; an empty table gives none.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,18 +105,25 @@ class Fenwick:
         return out
 
 
-def chains_of(y: np.ndarray, x: np.ndarray, k: int = K) -> list[list[tuple[int, int, int]]]:
-    """Chains of diagonal runs (y, x, words) from matches at words y of a text and x of an earlier one."""
+def diagonal_runs(y: np.ndarray, x: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
+    """(y, x, words) of matches that follow one another on a diagonal."""
     order = np.lexsort((y, y - x))
     y, x = y[order], x[order]
     new = np.flatnonzero((np.diff(y - x) != 0) | (np.diff(y) > WINDOW + K)) + 1
     lo, hi = np.append(0, new), np.append(new, len(y)) - 1
-    runs = sorted(zip(y[lo].tolist(), x[lo].tolist(), (y[hi] - y[lo] + k).tolist()))
-    if len(runs) == 1:
-        return [runs]
+    return sorted(zip(y[lo].tolist(), x[lo].tolist(), (y[hi] - y[lo] + k).tolist()))
+
+
+def best_chains(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Chains of runs in order in both texts, the best first; each run is in one chain.
+
+    A chain's score is its words less GAP_COST for every word of gap on either side, so that the
+    best chain before a run is the maximum, over runs that end before it in the other text, of
+    score + GAP_COST * (both ends): a prefix maximum in a Fenwick tree.
+    """
     ends = sorted(range(len(runs)), key=lambda i: runs[i][0] + runs[i][2])
-    ranks = {v: i for i, v in enumerate(sorted({r[1] + r[2] for r in runs}))}
-    x_ends = np.array(list(ranks))
+    x_ends = sorted({r[1] + r[2] for r in runs})
+    ranks = {v: i for i, v in enumerate(x_ends)}
     tree, score, back, done = Fenwick(len(ranks)), [0.0] * len(runs), [-1] * len(runs), 0
     for i, (yi, xi, n) in enumerate(runs):
         while done < len(ends) and runs[ends[done]][0] + runs[ends[done]][2] <= yi:
@@ -123,12 +131,9 @@ def chains_of(y: np.ndarray, x: np.ndarray, k: int = K) -> list[list[tuple[int,
             y_end, x_end = runs[j][0] + runs[j][2], runs[j][1] + runs[j][2]
             tree.put(ranks[x_end], score[j] + GAP_COST * (y_end + x_end), j)
             done += 1
-        best, j = tree.get(int(np.searchsorted(x_ends, xi, "right")))
+        best, j = tree.get(bisect_right(x_ends, xi))
         gain = best - GAP_COST * (yi + xi) if j >= 0 else 0.0
-        if gain > 0 and yi - runs[j][0] - runs[j][2] <= MAX_GAP and xi - runs[j][1] - runs[j][2] <= MAX_GAP:
-            score[i], back[i] = n + gain, j
-        else:
-            score[i] = float(n)
+        score[i], back[i] = (n + gain, j) if gain > 0 else (float(n), -1)
     used, out = [False] * len(runs), []
     for i in sorted(range(len(runs)), key=lambda i: -score[i]):
         chain = []
@@ -141,15 +146,38 @@ def chains_of(y: np.ndarray, x: np.ndarray, k: int = K) -> list[list[tuple[int,
     return out
 
 
+def chains_of(y: np.ndarray, x: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """Chains from matches at words y of a text and x of an earlier one, cut where a gap exceeds MAX_GAP words."""
+    runs = diagonal_runs(y, x)
+    if len(runs) == 1:
+        return [runs]
+    out = []
+    for chain in best_chains(runs):
+        part = [chain[0]]
+        for a, b in zip(chain, chain[1:]):
+            if max(b[0] - a[0] - a[2], b[1] - a[1] - a[2]) > MAX_GAP:
+                out.append(part)
+                part = []
+            part.append(b)
+        out.append(part)
+    return out
+
+
 def long_enough(chains: list[tuple[int, list]]) -> list[tuple[int, list]]:
-    """Of a document's (earlier document, chain) pairs those that can be part of a repeat of MIN_WORDS words."""
+    """Of a document's (earlier document, chain) pairs those that can be part of a repeat of MIN_WORDS words.
+
+    Beyond its outer seeds an exact match has at most WINDOW - 1 words on either side, else
+    there were another seed. A chain that so stays short is kept only where a chain with
+    another earlier document is in reach, as both may be parts of one repeat.
+    """
     reach = sorted((c[0][0] - PAD, c[-1][0] + c[-1][2] + PAD, i) for i, (_, c) in enumerate(chains))
     kept, group, end = [], [], -1
 
     def close() -> None:
-        # Any MIN_WORDS exact words hold two seeds; one seed alone is a shared phrase.
-        if sum(1 + (r[2] > K) for _, _, i in group for r in chains[i][1]) > 1:
-            kept.extend(chains[i] for _, _, i in group)
+        several = len({chains[i][0] for _, _, i in group}) > 1
+        for a, b, i in group:
+            if several or b - a - 2 * PAD + 2 * (WINDOW - 1) >= MIN_WORDS:
+                kept.append(chains[i])
 
     for a, b, i in reach:
         if a > end and group:
@@ -298,7 +326,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         texts = texts.join(again.select("doc"), "doc", "left_anti").unionByName(once)
     found = materialize(seeds(texts), "seeds")
     firsts = found.groupBy("seed").agg(F.min("doc").alias("of"), F.max("doc").alias("last"), F.min_by("at", F.when(F.col("first"), F.col("doc"))).alias("of_at"))
-    matches = found.join(firsts.where("of <> last").select("seed", "of", "of_at"), "seed").where("doc <> of").select("doc", "at", "of", "of_at")
+    # Written, so that the join meets two plain exchanges and AQE can split a hot seed.
+    shared = materialize(firsts.where("of <> last").select("seed", "of", "of_at"), "firsts")
+    matches = found.join(shared, "seed").where("doc <> of").select("doc", "at", "of", "of_at")
     chains = materialize(chain(matches), "chains")
     requests = chains.select("doc", F.col("y0").alias("s"), F.col("y1").alias("e")).unionByName(chains.select(F.col("of").alias("doc"), F.col("x0").alias("s"), F.col("x1").alias("e"))).distinct()
     parts = materialize(segments(texts, requests), "segments")
