@@ -7,8 +7,10 @@ that document keeps its text), never to all others: matches grow with the text,
 size of a group. A document's matches with one earlier document are merged to diagonal
 runs and chained in order, gaps costing in proportion to their length, with a Fenwick tree
 that keeps the best chain ending at or before a position. Chains are then aligned word by word:
-extended at both ends, over single edits too, and their gaps compared. Aligned
-passages at IDENTITY or more are united per document; unions of MIN_WORDS words or more are
+extended at both ends, over single edits too, and each gap is compared by itself: where
+more than GAP_EDITS words differ and the gap is below IDENTITY the chain is split, so that
+words between two passages are never cut and an exact run never falls with its neighbours.
+Passages at IDENTITY or more are united per document; unions of MIN_WORDS words or more are
 repeats.
 
 Scale: seeds (a tenth of the words) are shuffled twice, texts once, to cut the requested
@@ -41,6 +43,8 @@ K, WINDOW = 10, 20
 MIN_WORDS, IDENTITY = 50, 0.8
 #: Words between two parts of a chain, what a word of gap costs, and words fetched beyond a chain's ends.
 MAX_GAP, GAP_COST, PAD = 60, 0.05, WINDOW + K + 10
+#: Differing words that a passage may hold in one gap, and the shortest block of equal words on a run's diagonal.
+GAP_EDITS, LEAST_BLOCK = 5, 3
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -260,40 +264,109 @@ def common(a: list, b: list) -> int:
     return row[-1]
 
 
-def extended(a: list, b: list, i: int, j: int, step: int) -> tuple[int, int, int]:
-    """From words i and j on, in steps of +1 or -1: (words of a, words of b, matches) of the extension, over single edits."""
-    at_a = at_b = same = 0
-
-    def equal(p: int, q: int) -> bool:
-        p, q = i + step * p, j + step * q
-        return 0 <= p < len(a) and 0 <= q < len(b) and a[p] == b[q]
-
+def grown(a: list, b: list) -> list[tuple[int, int, int]]:
+    """Blocks (place in a, place in b, words) of equal words from the beginning of both lists on, over single edits."""
+    out, i, j = [], 0, 0
     while True:
-        while equal(at_a, at_b):
-            at_a, at_b, same = at_a + 1, at_b + 1, same + 1
+        n = equal_words(a, b, i, j)
+        if n:
+            out.append((i, j, n))
+        i, j = i + n, j + n
         for da, db in ((1, 1), (1, 0), (0, 1), (2, 2)):
-            if all(equal(at_a + da + t, at_b + db + t) for t in range(4)):
-                at_a, at_b = at_a + da, at_b + db
+            if i + da + 4 <= len(a) and a[i + da : i + da + 4] == b[j + db : j + db + 4]:
+                i, j = i + da, j + db
                 break
         else:
-            return at_a, at_b, same
+            return out
+
+
+def equal_words(a: list, b: list, i: int, j: int) -> int:
+    """Length of the run of equal words that begins at a[i] and b[j]."""
+    n, most = 0, min(len(a) - i, len(b) - j)
+    while n < most and a[i + n] == b[j + n]:
+        n += 1
+    return n
 
 
-def aligned(a: list, b: list, runs: list[tuple[int, int, int]]) -> tuple[int, int, int, int, float]:
-    """(start, end) in a, (start, end) in b and the identity of a chain's alignment."""
-    y, x, _ = runs[0]
-    left_a, left_b, same = extended(a, b, y - 1, x - 1, -1)
-    end_a, end_b = y, x
+def grown_back(a: list, b: list) -> list[tuple[int, int, int]]:
+    """As ``grown``, from the ends of both lists towards their beginnings."""
+    return [(len(a) - i - n, len(b) - j - n, n) for i, j, n in grown(a[::-1], b[::-1])][::-1]
+
+
+def exact_blocks(a: list, b: list, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The blocks of equal words of a chain's runs, each as long as the texts allow."""
+    out: list[tuple[int, int, int]] = []
     for p, q, n in runs:
-        same += common(a[end_a:p], b[end_b:q]) + sum(map(lambda v, w: v == w, a[p : p + n], b[q : q + n]))
-        end_a, end_b = p + n, q + n
-    right_a, right_b, more = extended(a, b, end_a, end_b, 1)
-    start_a, start_b, end_a, end_b = y - left_a, x - left_b, end_a + right_a, end_b + right_b
-    return start_a, end_a, start_b, end_b, (same + more) / max(end_a - start_a, end_b - start_b)
+        if out and out[-1][0] - out[-1][1] == p - q and p + n <= out[-1][0] + out[-1][2]:
+            continue
+        while p and q and a[p - 1] == b[q - 1]:
+            p, q, n = p - 1, q - 1, n + 1
+        n += equal_words(a, b, p + n, q + n)
+        if a[p : p + n] == b[q : q + n]:
+            out.append((p, q, n))
+            continue
+        t = 0
+        while t < n:
+            k = equal_words(a, b, p + t, q + t)
+            if k >= LEAST_BLOCK:
+                out.append((p + t, q + t, k))
+            t += k + 1
+    return out
+
+
+def aligned(a: list, b: list, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
+    """(start, end) in a, (start, end) in b and the identity of each passage of a chain.
+
+    A chain is split at every gap of over GAP_EDITS differing words whose own identity is below
+    IDENTITY, then at the gap of most differing words while a passage as a whole is below it. A
+    passage of one block has no gap, so that no exact run is lost to its neighbours.
+    """
+    found = exact_blocks(a, b, runs)
+    if not found:
+        return []
+    (p, q, _), (y, x, n) = found[0], found[-1]
+    blocks = grown_back(a[:p], b[:q])
+    for p, q, m in found:
+        if blocks:
+            i, j = blocks[-1][0] + blocks[-1][2], blocks[-1][1] + blocks[-1][2]
+            if p - i > GAP_EDITS and q - j > GAP_EDITS:
+                ahead = [(i + u, j + v, w) for u, v, w in grown(a[i:p], b[j:q])]
+                if ahead:
+                    blocks += ahead
+                    i, j = ahead[-1][0] + ahead[-1][2], ahead[-1][1] + ahead[-1][2]
+                blocks += [(i + u, j + v, w) for u, v, w in grown_back(a[i:p], b[j:q])]
+        blocks.append((p, q, m))
+    blocks += [(y + n + u, x + n + v, w) for u, v, w in grown(a[y + n :], b[x + n :])]
+    # Of each block but the first: words that the block before holds in either text, equal and differing words between.
+    links = []
+    for (p, q, m), (y, x, n) in zip(blocks, blocks[1:]):
+        over = max(p + m - y, q + m - x, 0)
+        between = a[p + m : y + over], b[q + m : x + over]
+        same = common(*between)
+        links.append((over, same, max(map(len, between)) - same))
+    todo, out = [(0, len(blocks))], []
+    while todo:
+        lo, hi = todo.pop()
+        inner = range(lo, hi - 1)
+        worst = max(inner, key=lambda k: links[k][2], default=lo)
+        bad = [k for k in inner if links[k][2] > GAP_EDITS and links[k][1] < IDENTITY * (links[k][1] + links[k][2])]
+        if bad:
+            worst = max(bad, key=lambda k: links[k][2])
+        else:
+            some = blocks[lo:hi]
+            ends = max(p + n for p, _, n in some), max(q + n for _, q, n in some)
+            starts = min(p for p, _, _ in some), min(q for _, q, _ in some)
+            same = some[0][2] + sum(links[k][1] + max(0, blocks[k + 1][2] - links[k][0]) for k in inner)
+            identity = same / max(ends[0] - starts[0], ends[1] - starts[1])
+            if identity >= IDENTITY or hi - lo == 1:
+                out.append((starts[0], ends[0], starts[1], ends[1], identity))
+                continue
+        todo += [(worst + 1, hi), (lo, worst + 1)]
+    return out
 
 
 def align(chains: DataFrame, parts: DataFrame) -> DataFrame:
-    """(doc, start, stop, of, of_start, of_stop, identity) of every chain."""
+    """(doc, start, stop, of, of_start, of_stop, identity) of every chain's passages."""
     mine = parts.select("doc", F.col("s").alias("y0"), F.col("e").alias("y1"), F.col("words").alias("a"))
     theirs = parts.select(F.col("doc").alias("of"), F.col("s").alias("x0"), F.col("e").alias("x1"), F.col("words").alias("b"))
     both = chains.join(mine, ["doc", "y0", "y1"]).join(theirs, ["of", "x0", "x1"]).select("doc", "y0", "of", "x0", "runs", "a", "b")
@@ -303,8 +376,7 @@ def align(chains: DataFrame, parts: DataFrame) -> DataFrame:
             rows = []
             for doc, y0, of, x0, runs, a, b in pdf.itertuples(index=False):
                 triples = [tuple(int(v) for v in runs[i : i + 3]) for i in range(0, len(runs), 3)]
-                s, e, t, u, same = aligned(a.split(b" "), b.split(b" "), triples)
-                rows.append((doc, y0 + s, y0 + e, of, x0 + t, x0 + u, same))
+                rows += [(doc, y0 + s, y0 + e, of, x0 + t, x0 + u, same) for s, e, t, u, same in aligned(a.split(b" "), b.split(b" "), triples)]
             yield pd.DataFrame(rows, columns=["doc", "start", "stop", "of", "of_start", "of_stop", "identity"])
 
     return both.mapInPandas(run, "doc long, start int, stop int, of long, of_start int, of_stop int, identity double")

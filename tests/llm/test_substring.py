@@ -107,3 +107,26 @@ def test_chains_are_optimal():
             before = [best[q] + [r] for q in best if q[0] + q[2] <= r[0] and q[1] + q[2] <= r[1]]
             best[r] = max([[r], *before], key=score)
         assert abs(score(chains[0]) - max(map(score, best.values()))) < 1e-9
+
+
+def test_passages_near_one_another_are_judged_apart(documents):
+    """Exact passages with 25 to 60 other words between them are found whole, the words between never."""
+    rng = random.Random(21)
+    docs, want = {}, {}
+    cases = [(n, gap, m) for n, m in ((55, 55), (60, 10), (200, 200), (50, 90)) for gap in (25, 40, 50, 60)]
+    for i, (n, gap, m) in enumerate(cases):
+        first, second = text_of(rng, n), text_of(rng, m)
+        docs[i] = text_of(rng, 30) + first + text_of(rng, gap) + second + text_of(rng, 30)
+        docs[1000 + i] = text_of(rng, 20) + first + text_of(rng, gap) + second + text_of(rng, 20)
+        want[1000 + i] = [f"20-{20 + n}", f"{20 + n + gap}-{20 + n + gap + m}"][: 1 if m < 50 else 2]
+    got = {r.doc_id: r.spans for r in substring.duplicated_words(documents([(i, " ".join(w)) for i, w in docs.items()])).collect()}
+    assert {i: s for i, s in got.items() if s} == want
+
+
+def test_a_replaced_phrase_stays_within_its_passage():
+    rng = random.Random(22)
+    passage = text_of(rng, 100)
+    for edit, parts in ((3, 1), (5, 1), (6, 2), (30, 2)):
+        a = passage[:50] + text_of(rng, edit) + passage[50 + edit :] if edit < 10 else passage[:50] + text_of(rng, edit) + passage[50:]
+        found = substring.aligned(a, passage, [(0, 0, 10), (len(a) - 10, 90, 10)])
+        assert len(found) == parts and found[0][0] == 0 and found[-1][1] == len(a)
