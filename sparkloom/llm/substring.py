@@ -167,33 +167,6 @@ def chains_of(y: np.ndarray, x: np.ndarray) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def long_enough(chains: list[tuple[int, list]]) -> list[tuple[int, list]]:
-    """Of a document's (earlier document, chain) pairs those that can be part of a repeat of MIN_WORDS words.
-
-    Beyond its outer seeds an exact match has at most WINDOW - 1 words on either side, else
-    there were another seed. A chain that so stays short is kept only where a chain with
-    another earlier document is in reach, as both may be parts of one repeat.
-    """
-    reach = sorted((c[0][0] - PAD, c[-1][0] + c[-1][2] + PAD, i) for i, (_, c) in enumerate(chains))
-    kept, group, end = [], [], -1
-
-    def close() -> None:
-        several = len({chains[i][0] for _, _, i in group}) > 1
-        for a, b, i in group:
-            if several or b - a - 2 * PAD + 2 * (WINDOW - 1) >= MIN_WORDS:
-                kept.append(chains[i])
-
-    for a, b, i in reach:
-        if a > end and group:
-            close()
-            group = []
-        group.append((a, b, i))
-        end = max(end, b)
-    if group:
-        close()
-    return kept
-
-
 def chain(matches: DataFrame) -> DataFrame:
     """(doc, y0, y1, of, x0, x1, runs): chains of every document; y0..x1 are the word ranges to fetch."""
 
@@ -206,7 +179,7 @@ def chain(matches: DataFrame) -> DataFrame:
             rows, mine = [], []
 
             def close(d: int) -> None:
-                for o, c in long_enough(mine):
+                for o, c in mine:
                     y0, x0 = max(0, c[0][0] - PAD), max(0, c[0][1] - PAD)
                     y1, x1 = c[-1][0] + c[-1][2] + PAD, c[-1][1] + c[-1][2] + PAD
                     rows.append((d, y0, y1, o, x0, x1, [v for y, x, n in c for v in (y - y0, x - x0, n)]))

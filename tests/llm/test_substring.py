@@ -130,3 +130,38 @@ def test_a_replaced_phrase_stays_within_its_passage():
         a = passage[:50] + text_of(rng, edit) + passage[50 + edit :] if edit < 10 else passage[:50] + text_of(rng, edit) + passage[50:]
         found = substring.aligned(a, passage, [(0, 0, 10), (len(a) - 10, 90, 10)])
         assert len(found) == parts and found[0][0] == 0 and found[-1][1] == len(a)
+
+
+def seed_places(words):
+    return [int(v) for v in substring.seeds_of(" ".join(words))[1]]
+
+
+def test_a_passage_with_one_seed_left_is_found(documents):
+    """Edits at every fifth word but in the middle leave a single seed: extension runs over them, on either side of it."""
+    rng = random.Random(31)
+    docs, want, at = {}, {}, 0
+    while len(want) < 12:
+        passage = text_of(rng, 59)
+        edited = ["edit" if i % 5 == 4 and not 25 <= i < 28 + substring.K else w for i, w in enumerate(passage)]
+        earlier, later = text_of(rng, 25) + passage + text_of(rng, 25), text_of(rng, 25) + edited + text_of(rng, 25)
+        shared = {tuple(earlier[v : v + substring.K]) for v in seed_places(earlier)} & {tuple(later[v : v + substring.K]) for v in seed_places(later)}
+        if len(shared) == 1:
+            docs[at], docs[1000 + at], want[1000 + at] = earlier, later, ["25-84"]
+            at += 1
+    got = {r.doc_id: r.spans for r in substring.duplicated_words(documents([(i, " ".join(w)) for i, w in docs.items()])).collect()}
+    assert {i: s for i, s in got.items() if s} == want
+
+
+def test_seeds_that_stand_earlier_in_the_same_document(documents):
+    """An exact passage of 50 words, all but one of whose seeds the earlier document holds on lines before it."""
+    rng = random.Random(32)
+    docs, want = {}, {}
+    for at in range(12):
+        passage = text_of(rng, 50)
+        later = text_of(rng, 40) + passage + text_of(rng, 40)
+        inside = [v - 40 for v in seed_places(later) if 40 <= v <= 90 - substring.K]
+        lines = [passage[v : v + substring.K] + text_of(rng, 90) for k, v in enumerate(inside) if k != at % len(inside)]
+        docs[at] = sum(lines, text_of(rng, 30)) + passage + text_of(rng, 40)
+        docs[1000 + at], want[1000 + at] = later, ["40-90"]
+    got = {r.doc_id: r.spans for r in substring.duplicated_words(documents([(i, " ".join(w)) for i, w in docs.items()])).collect()}
+    assert {i: s for i, s in got.items() if s} == want
