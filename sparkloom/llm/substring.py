@@ -1,8 +1,8 @@
 """Operator 8, substring dedup: fuzzy passages by collinear chaining of k-mer seeds.
 
 Seeds: of every ``WINDOW`` neighbouring runs of ``K`` words the one with the smallest hash,
-so that an exact repeat of WINDOW + K - 1 words always shares a seed, and one of
-MIN_WORDS words two. Each seed is joined to its first occurrence only (the smallest doc_id;
+so that an exact run of WINDOW + K - 1 = 9 words always has a seed in common: a copy with an edit
+at every tenth word, or at fewer, is always a candidate. README gives recall by identity. Each seed is joined to its first occurrence only (the smallest doc_id;
 that document keeps its text), never to all others: matches grow with the text, whatever the
 size of a group. A document's matches with one earlier document are merged to diagonal
 runs and chained in order, gaps costing in proportion to their length, with a Fenwick tree
@@ -13,7 +13,7 @@ words between two passages are never cut and an exact run never falls with its n
 Passages at IDENTITY or more are united per document; unions of MIN_WORDS words or more are
 repeats.
 
-Scale: seeds (a tenth of the words) are shuffled twice, texts once, to cut the requested
+Scale: seeds (a third of the words) are shuffled twice, texts once, to cut the requested
 segments. First occurrences come from a partial aggregate and hot seeds are skewed join keys,
 which AQE splits. A task chains one document at a time; segments that many chains ask
 for are cut once.
@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 
 from .common import ascii_words, materialize
 
-K, WINDOW = 10, 20
+K, WINDOW = 5, 5
 MIN_WORDS, IDENTITY = 50, 0.8
 #: Words between two parts of a chain, what a word of gap costs, and words fetched beyond a chain's ends.
-MAX_GAP, GAP_COST, PAD = 60, 0.05, WINDOW + K + 10
+MAX_GAP, GAP_COST, PAD = 60, 0.05, MIN_WORDS - K
 #: Differing words that a passage may hold in one gap, and the shortest block of equal words on a run's diagonal.
 GAP_EDITS, LEAST_BLOCK = 5, 3
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -382,14 +382,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def united(passages: DataFrame) -> DataFrame:
-    """Passages of unions of MIN_WORDS words or more."""
-    order = Window.partitionBy("doc").orderBy("start", "stop", "of", "of_start")
+    """Passages of unions of MIN_WORDS words or more, without those that lie within another passage of the document."""
+    order = Window.partitionBy("doc").orderBy("start", F.desc("stop"), "of", "of_start")
     before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = passages.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1))
+    outer = passages.withColumn("before", before).where("before is null or before < stop")
+    opened = outer.withColumn("new", F.when(F.col("before") >= F.col("start"), 0).otherwise(1))
     numbered = opened.withColumn("part", F.sum("new").over(order))
     whole = Window.partitionBy("doc", "part")
     length = F.max("stop").over(whole) - F.min("start").over(whole)
-    return numbered.withColumn("length", length).where(F.col("length") >= MIN_WORDS).drop("new", "part", "length")
+    return numbered.withColumn("length", length).where(F.col("length") >= MIN_WORDS).drop("before", "new", "part", "length")
 
 
 def spans(passages: DataFrame) -> DataFrame:

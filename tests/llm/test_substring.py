@@ -165,3 +165,18 @@ def test_seeds_that_stand_earlier_in_the_same_document(documents):
         docs[1000 + at], want[1000 + at] = later, ["40-90"]
     got = {r.doc_id: r.spans for r in substring.duplicated_words(documents([(i, " ".join(w)) for i, w in docs.items()])).collect()}
     assert {i: s for i, s in got.items() if s} == want
+
+
+def test_copies_with_an_edit_at_every_tenth_word(documents):
+    """Nine equal words in a row are sure of a seed: substituted, dropped and added words, whatever the length."""
+    rng = random.Random(33)
+    docs, want = {}, {}
+    for at in range(24):
+        n = (60, 100, 300)[at % 3]
+        passage = text_of(rng, n - 1)
+        kinds = [["edit"], [], None][at // 3 % 3]
+        edited = [v for i, w in enumerate(passage) for v in ([w] if i % 10 != 9 else [w, "edit"] if kinds is None else kinds)]
+        docs[at], docs[1000 + at] = text_of(rng, 25) + passage + text_of(rng, 25), text_of(rng, 25) + edited + text_of(rng, 25)
+        want[1000 + at] = [f"25-{25 + len(edited)}"]
+    got = {r.doc_id: r.spans for r in substring.duplicated_words(documents([(i, " ".join(w)) for i, w in docs.items()])).collect()}
+    assert {i: s for i, s in got.items() if s} == want
