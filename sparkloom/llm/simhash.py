@@ -23,13 +23,13 @@ equal fingerprints are one node, so repeated rows cost nothing; an empty table g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_words, materialize
@@ -76,8 +76,8 @@ def fingerprint(h: np.ndarray, k: int = 0) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
-    """(doc_id, f0 .. f<words - 1>): fingerprints of 64 * words bits, as signed longs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, distinct: bool = False) -> DataFrame:
+    """(doc_id, f0 .. f<words - 1>): fingerprints of 64 * words bits, as signed longs; of distinct shingles where asked."""
     names = ["doc_id", *(f"f{i}" for i in range(words))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,6 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = np.zeros((words, batch.num_rows), np.uint64)
             for r, text in enumerate(batch.column(1)):
                 h = shingle_hashes(text.as_py(), shingle)
+                h = np.unique(h) if distinct else h
                 for k in range(words):
                     out[k, r] = fingerprint(h, k)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o.view(np.int64)) for o in out)], names=names)
@@ -211,12 +212,34 @@ def local_links(keys: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]
     return [(i, r) for i in range(len(keys)) if (r := find(i)) != i]
 
 
-def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM) -> DataFrame:
+def nearest_earlier(fp: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> np.ndarray:
+    """(row, earlier row, distance) of the ``most`` nearest earlier rows that pairs tie to each row."""
+    kept, held, size = np.zeros((0, 3), np.int64), [], 0
+
+    def trimmed() -> np.ndarray:
+        rows = np.concatenate([kept, *held])
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
+        starts = np.flatnonzero(np.append(True, np.diff(rows[:, 0]) != 0))[: len(rows)]
+        rank = np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows))))
+        return rows[rank < most]
+
+    for a, b in pairs:
+        later = a > b
+        a, b = a[later], b[later]
+        held.append(np.stack([a, b, distance(fp[a], fp[b])], 1).astype(np.int64))
+        size += len(a)
+        if size > 1_000_000:
+            kept, held, size = trimmed(), [], 0
+    return trimmed() if held else kept
+
+
+def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM, nearest: int = 0) -> DataFrame:
     """(a, b): links between the ids ``node`` of distinct fingerprints f0.. that tie all within ``limit``.
 
     ``points`` has one row per fingerprint. Links tie exactly the groups that all pairs
     found by the trees would tie. Trees come from a sample of at most ``SAMPLE`` rows by
-    hash; only the sample and the row count reach the driver.
+    hash; only the sample and the row count reach the driver. With ``nearest`` the links are
+    candidates to be verified: of each node to that many of the nearest smaller ones.
     """
     names = [f"f{i}" for i in range(words)]
     spark = points.sparkSession
@@ -262,8 +285,11 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
                 if b - a > 1:
                     f, mine = fp[a:b], np.flatnonzero(own[a:b])
                     pairs = ((q, mine[p]) for q, p in pairs_within(f[mine], f, limit))
-                    found += [(int(node[a + i]), int(node[a + r])) for i, r in local_links(node[a:b], pairs)]
-            return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+                    if nearest:
+                        found += [(int(node[a + i]), int(node[a + r]), d) for i, r, d in nearest_earlier(f, pairs, nearest).tolist() if node[a + i] != node[a + r]]
+                        continue
+                    found += [(int(node[a + i]), int(node[a + r]), 0) for i, r in local_links(node[a:b], pairs)]
+            return pd.DataFrame(found, columns=["a", "b", "d"], dtype=np.int64)
 
         for pdf in frames:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
@@ -273,13 +299,40 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
         if rest is not None:
             yield links(rest)
 
-    return sorted_parts.mapInPandas(search, "a long, b long").distinct()
+    links = sorted_parts.mapInPandas(search, "a long, b long, d long")
+    if not nearest:
+        return links.select("a", "b").distinct()
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    return links.distinct().withColumn("rank", rank).where(F.col("rank") <= nearest).select("a", "b")
+
 
+def verified(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The links (a, b) between ids whose texts' sets of shingles have that Jaccard similarity or more."""
+    links = materialize(links, "candidates")
+    wanted = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
 
-def groups(prints: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM) -> DataFrame:
+    @F.pandas_udf("double")
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, last, x = [], None, np.zeros(0, np.uint64)
+        for p, q in zip(a, b):
+            if p is not last:
+                last, x = p, np.unique(shingle_hashes(p, shingle))
+            y = np.unique(shingle_hashes(q, shingle))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0)
+        return pd.Series(out, dtype=float)
+
+    mine, theirs = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+    both = links.join(mine, "a").join(theirs, "b").withColumn("jaccard", jaccard("text_a", "text_b"))
+    return both.where(F.col("jaccard") >= similarity).select("a", "b").distinct()
+
+
+def groups(prints: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM, nearest: int = 0, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``prints`` (doc_id, f0..) with component_id: the smallest doc_id that links reach.
 
     A null doc_id takes part in links but is never the smallest unless it stands alone.
+    ``verify`` takes links and returns those that hold.
     """
     names = [f"f{i}" for i in range(words)]
     prints = materialize(prints, "prints")
@@ -287,7 +340,8 @@ def groups(prints: DataFrame, limit: int, masks: list[np.ndarray], radius: int,
     points = prints.groupBy(*names).agg(F.min("doc_id").alias("least"))
     points = points.withColumn("node", F.coalesce("least", F.shiftright(F.xxhash64(*names), 2) - (1 << 62)))
     points = materialize(points, "points")
-    tied = components(near_links(points, limit, masks, radius, words, leaf_aim))
+    links = near_links(points, limit, masks, radius, words, leaf_aim, nearest)
+    tied = components(verify(links) if verify else links)
     real = F.when(F.col("node") == F.coalesce("least", F.col("node") + 1), F.col("least"))
     named = points.join(tied, "node", "left").withColumn("root", F.coalesce("component", "node")).withColumn("real", real)
     best = named.groupBy("root").agg(F.min("real").alias("component_id"))
@@ -305,6 +359,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: The stage: fingerprints of 256 bits over five-word shingles; trees that look at 16 bits each, with small leaves.
 STAGE_WORDS, STAGE_TREES, STAGE_BITS, STAGE_SHINGLE, STAGE_LEAF = 4, 48, 16, 5, 128
+#: Standard deviations by which the bit limit of candidates exceeds the expected distance, and candidates a document.
+STAGE_SPREAD, STAGE_NEAREST = 3, 8
 
 
 def bits_for(similarity: float, words: int) -> int:
@@ -312,14 +368,24 @@ def bits_for(similarity: float, words: int) -> int:
     return int(64 * words * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def candidate_bits(similarity: float, words: int) -> int:
+    """``bits_for`` and STAGE_SPREAD standard deviations of the distance."""
+    expected = bits_for(similarity, words)
+    return expected + int(np.ceil(STAGE_SPREAD * np.sqrt(expected * (1 - expected / (64 * words)))))
+
+
 def kept_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = STAGE_WORDS, trees: int = STAGE_TREES, picked: int = STAGE_BITS) -> DataFrame:
     """``docs`` with one document, the smallest id, of each group of near-duplicates; its columns stay.
 
-    Pairs at Jaccard 0.8 differ in 15 % of SimHash bits, too many for exact blocks, so the
-    trees look at sampled bits: a pair at 0.8 shares a leaf of one of 48 trees in 97 of 100
-    cases, at 0.85 in 99.6. Rows with a null id stay; rows that repeat an id stay together.
+    Trees find candidates: pairs at Jaccard 0.8 differ in 15 % of SimHash bits, too many for
+    exact blocks, so the trees look at sampled bits, where a pair at 0.8 shares a leaf of one of
+    48 trees in 97 of 100 cases. Fingerprints are of distinct shingles, and candidates may differ
+    in three standard deviations more than expected. Each document's STAGE_NEAREST nearest
+    candidates of smaller ids are verified by the exact Jaccard similarity of the sets of
+    shingles. Rows with a null id stay; rows that repeat an id stay together.
     """
-    prints = fingerprints(docs, id_col, text_col, STAGE_SHINGLE, words)
-    found = groups(prints.where("doc_id is not null"), bits_for(similarity, words), trees_sampled(64 * words, trees, picked), 0, words, STAGE_LEAF)
+    prints = fingerprints(docs, id_col, text_col, STAGE_SHINGLE, words, True)
+    limit, masks = candidate_bits(similarity, words), trees_sampled(64 * words, trees, picked)
+    found = groups(prints.where("doc_id is not null"), limit, masks, 0, words, STAGE_LEAF, STAGE_NEAREST, lambda links: verified(links, docs, id_col, text_col, STAGE_SHINGLE, similarity))
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti")

@@ -88,3 +88,27 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 101), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_stage_goes_by_exact_jaccard(documents):
+    """Planted pairs just above and below 0.8, and repeated lines, in more rows than a leaf holds."""
+    rng = np.random.default_rng(41)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, likeness = [], {}
+    for i in range(150):
+        base = [word() for _ in range(400)]
+        # A prefix of k of n shingles has Jaccard k / n.
+        near = base[: 4 + int(396 * (0.81, 0.85, 0.75)[i % 3])]
+        a, b = shingles(base), shingles(near)
+        likeness[1000 + i] = len(a & b) / len(a | b)
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(near))]
+    line = [word() for _ in range(10)]
+    text = [word() for _ in range(100)]
+    rows += [(900, " ".join(text + line * 3)), (1900, " ".join(text + line * 40))]
+    gone = {i for i, _ in rows} - {r.doc_id for r in simhash.kept_of_near_duplicates(documents(rows)).select("doc_id").collect()}
+    assert 1900 in gone  # equal sets of shingles
+    assert all(likeness[i] >= 0.8 for i in gone - {1900})
+    for low, high, share in ((0.8, 0.83, 0.9), (0.83, 0.9, 0.95)):
+        there = [i for i, v in likeness.items() if low <= v < high]
+        assert len(there) >= 40 and sum(i in gone for i in there) >= share * len(there)
