@@ -13,10 +13,12 @@ words between two passages are never cut and an exact run never falls with its n
 Passages at IDENTITY or more are united per document; unions of MIN_WORDS words or more are
 repeats.
 
-Scale: seeds (a third of the words) are shuffled twice, texts once, to cut the requested
-segments. First occurrences come from a partial aggregate and hot seeds are skewed join keys,
-which AQE splits. A task chains one document at a time; segments that many chains ask
-for are cut once.
+Scale: seeds (a third of the words) are shuffled once and never written; texts once, to cut
+the requested segments, each text once whatever the number of its chains. A task compares the
+seeds of LOCAL documents before the shuffle, so that a seed of a third of all rows is one row
+a batch there, and what it found is joined on (seed, batch's smallest document). A task chains
+one document's matches at a time. Of a passage that many documents hold one range is cut; its
+join key is hot, and AQE splits it.
 
 Defined cases: words are runs of anything but ASCII white space, A-Z lower-cased; null,
 empty and short texts have no seeds; repeats within one document don't count; rows with a
@@ -29,6 +31,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -43,18 +46,30 @@ K, WINDOW = 5, 5
 MIN_WORDS, IDENTITY = 50, 0.8
 #: Words between two parts of a chain, what a word of gap costs, and words fetched beyond a chain's ends.
 MAX_GAP, GAP_COST, PAD = 60, 0.05, MIN_WORDS - K
+#: Words between the seeds kept of a few words that repeat without a break; documents whose seeds a task compares itself.
+TANDEM, LOCAL = 16, 2000
+#: What ranges of earlier documents are multiples of.
+BLOCK = 64
 #: Differing words that a passage may hold in one gap, and the shortest block of equal words on a run's diagonal.
 GAP_EDITS, LEAST_BLOCK = 5, 3
+#: Words looked at beyond an edit, and how many of them must be equal, the first included.
+AHEAD, AHEAD_EQUAL = 6, 4
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def seeds_of(text: str | None, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, word position, whether it is the hash's first in the text) of the seeds of a text."""
+def seeds_of(text: str | None, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, word position) of the seeds of a text, by position.
+
+    Where a few words repeat without a break ("the the the ...") neighbouring seeds are equal; of
+    those the first, the last and one in every TANDEM words stay. All of them have the same first
+    place in the earlier document, from which each is extended over PAD words, so that the parts
+    left between two of them are covered by the first one's extension.
+    """
     words = ascii_words(text)
     n = len(words) - k + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(w) for w in words], np.uint64)
     runs = np.zeros(n, np.uint64)
@@ -67,24 +82,75 @@ def seeds_of(text: str | None, k: int = K, window: int = WINDOW) -> tuple[np.nda
     view = np.lib.stride_tricks.sliding_window_view(runs, span)
     at = np.unique(np.concatenate([view[i : i + 65_536].argmin(1) + np.arange(i, min(i + 65_536, len(view))) for i in range(0, len(view), 65_536)]))
     found = runs[at].view(np.int64)
-    first = np.zeros(len(at), bool)
-    first[np.unique(found, return_index=True)[1]] = True
-    return found, at.astype(np.int32), first
+    begins = np.append(True, (found[1:] != found[:-1]) | (np.diff(at) > window))
+    step = (at - at[begins][np.cumsum(begins) - 1]) // TANDEM
+    stay = begins | np.append(begins[1:], True) | np.append(True, np.diff(step) != 0)
+    return found[stay], at[stay].astype(np.int32)
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """(seed, doc, at, first) of every document."""
+    """(seed, doc, at, leader, leads): seeds of every document, those of a task's documents compared already.
+
+    Of each seed that several of LOCAL documents hold, only the rows of the smallest doc, the
+    leader, go on to be compared with other tasks' (``leads`` marks one of them); the others only
+    name their leader, so that of a seed that a third of all documents hold few rows meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                ids = part.column(0).to_numpy()
+            for i in range(0, batch.num_rows, LOCAL):
+                part = batch.slice(i, LOCAL)
                 made = [seeds_of(t.as_py()) for t in part.column(1)]
-                doc = np.repeat(ids, [len(m[0]) for m in made])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[0] for m in made])), pa.array(doc, pa.int64()), pa.array(np.concatenate([m[1] for m in made])), pa.array(np.concatenate([m[2] for m in made]))], names=["seed", "doc", "at", "first"])
+                seed, at = (np.concatenate([m[c] for m in made]) for c in (0, 1))
+                doc = np.repeat(part.column(0).to_numpy(), [len(m[0]) for m in made])
+                order = np.lexsort((at, doc, seed))
+                seed, doc, at = seed[order], doc[order], at[order]
+                starts = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))[: len(seed)]
+                sizes = np.diff(np.append(starts, len(seed)))
+                leader = np.repeat(doc[starts], sizes)
+                own = doc == leader
+                leads = np.zeros(len(seed), bool)
+                leads[starts] = doc[starts + sizes - 1] != doc[starts]
+                yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(leader, pa.int64(), mask=own), pa.array(leads)], names=["seed", "doc", "at", "leader", "leads"])
+
+    return docs.select("doc", "text").mapInArrow(run, "seed long, doc long, at int, leader long, leads boolean")
+
+
+def first_matches(found: DataFrame) -> DataFrame:
+    """(doc, at, of, of_at): each seed with its first place in the smallest doc that holds it.
+
+    The rows of a seed lie one after another in (doc, at) order; only the first is remembered.
+    Followers pass by (dealt by themselves) and then get their leader's match, a join whose keys
+    have a row on one side and at most LOCAL documents' on the other.
+    """
+    names = ["seed", "doc", "at", "of", "of_at"]
 
-    return docs.select("doc", "text").mapInArrow(run, "seed long, doc long, at int, first boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, of, of_at = None, 0, 0
+        for batch in batches:
+            follows = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            seed, doc, at, leads = (batch.column(i).to_numpy(zero_copy_only=False)[~follows] for i in (0, 1, 2, 4))
+            if len(seed):
+                starts = np.flatnonzero(np.append(seed[0] != last, seed[1:] != seed[:-1]))
+                sizes = np.diff(np.append(starts, len(seed)))
+                ahead = len(seed) - int(sizes.sum())  # rows of the batch before's last seed
+                first_doc = np.concatenate([np.full(ahead, of), np.repeat(doc[starts], sizes)])
+                first_at = np.concatenate([np.full(ahead, of_at), np.repeat(at[starts], sizes)])
+                last, of, of_at = seed[-1], first_doc[-1], first_at[-1]
+                later = doc != first_doc
+                for keep, nulls in ((later, 0), (leads, 2)):  # matches have no seed, leaders' matches no place
+                    kept = [pa.array(v[keep], pa.int32() if i in (2, 4) else pa.int64(), mask=np.full(int(keep.sum()), i == nulls)) for i, v in enumerate((seed, doc, at, first_doc, first_at))]
+                    yield pa.RecordBatch.from_arrays(kept, names=names)
+            if follows.any():
+                some = batch.filter(pa.array(follows))
+                yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.nulls(some.num_rows, pa.int32())], names=names)
+
+    key = F.when(F.col("leader").isNull(), F.col("seed")).otherwise(F.xxhash64("doc", "at"))
+    ordered = found.repartition(key).sortWithinPartitions("seed", "doc", "at")
+    rows = materialize(ordered.mapInArrow(run, "seed long, doc long, at int, of long, of_at int"), "matches")
+    leaders = rows.where("at is null").select("seed", F.col("doc").alias("leader"), "of", "of_at")
+    followers = rows.where("of_at is null").select("seed", "doc", "at", F.col("of").alias("leader"))
+    return rows.where("seed is null").drop("seed").unionByName(followers.join(leaders, ["seed", "leader"]).select("doc", "at", "of", "of_at"))
 
 
 class Fenwick:
@@ -168,30 +234,25 @@ def chains_of(y: np.ndarray, x: np.ndarray) -> list[list[tuple[int, int, int]]]:
 
 
 def chain(matches: DataFrame) -> DataFrame:
-    """(doc, y0, y1, of, x0, x1, runs): chains of every document; y0..x1 are the word ranges to fetch."""
+    """(doc, y0, y1, of, x0, x1, runs): chains of every document; y0..x1 are the word ranges to fetch.
+
+    Ranges of earlier documents begin and end at multiples of BLOCK words, so that many chains
+    share the few ranges of a passage that many documents hold.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
 
         def made(pdf: pd.DataFrame) -> pd.DataFrame:
-            doc, of, at, of_at = (pdf[c].to_numpy() for c in ("doc", "of", "at", "of_at"))
-            cuts = [0, *(np.flatnonzero((np.diff(doc) != 0) | (np.diff(of) != 0)) + 1).tolist(), len(doc)]
-            rows, mine = [], []
-
-            def close(d: int) -> None:
-                for o, c in mine:
-                    y0, x0 = max(0, c[0][0] - PAD), max(0, c[0][1] - PAD)
-                    y1, x1 = c[-1][0] + c[-1][2] + PAD, c[-1][1] + c[-1][2] + PAD
-                    rows.append((d, y0, y1, o, x0, x1, [v for y, x, n in c for v in (y - y0, x - x0, n)]))
-                mine.clear()
-
-            for a, b in zip(cuts, cuts[1:]):
-                if a and doc[a] != doc[a - 1]:
-                    close(int(doc[a - 1]))
-                if b > a:
-                    mine.extend((int(of[a]), c) for c in chains_of(at[a:b].astype(np.int64), of_at[a:b].astype(np.int64)))
-            if len(doc):
-                close(int(doc[-1]))
+            rows: list[tuple] = []
+            if len(pdf):
+                doc, of, at, of_at = (pdf[c].to_numpy().astype(np.int64) for c in ("doc", "of", "at", "of_at"))
+                cuts = [0, *(np.flatnonzero((np.diff(doc) != 0) | (np.diff(of) != 0)) + 1).tolist(), len(doc)]
+                for i, j in zip(cuts, cuts[1:]):
+                    for c in chains_of(at[i:j], of_at[i:j]) if j > i else ():
+                        y0, x0 = max(0, c[0][0] - PAD), max(0, c[0][1] - PAD) // BLOCK * BLOCK
+                        y1, x1 = c[-1][0] + c[-1][2] + PAD, -(-(c[-1][1] + c[-1][2] + PAD) // BLOCK) * BLOCK
+                        rows.append((int(doc[i]), y0, y1, int(of[i]), x0, x1, [v for y, x, n in c for v in (y - y0, x - x0, n)]))
             return pd.DataFrame(rows, columns=["doc", "y0", "y1", "of", "x0", "x1", "runs"])
 
         for pdf in frames:
@@ -207,20 +268,39 @@ def chain(matches: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, "doc long, y0 int, y1 int, of long, x0 int, x1 int, runs array<int>")
 
 
-def segments(docs: DataFrame, requests: DataFrame) -> DataFrame:
-    """(doc, s, e, words): the requested word ranges of texts, words joined by a space."""
+def segments(docs: DataFrame, chains: DataFrame) -> DataFrame:
+    """The words of both sides of chains, cut from each text once.
+
+    Rows with ``doc`` are chains with their own words; rows without are ranges (of, x0, x1)
+    of earlier documents, each once. A document's list is bounded by its length: its own chains
+    have a seed each, and its ranges begin and end at multiples of BLOCK.
+    """
+    theirs = chains.select(F.col("of").alias("id"), F.lit(None).cast("long").alias("other"), "x0", "x1", F.lit(0).alias("y0"), F.lit(0).alias("y1"), F.array().cast("array<int>").alias("runs")).distinct()
+    mine = chains.select(F.col("doc").alias("id"), F.col("of").alias("other"), "x0", "x1", "y0", "y1", "runs")
+    asked = mine.unionByName(theirs).groupBy("id").agg(F.collect_list(F.struct("other", "x0", "x1", "y0", "y1", "runs")).alias("asked"))
+    names = ["doc", "of", "x0", "x1", "y0", "runs", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, last, words = [], None, []
-            for text, s, e in zip(batch.column(3), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                text = text.as_py()
-                if text != last:
-                    last, words = text, ascii_words(text)
-                out.append(b" ".join(words[s:e]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["doc", "s", "e", "words"])
-
-    return requests.join(docs, "doc").select("doc", "s", "e", "text").mapInArrow(run, "doc long, s int, e int, words binary")
+            out: list[tuple] = []
+            size = 0
+            for doc, text, asked_of in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                words = ascii_words(text.as_py())
+                for r in asked_of.as_py():
+                    own = r["other"] is not None
+                    s, e = (r["y0"], r["y1"]) if own else (r["x0"], r["x1"])
+                    part = b" ".join(words[s:e])
+                    out.append((doc if own else None, r["other"] if own else doc, r["x0"], r["x1"], r["y0"], r["runs"], part))
+                    size += len(part)
+                    if size > 8_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    joined = docs.join(asked.withColumnRenamed("id", "doc"), "doc").select("doc", "text", "asked")
+    return joined.mapInArrow(run, "doc long, of long, x0 int, x1 int, y0 int, runs array<int>, words binary")
 
 
 def common(a: list, b: list) -> int:
@@ -238,15 +318,19 @@ def common(a: list, b: list) -> int:
 
 
 def grown(a: list, b: list) -> list[tuple[int, int, int]]:
-    """Blocks (place in a, place in b, words) of equal words from the beginning of both lists on, over single edits."""
+    """Blocks (place in a, place in b, words) of equal words from the beginning of both lists on.
+
+    Up to three differing words are passed over where AHEAD_EQUAL of the next AHEAD words are equal.
+    """
     out, i, j = [], 0, 0
     while True:
         n = equal_words(a, b, i, j)
         if n:
             out.append((i, j, n))
         i, j = i + n, j + n
-        for da, db in ((1, 1), (1, 0), (0, 1), (2, 2)):
-            if i + da + 4 <= len(a) and a[i + da : i + da + 4] == b[j + db : j + db + 4]:
+        for da, db in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (3, 3)):
+            p, q = a[i + da : i + da + AHEAD], b[j + db : j + db + AHEAD]
+            if p and q and p[0] == q[0] and sum(map(eq, p, q)) >= AHEAD_EQUAL:
                 i, j = i + da, j + db
                 break
         else:
@@ -338,11 +422,11 @@ def aligned(a: list, b: list, runs: list[tuple[int, int, int]]) -> list[tuple[in
     return out
 
 
-def align(chains: DataFrame, parts: DataFrame) -> DataFrame:
+def align(parts: DataFrame) -> DataFrame:
     """(doc, start, stop, of, of_start, of_stop, identity) of every chain's passages."""
-    mine = parts.select("doc", F.col("s").alias("y0"), F.col("e").alias("y1"), F.col("words").alias("a"))
-    theirs = parts.select(F.col("doc").alias("of"), F.col("s").alias("x0"), F.col("e").alias("x1"), F.col("words").alias("b"))
-    both = chains.join(mine, ["doc", "y0", "y1"]).join(theirs, ["of", "x0", "x1"]).select("doc", "y0", "of", "x0", "runs", "a", "b")
+    mine = parts.where("doc is not null").withColumnRenamed("words", "a")
+    theirs = parts.where("doc is null").select("of", "x0", "x1", F.col("words").alias("b"))
+    both = mine.join(theirs, ["of", "x0", "x1"]).select("doc", "y0", "of", "x0", "runs", "a", "b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -369,15 +453,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         # Repeated ids: one row for each where all texts agree, else none.
         once = texts.join(again.where("same").select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
         texts = texts.join(again.select("doc"), "doc", "left_anti").unionByName(once)
-    found = materialize(seeds(texts), "seeds")
-    firsts = found.groupBy("seed").agg(F.min("doc").alias("of"), F.max("doc").alias("last"), F.min_by("at", F.when(F.col("first"), F.col("doc"))).alias("of_at"))
-    # Written, so that the join meets two plain exchanges and AQE can split a hot seed.
-    shared = materialize(firsts.where("of <> last").select("seed", "of", "of_at"), "firsts")
-    matches = found.join(shared, "seed").where("doc <> of").select("doc", "at", "of", "of_at")
-    chains = materialize(chain(matches), "chains")
-    requests = chains.select("doc", F.col("y0").alias("s"), F.col("y1").alias("e")).unionByName(chains.select(F.col("of").alias("doc"), F.col("x0").alias("s"), F.col("x1").alias("e"))).distinct()
-    parts = materialize(segments(texts, requests), "segments")
-    good = align(chains, parts).where(F.col("identity") >= IDENTITY)
+    chains = materialize(chain(first_matches(seeds(texts))), "chains")  # read twice
+    parts = materialize(segments(texts, chains), "segments")  # so that AQE can split a passage's key
+    good = align(parts).where(F.col("identity") >= IDENTITY)
     return united(good)
 
 

@@ -180,3 +180,40 @@ def test_copies_with_an_edit_at_every_tenth_word(documents):
         want[1000 + at] = [f"25-{25 + len(edited)}"]
     got = {r.doc_id: r.spans for r in substring.duplicated_words(documents([(i, " ".join(w)) for i, w in docs.items()])).collect()}
     assert {i: s for i, s in got.items() if s} == want
+
+
+def test_recall_of_edited_passages(documents):
+    """One edit every 8 to 30 words: at least 0.95 of a passage's words; random edits: as README says."""
+    rng = random.Random(34)
+    cells = [(gap, 0.0, n) for gap in (8, 12, 14, 16, 20, 30) for n in (60, 80, 150, 300)] + [(0, 0.05, 60), (0, 0.05, 120), (0, 0.1, 120)]
+    rows, planted = [], {}
+    for cell in cells:
+        gap, rate, n = cell
+        for _ in range(20):
+            passage, before = text_of(rng, n), text_of(rng, rng.randint(20, 80))
+            edited = []
+            for j, w in enumerate(passage):
+                if gap and j % gap == gap - 1 or rng.random() < rate:
+                    edited += rng.choice([["edit"], [], [w, "edit"]])
+                else:
+                    edited.append(w)
+            at = len(rows)
+            rows += [(at, " ".join(text_of(rng, 40) + passage + text_of(rng, 40))), (at + 1, " ".join(before + edited + text_of(rng, 40)))]
+            planted[at + 1] = cell, len(before), len(edited)
+    got = {r.doc_id: r for r in substring.duplicated_words(documents(rows)).collect()}
+    shares = {cell: [] for cell in cells}
+    for i, (cell, start, n) in planted.items():
+        mark = marked(got[i], got[i].n_words)
+        shares[cell].append(mark[start : start + n].mean())
+        assert mark[:start].sum() + mark[start + n :].sum() <= 6 and got[i - 1].spans == []
+    assert all(np.mean(v) >= (0.95 if cell[0] else 0.9) for cell, v in shares.items()), {c: round(float(np.mean(v)), 3) for c, v in shares.items()}
+
+
+def test_words_that_repeat_without_a_break(documents):
+    """A word repeated 40 to 500 times: where the earlier document repeats it 50 times or more, all of it is a repeat."""
+    rng = random.Random(35)
+    docs = [(0, " ".join(text_of(rng, 30) + ["the"] * 60 + text_of(rng, 30)))]
+    docs += [(n, " ".join(text_of(rng, 20) + ["the"] * n + text_of(rng, 20))) for n in (50, 61, 130, 500)]
+    docs += [(1000, " ".join(text_of(rng, 20) + ["a", "b", "c"] * 60)), (1001, " ".join(text_of(rng, 20) + ["a", "b", "c"] * 150))]
+    got = {r.doc_id: r.spans for r in substring.duplicated_words(documents(docs)).collect()}
+    assert got == {0: [], 50: ["20-70"], 61: ["20-81"], 130: ["20-150"], 500: ["20-520"], 1000: [], 1001: ["20-470"]}
