@@ -1,19 +1,21 @@
 """Operator 5, benchmark decontamination: a broadcast hash set of test n-grams.
 
 Words: A-Z lower-cased, runs of digits, letters and any non-ASCII characters. A test item's
-windows are its runs of 13 words (all of them where it has fewer). Documents are read
-once for their word counts and once for hits: every position's window is hashed inside the
-scan's own stage and looked up in the hash set, and only matches, verified word by word,
-leave it. Spans that overlap are joined by their ends before they are counted.
+windows are its runs of 13 words (all of them where it has fewer). Documents are read and
+split once: every position's window is hashed inside the scan's own stage and looked up in
+the hash set, and only matches, verified word by word in the same place, leave it, besides
+one row a document with its number of words. Spans that overlap are joined by their ends
+before they are counted.
 
-Scale: documents are never shuffled; hits are, by document. The hash set is broadcast only
-while the benchmark has at most ``BROADCAST_WINDOWS`` windows, checked by a count; beyond
-that Spark picks the join. Candidates are looked up with words lower-cased by Unicode, a superset of
-the exact comparison that follows.
+Scale: documents are never shuffled; hits are, by document. Both sides are split and
+lower-cased by one function, character by character, so that no neighbour changes a word. At most
+``BROADCAST_WINDOWS`` windows are broadcast at once; a larger benchmark is cut by hash
+into that many parts, and the documents are scanned once for each.
 
 Defined cases: null and word-less texts have no words, no hits; null ids of items are the
 item "null"; equal windows of several items count for each; repeated item rows count once;
-repeated document rows share one result; an empty benchmark hits nothing.
+repeated document rows share one result; a document with a null id is counted, never hit; an
+empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -25,64 +27,79 @@ from .common import materialize
 
 WINDOW = 13
 SHARE = 20
-#: Windows of the benchmark up to which their hash set is broadcast (some 100 bytes each).
+#: Windows of the benchmark that are broadcast at once (some 150 bytes each).
 BROADCAST_WINDOWS = 500_000
 #: What separates words: ASCII other than digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+APART = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text, in their own case."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
-
-
-def exact(joined: Column) -> Column:
-    return F.translate(joined, UPPER, LOWER)
+    """The words of a text, A-Z lower-cased."""
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + APART, LOWER + " " * len(APART))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def test_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item, n, gram): the distinct windows of every item, n words joined by a space."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words_of(exact(F.col("text"))).alias("w"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words_of(F.col("text")).alias("w"))
     items = items.where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(window)))
     at = F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("at")
     return items.select("item", "n", "w", at).select("item", "n", F.array_join(F.slice("w", F.col("at"), F.col("n")), " ").alias("gram")).distinct()
 
 
-def hit_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, at, n, gram): every occurrence of a test window; ``at`` counts words from 0."""
+def hit_windows(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_once: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(doc_id, at, n, gram, n_words): every occurrence of a test window, ``at`` counting words from 0.
+
+    Each document also has a row with n = 0, for its number of words.
+    """
     grams = windows.select("n", "gram").distinct()
     lengths, count = grams.agg(F.collect_set("n"), F.count("*")).first()  # at most WINDOW lengths
-    if not count:
-        return docs.select(F.col(id_col).alias("doc_id"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit("").alias("gram")).where("false")
-    grams = grams.withColumn("key", F.xxhash64("n", F.split(F.lower("gram"), " ")))
-    if count <= BROADCAST_WINDOWS:
-        grams = F.broadcast(grams)
-    low = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), words_of(F.lower(F.col(text_col))).alias("w"))
-    rows = low.where(F.size("w") >= min(lengths)).select("doc_id", "text", "w", F.explode(F.sequence(F.lit(0), F.size("w") - min(lengths))).alias("at"))
-    if len(lengths) > 1:
-        rows = rows.withColumn("l", F.explode(F.array(*(F.lit(n) for n in sorted(lengths))))).where("at + l <= size(w)")
-    else:
-        rows = rows.withColumn("l", F.lit(lengths[0]))
-    rows = rows.withColumn("key", F.xxhash64("l", F.slice("w", F.col("at") + 1, F.col("l"))))
-    found = rows.join(grams, "key").where(F.col("l") == F.col("n"))
-    # The words as they stand in the text; lower-casing by Unicode never moves a word's ends.
-    own = F.array_join(F.slice(words_of(F.col("text")), F.col("at") + 1, F.col("n")), " ")
-    return found.where(exact(own) == F.col("gram")).select("doc_id", "at", "n", "gram")
-
-
-def judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
+    lengths = sorted(lengths)
+    grams = grams.withColumn("key", F.xxhash64("n", F.split("gram", " ")))
+    low = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w")).withColumn("n_words", F.size("w"))
+
+    def occurrences(part: DataFrame, counted: bool) -> DataFrame:
+        places = F.sequence(F.lit(0), F.col("n_words") - lengths[0]) if lengths else F.array().cast("array<int>")
+        places = F.when(F.col("n_words") >= (lengths or [0])[0], places).otherwise(F.array().cast("array<int>"))
+        if counted:  # place -1 is the row for the number of words: no words, found by the empty window
+            places = F.concat(F.array(F.lit(-1)), places)
+            none = part.sparkSession.range(1).select(F.lit(0).alias("n"), F.lit("").alias("gram"), F.xxhash64(F.lit(0), F.array().cast("array<string>")).alias("key"))
+            part = part.unionByName(none)
+        rows = low.select("doc_id", "w", "n_words", F.explode(places).alias("at"))
+        of_place = F.when(F.col("at") < 0, F.array(F.lit(0))).otherwise(F.array(*(F.lit(n) for n in lengths or [0])))
+        if len(lengths) > 1:
+            rows = rows.withColumn("l", F.explode(of_place)).where("at + l <= n_words")
+        else:
+            rows = rows.withColumn("l", F.when(F.col("at") < 0, 0).otherwise((lengths or [0])[0]))
+        window = F.slice("w", F.greatest(F.col("at") + 1, F.lit(1)), F.col("l"))
+        found = rows.withColumn("key", F.xxhash64("l", window)).join(F.broadcast(part), "key")
+        return found.where((F.col("l") == F.col("n")) & (F.array_join(window, " ") == F.col("gram"))).select("doc_id", "at", "n", "gram", "n_words")
+
+    parts = max(1, -(-count // at_once))
+    if parts == 1:
+        return occurrences(grams, True)
+    out = None
+    for i in range(parts):
+        one = occurrences(grams.where(F.pmod("key", F.lit(parts)) == i), i == 0)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, share: int = SHARE, at_once: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words)."""
     windows = test_windows(benchmark, window)
-    hits = materialize(hit_windows(docs, windows, id_col, text_col).distinct(), "hits")  # read twice below
+    found = materialize(hit_windows(docs, windows, id_col, text_col, at_once), "hits")  # read thrice below
+    hits = found.where("n > 0").select("doc_id", "at", "n", "gram").distinct()
     before = Window.partitionBy("doc_id").orderBy("at", "n").rowsBetween(Window.unboundedPreceding, -1)
     ends = hits.select("doc_id", "at", "n").distinct().withColumn("covered", F.coalesce(F.max(F.col("at") + F.col("n")).over(before), F.lit(0)))
     new = F.greatest(F.lit(0), F.col("at") + F.col("n") - F.greatest("at", "covered"))
     n_hit = ends.groupBy("doc_id").agg(F.sum(new).alias("n_hit"))
     of = windows.select("n", "gram", "item")
     items = hits.select("doc_id", "n", "gram").distinct().join(of, ["n", "gram"]).groupBy("doc_id").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    counts = docs.select(F.col(id_col).alias("doc_id"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORDS)).cast("long").alias("n_words"))
+    counts = found.where("n = 0").select("doc_id", F.col("n_words").cast("long"))
     out = counts.join(n_hit.join(items, "doc_id"), "doc_id", "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
@@ -104,7 +121,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
 def without_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` whose hit words are cut from the text, the other words and their separators kept."""
     windows = test_windows(benchmark)
-    hits = hit_windows(docs, windows, id_col, text_col).distinct()
+    hits = hit_windows(docs, windows, id_col, text_col).where("n > 0").select("doc_id", "at", "n").distinct()
     spans = hits.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("_spans")).select(F.col("doc_id").alias(id_col), "_spans")
     marked = docs.join(spans, id_col, "left")
     # Each word with what precedes it; a word inside a span goes with its separator.

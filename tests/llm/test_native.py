@@ -94,3 +94,16 @@ def test_url_filter_cases(spark):
     assert kept.columns == captures.columns and sorted(r.page_id for r in kept.collect()) == [1, 3, 5, 7, 8, 9, 10, 12]
     assert urlfilter.filter_captures(captures, changes.limit(0)).where("n_active > 0").count() == 0
     assert urlfilter.filter_captures(captures.limit(0), changes).count() == 0
+
+
+def test_words_are_lower_cased_one_by_one(documents, benchmark):
+    """A capital sigma's lower case depends on its neighbours; only A-Z are lower-cased."""
+    text = "\u039f\u03a3'\u0391 one two three four five six seven eight nine ten eleven twelve thirteen"
+    got = result(decontamination.judged(documents([(1, text), (2, "\u039f\u03a3 \u0391"), (3, "\u0130x I\u0307X")]), benchmark([(1, text), (2, "\u039f\u03a3'\u0391"), (3, "\u0130X")])))
+    assert got[1][:3] == (15, 15, 2) and got[2][:3] == (2, 2, 1) and got[3][:3] == (2, 1, 1)
+
+
+def test_windows_beyond_one_broadcast(spark):
+    docs, bench = (queries.table(spark, SF, t) for t in ("documents", "benchmark"))
+    want = result(decontamination.judged(docs, bench))
+    assert result(decontamination.judged(docs, bench, at_once=100)) == want and sum(r[1] for r in want.values()) > 0
