@@ -6,9 +6,11 @@ text's is the product over its words (runs of letters, lower-cased). The probabi
 from expectation maximisation: forward-backward counts of pieces over the words of labelled
 training documents, weighted by how often each word occurs per language.
 
-Training words are counted by Spark over at most ``MAX_TRAIN`` documents of each language,
-chosen by a hash of the id; the most frequent ``MAX_WORDS`` words a language reach the
-driver. Scoring needs no shuffle; a worker keeps the scores of up to ``CACHED`` words.
+Training words are counted by Spark over about ``MAX_TRAIN`` documents of each language,
+chosen by a hash of the id. In every round tasks find the expected counts of pieces over
+their share of all these words and Spark sums them by language and piece: what reaches the
+driver has the vocabulary's size. Scoring needs no shuffle; a worker keeps the scores of up
+to ``CACHED`` words.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; a null id isn't
 held out; characters outside the vocabulary cost a fixed small probability; equal scores go
@@ -17,18 +19,19 @@ to the language that sorts first; with nothing to learn from, all is ``und``.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod
+from .common import crc32_mod, materialize
 
-MAX_TRAIN, MAX_WORDS, ROUNDS = 3_000, 20_000, 3
+MAX_TRAIN, ROUNDS = 3_000, 3
+#: Words of one language whose segmentations a task holds at once.
+AT_ONCE = 5_000
 CACHED = 400_000
 UNKNOWN = 1e-7
 LETTERS = regex.compile(r"\p{L}+")
@@ -128,45 +131,62 @@ class Model:
         return np.stack([lattice.log_total(p) for p in self.p], 1)
 
 
-def fit(counts: dict[str, Counter], vocab: dict[str, int], rounds: int = ROUNDS, smooth: float = 0.1) -> Model:
-    """Expectation maximisation over word counts of every language, from equal probabilities."""
-    languages, prefix, rows = sorted(counts), prefixes(vocab), []
-    for lang in languages:
-        words = sorted(counts[lang])
-        lattice, weight = Lattice(words, vocab, prefix), np.array([counts[lang][w] for w in words], float)
-        p = np.full(len(vocab) + 1, 1.0 / len(vocab))
-        p[-1] = UNKNOWN
-        for _ in range(rounds):
-            seen = lattice.expected(p, weight)[:-1] + smooth
-            p = np.append(seen / seen.sum(), UNKNOWN)
-        rows.append(p)
-    return Model(languages, vocab, np.array(rows))
+def begin(size: int) -> np.ndarray:
+    """Equal probabilities of pieces; the last is an unknown character's."""
+    return np.append(np.full(size, 1.0 / size), UNKNOWN)
 
 
-def training_words(docs: DataFrame, most: int, words: int, text_col: str, lang_col: str, id_col: str) -> dict[str, Counter]:
-    """Counts of the most frequent words of every language in training documents, counted by Spark."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ((crc32_mod(id_col, 3) != 1)))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
-    if not sizes:
-        return {}
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_003)) < int(min(1.0, most / n) * 1_000_003) + 1))
-    found = rows.where(chosen).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counted = found.groupBy("lang", "word").count()
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("r") <= words)
-    out: dict[str, Counter] = {}
-    for r in top.select("lang", "word", "count").collect():  # at most ``words`` a language
-        for w in long_words([r["word"]]):
-            out.setdefault(r["lang"], Counter())[w] += r["count"]
+def expected_counts(words: list[str], weights: np.ndarray, p: np.ndarray, vocab: dict[str, int], prefix: set[str]) -> np.ndarray:
+    """Expected counts of pieces over weighted words, AT_ONCE at a time."""
+    out = np.zeros(len(p))
+    for i in range(0, len(words), AT_ONCE):
+        out += Lattice(words[i : i + AT_ONCE], vocab, prefix).expected(p, weights[i : i + AT_ONCE])
     return out
 
 
+def training_words(docs: DataFrame, most: int, text_col: str, lang_col: str, id_col: str) -> tuple[list[str], DataFrame]:
+    """(languages, (lang, word, count)) of training documents: lang is a number, words are cut as when scoring."""
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ((crc32_mod(id_col, 3) != 1)))
+    rows = rows.select(F.col(lang_col).alias("name"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
+    sizes = sorted(rows.groupBy("name").count().collect())  # one row a language
+    shares = [(r["name"], i, int(min(1.0, most / r["count"]) * 1_000_003) + 1) for i, r in enumerate(sizes)]
+    table = docs.sparkSession.createDataFrame(shares, "name string, lang int, share long")
+    chosen = rows.join(F.broadcast(table), "name").where(F.pmod("h", F.lit(1_000_003)) < F.col("share"))
+    found = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{1,40}"), F.lit(0))).alias("word"))
+    return [r["name"] for r in sizes], found.groupBy("lang", "word").count()
+
+
+def fit(languages: list[str], counted: DataFrame, vocab: dict[str, int], rounds: int = ROUNDS, smooth: float = 0.1) -> Model:
+    """Expectation maximisation over the word counts (lang, word, count), from equal probabilities."""
+    spark = counted.sparkSession
+    p = np.tile(begin(len(vocab)), (len(languages), 1))
+    prefix = prefixes(vocab)
+    for _ in range(rounds):
+        held = spark.sparkContext.broadcast((p, vocab, prefix))
+
+        def expectations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p, vocab, prefix = held.value
+            sums = np.zeros(p.shape)
+            for batch in batches:
+                lang, words, weights = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float)
+                for k in np.unique(lang).tolist():
+                    mine = np.flatnonzero(lang == k)
+                    sums[k] += expected_counts([words[i] for i in mine], weights[mine], p[k], vocab, prefix)
+            k, piece = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(sums[k, piece])], names=["lang", "piece", "seen"])
+
+        summed = counted.mapInArrow(expectations, "lang int, piece int, seen double").groupBy("lang", "piece").agg(F.sum("seen").alias("seen")).toPandas()
+        seen = np.full(p.shape, smooth)
+        np.add.at(seen, (summed["lang"].to_numpy(), summed["piece"].to_numpy()), summed["seen"].to_numpy())
+        p = np.concatenate([seen[:, :-1] / seen[:, :-1].sum(1, keepdims=True), np.full((len(languages), 1), UNKNOWN)], 1)
+        held.unpersist()
+    return Model(languages, vocab, p)
+
+
 def identified(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
-    counts = training_words(docs, most, MAX_WORDS, text_col, lang_col, id_col)
-    model = fit(counts, vocabulary(model_path)) if counts else None
+    languages, words = training_words(docs, most, text_col, lang_col, id_col)
+    model = fit(languages, materialize(words, "words"), vocabulary(model_path)) if languages else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix = prefixes(model.vocab) if model else set()
