@@ -24,10 +24,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        small = both.groupBy("u").agg(F.min("v").alias("m"))
+        # Minima are written, so that their join meets two plain exchanges and a star's key can be split.
+        small = materialize(both.groupBy("u").agg(F.min("v").alias("m")), "minima")
         large = both.join(small, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = large.where("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large.where("u <> v").distinct(), "large")
+        small = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         joined = large.join(small, "u")
         stars = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = stars.unionByName(small.select("u", F.col("m").alias("v"))).distinct()

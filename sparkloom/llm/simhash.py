@@ -7,9 +7,9 @@ fingerprints that differ in at most ``limit`` bits differ in at most limit // bl
 some block. Each block has a vantage-point tree, built from a bounded sample, that
 partitions the fingerprints by their Hamming distance (over the block's bits) to vantage
 points; a fingerprint goes to its own leaf (as a point) and to every leaf whose shell the
-triangle inequality can't exclude (as a query). With limit + 1 blocks the radius in a block
-is 0 and no leaf overlaps another; with fewer blocks the boundary-overlapping leaves get
-copies of the query. Within a leaf a second vantage-point tree over all bits finds the exact
+triangle inequality can't exclude (as a query): leaves overlap at their boundaries by the
+radius. More blocks mean a smaller radius and fewer copies in each of more trees; with limit + 1
+blocks it is 0 and no leaf overlaps another. Within a leaf a second vantage-point tree over all bits finds the exact
 pairs, pruning branches by the triangle inequality. A leaf emits links to the smallest
 member of each local group only, at most one per member, so that a group of thousands never
 yields all its pairs. Leaves beyond ``LEAF_ROWS`` points are dealt in pairs of chunks.
@@ -37,6 +37,8 @@ from .graph import components
 
 #: Fingerprints that trees are built from, points aimed at per leaf, and points a task compares at once.
 SAMPLE, LEAF_AIM, LEAF_ROWS = 16_384, 2_048, 16_384
+#: Trees of ``near_duplicates``: of three blocks one holds at most 4 // 3 = 1 of 4 differing bits, the radius within it.
+BLOCKS = 3
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -194,22 +196,19 @@ def pairs_within(points: np.ndarray, queries: np.ndarray, limit: int, small: int
                     yield some[a], p[j : j + 1024][b]
 
 
-def local_links(keys: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """(row, row of the group's first) for each row that pairs tie to an earlier one."""
-    parent = list(range(len(keys)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+def local_links(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """(row, row of the group's first) for each of n rows that pairs tie to an earlier one."""
+    root = np.arange(n)
     for a, b in pairs:
-        for x, y in zip(a.tolist(), b.tolist()):
-            x, y = find(x), find(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    return [(i, r) for i in range(len(keys)) if (r := find(i)) != i]
+        while len(a):
+            x, y = root[a], root[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+    later = np.flatnonzero(root != np.arange(n))
+    return list(zip(later.tolist(), root[later].tolist()))
 
 
 def nearest_earlier(fp: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> np.ndarray:
@@ -233,13 +232,14 @@ def nearest_earlier(fp: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray
     return trimmed() if held else kept
 
 
-def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM, nearest: int = 0) -> DataFrame:
+def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM, nearest: int = 0, asked: DataFrame | None = None) -> DataFrame:
     """(a, b): links between the ids ``node`` of distinct fingerprints f0.. that tie all within ``limit``.
 
     ``points`` has one row per fingerprint. Links tie exactly the groups that all pairs
     found by the trees would tie. Trees come from a sample of at most ``SAMPLE`` rows by
     hash; only the sample and the row count reach the driver. With ``nearest`` the links are
-    candidates to be verified: of each node to that many of the nearest smaller ones.
+    candidates to be verified: of each node to that many of the nearest smaller ones; where
+    ``asked`` (node) is given, of its nodes only.
     """
     names = [f"f{i}" for i in range(words)]
     spark = points.sparkSession
@@ -255,20 +255,20 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
             fp = np.ascontiguousarray(pdf[names].to_numpy(np.int64)).view(np.uint64)
             for t, tree in enumerate(held.value):
                 rows, leaf, own = tree.route(fp)
-                yield pd.DataFrame({"shard": (t << 32) + leaf.astype(np.int64), "node": pdf["node"].to_numpy()[rows], "own": own} | {c: pdf[c].to_numpy()[rows] for c in names})
+                yield pd.DataFrame({"shard": (t << 32) + leaf.astype(np.int64), "node": pdf["node"].to_numpy()[rows], "own": own, "ask": pdf["ask"].to_numpy(bool)[rows]} | {c: pdf[c].to_numpy()[rows] for c in names})
 
-    columns = "node long, own boolean, " + ", ".join(f"{c} long" for c in names)
+    columns = "node long, own boolean, ask boolean, " + ", ".join(f"{c} long" for c in names)
+    if asked is None:
+        sought = points.select("node", *names, F.lit(True).alias("ask"))
+    else:
+        sought = points.join(asked.select("node", F.lit(True).alias("ask")), "node", "left").select("node", *names, F.coalesce("ask", F.lit(False)).alias("ask"))
     # Routing is cheaper than keeping a copy of every fingerprint for each tree, so it runs twice.
-    routed = points.select("node", *names).mapInPandas(route, f"shard long, {columns}")
+    routed = sought.mapInPandas(route, f"shard long, {columns}")
     counted = materialize(routed.groupBy("shard").agg(F.ceil(F.count("*") / LEAF_ROWS).cast("int").alias("chunks")).where("chunks > 1"), "large")
-    # Shards beyond LEAF_ROWS go in pairs of chunks (i <= j); there are at most rows / LEAF_ROWS of them.
-    chunk = F.pmod(F.xxhash64("node"), "chunks").cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    large = routed.join(counted, "shard").withColumn("i", chunk).withColumn("j", other)
-    large = large.withColumns({"x": F.least("i", "j"), "y": F.greatest("i", "j")})
-    fine = routed.join(counted.select("shard"), "shard", "left_anti").withColumns({"x": F.lit(0), "y": F.lit(0)})
-    dealt = fine.unionByName(large.drop("chunks", "i", "j"))
-    keyed = dealt.withColumn("part", F.xxhash64("shard", "x", "y")).drop("shard", "x", "y")
+    # Shards beyond LEAF_ROWS go in pairs of chunks (i <= j). There are no more shards than rows of the samples.
+    sized = routed.join(F.broadcast(counted), "shard", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = sized.withColumn("i", F.pmod(F.xxhash64("node"), "chunks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    keyed = dealt.withColumn("part", F.xxhash64("shard", F.least("i", "j"), F.greatest("i", "j"))).drop("shard", "chunks", "i", "j")
     # Parts share tasks; a task sorts its rows and takes one part after the other.
     sorted_parts = keyed.repartition("part").sortWithinPartitions("part", "node")
 
@@ -279,16 +279,16 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
             found: list[tuple[int, int]] = []
             node, part = pdf["node"].to_numpy(), pdf["part"].to_numpy()
             fp = np.ascontiguousarray(pdf[names].to_numpy(np.int64)).view(np.uint64)
-            own = pdf["own"].to_numpy(bool)
+            own, ask = pdf["own"].to_numpy(bool), pdf["ask"].to_numpy(bool)
             cuts = np.flatnonzero(np.diff(part)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
                 if b - a > 1:
-                    f, mine = fp[a:b], np.flatnonzero(own[a:b])
-                    pairs = ((q, mine[p]) for q, p in pairs_within(f[mine], f, limit))
+                    f, mine, asking = fp[a:b], np.flatnonzero(own[a:b]), np.flatnonzero(ask[a:b])
+                    pairs = ((asking[q], mine[p]) for q, p in pairs_within(f[mine], f[asking], limit))
                     if nearest:
                         found += [(int(node[a + i]), int(node[a + r]), d) for i, r, d in nearest_earlier(f, pairs, nearest).tolist() if node[a + i] != node[a + r]]
                         continue
-                    found += [(int(node[a + i]), int(node[a + r]), 0) for i, r in local_links(node[a:b], pairs)]
+                    found += [(int(node[a + i]), int(node[a + r]), 0) for i, r in local_links(b - a, pairs)]
             return pd.DataFrame(found, columns=["a", "b", "d"], dtype=np.int64)
 
         for pdf in frames:
@@ -308,7 +308,6 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
 
 def verified(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """The links (a, b) between ids whose texts' sets of shingles have that Jaccard similarity or more."""
-    links = materialize(links, "candidates")
     wanted = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
 
@@ -328,6 +327,24 @@ def verified(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     return both.where(F.col("jaccard") >= similarity).select("a", "b").distinct()
 
 
+def verified_links(points: DataFrame, verify: Callable[[DataFrame], DataFrame], nearest: int, search: Callable[[int, DataFrame | None], DataFrame]) -> DataFrame:
+    """Links that hold, so that every node with a candidate that holds has one.
+
+    Each node's ``nearest`` candidates are tried first; a node none of whose candidates held and that
+    may have more is asked again for eight times as many, until no such node is left.
+    """
+    held, asked = None, None
+    while True:
+        links = materialize(search(nearest, asked), "candidates")
+        good = materialize(verify(links), "verified")
+        held = good if held is None else held.unionByName(good)
+        full = links.groupBy("a").count().where(F.col("count") >= nearest)
+        asked = materialize(full.join(good.select("a").distinct(), "a", "left_anti").select(F.col("a").alias("node")), "asked")
+        if asked.isEmpty():
+            return held
+        nearest *= 8
+
+
 def groups(prints: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM, nearest: int = 0, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``prints`` (doc_id, f0..) with component_id: the smallest doc_id that links reach.
 
@@ -340,8 +357,11 @@ def groups(prints: DataFrame, limit: int, masks: list[np.ndarray], radius: int,
     points = prints.groupBy(*names).agg(F.min("doc_id").alias("least"))
     points = points.withColumn("node", F.coalesce("least", F.shiftright(F.xxhash64(*names), 2) - (1 << 62)))
     points = materialize(points, "points")
-    links = near_links(points, limit, masks, radius, words, leaf_aim, nearest)
-    tied = components(verify(links) if verify else links)
+    if verify:
+        links = verified_links(points, verify, nearest, lambda most, asked: near_links(points, limit, masks, radius, words, leaf_aim, most, asked))
+    else:
+        links = near_links(points, limit, masks, radius, words, leaf_aim)
+    tied = components(links)
     real = F.when(F.col("node") == F.coalesce("least", F.col("node") + 1), F.col("least"))
     named = points.join(tied, "node", "left").withColumn("root", F.coalesce("component", "node")).withColumn("real", real)
     best = named.groupBy("root").agg(F.min("real").alias("component_id"))
@@ -349,9 +369,8 @@ def groups(prints: DataFrame, limit: int, masks: list[np.ndarray], radius: int,
     return prints.join(of_points, names)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 4, shingle: int = 4, blocks: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 4, shingle: int = 4, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: exact links at ``limit`` bits or fewer."""
-    blocks = blocks or limit + 1
     found = groups(fingerprints(docs, id_col, text_col, shingle), limit, blocks_of(64, blocks), limit // blocks)
     hexed = F.lower(F.lpad(F.hex("f0"), 16, "0"))
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
@@ -380,9 +399,9 @@ def kept_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Trees find candidates: pairs at Jaccard 0.8 differ in 15 % of SimHash bits, too many for
     exact blocks, so the trees look at sampled bits, where a pair at 0.8 shares a leaf of one of
     48 trees in 97 of 100 cases. Fingerprints are of distinct shingles, and candidates may differ
-    in three standard deviations more than expected. Each document's STAGE_NEAREST nearest
-    candidates of smaller ids are verified by the exact Jaccard similarity of the sets of
-    shingles. Rows with a null id stay; rows that repeat an id stay together.
+    in three standard deviations more than expected. Each document's nearest candidates of
+    smaller ids are verified by the exact Jaccard similarity of the sets of shingles, STAGE_NEAREST
+    at first and more where none of them holds (``verified_links``). Rows with a null id stay; rows that repeat an id stay together.
     """
     prints = fingerprints(docs, id_col, text_col, STAGE_SHINGLE, words, True)
     limit, masks = candidate_bits(similarity, words), trees_sampled(64 * words, trees, picked)

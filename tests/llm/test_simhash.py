@@ -112,3 +112,42 @@ def test_stage_goes_by_exact_jaccard(documents):
     for low, high, share in ((0.8, 0.83, 0.9), (0.83, 0.9, 0.95)):
         there = [i for i, v in likeness.items() if low <= v < high]
         assert len(there) >= 40 and sum(i in gone for i in there) >= share * len(there)
+
+
+def test_candidates_beyond_the_nearest_are_asked_for(spark):
+    """A node whose nearest candidates all fail gets the rest; others aren't asked again."""
+    points = spark.createDataFrame([(i,) for i in range(60)], "node long")
+    all_links = [(i, j, abs(i - j)) for i in range(60) for j in range(i)]
+    asked_for = []
+
+    def search(most, asked):
+        nodes = {r.node for r in asked.collect()} if asked is not None else set(range(60))
+        asked_for.append((most, nodes))
+        rows = [(i, j) for i in nodes for _, j in sorted((d, j) for k, j, d in all_links if k == i)[:most]]
+        return spark.createDataFrame(rows, "a long, b long")
+
+    held = simhash.verified_links(points, lambda links: links.where("b = 0 or a % 2 = 0"), 4, search)
+    got = {(r.a, r.b) for r in held.collect()}
+    assert {a for a, _ in got} == set(range(1, 60)) and all((i, 0) in got for i in range(1, 60, 2))
+    assert [m for m, _ in asked_for] == [4, 32, 256] and asked_for[1][1] == {i for i in range(5, 60, 2)}
+
+
+def test_no_folder_of_the_machine_on_a_cluster(spark):
+    from sparkloom.llm import common
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    import pytest
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+    common.materialize(spark.range(3), "x")
+    path = common.WRITTEN[-1]
+    common.forget(spark)
+    assert not common.WRITTEN and not list(__import__("glob").glob(path.removeprefix("file:") + "/*"))
