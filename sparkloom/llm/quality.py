@@ -70,9 +70,9 @@ def features(text: str | None) -> np.ndarray:
 
 
 def sampled(docs: DataFrame, most: int) -> DataFrame:
-    """At most about ``most`` rows, by a hash of the id."""
+    """About ``most`` rows at most, by a hash of the id (rows that repeat an id come together)."""
     share = min(1.0, most / max(docs.count(), 1))
-    return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).limit(most + most // 4)
+    return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
 
 
 def rows_of(docs: DataFrame) -> np.ndarray:
@@ -139,21 +139,25 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 150)
     return float(np.clip(ratio.min(), 0.05, 0.98))
 
 
+def risk(odds_p: np.ndarray, odds_u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """(positive part, negative part, the gradient to follow in all odds) of the non-negative risk with the logistic loss."""
+    up, uu = -prior * sigmoid(odds_p) / len(odds_p), sigmoid(odds_u) / len(odds_u)
+    positive = prior * np.logaddexp(0, -odds_p).mean()
+    negative = np.logaddexp(0, odds_u).mean() - prior * np.logaddexp(0, odds_p).mean()
+    if negative >= 0:
+        return positive, negative, np.append(up - prior * sigmoid(-odds_p) / len(odds_p), uu)
+    return positive, negative, np.append(-up, -uu)
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 800, batch: int = 1024) -> Network:
-    """Minimise the non-negative risk over batches with the logistic loss; where its second part is negative, step back out of it."""
+    """Minimise the non-negative risk over batches; where its second part is negative, step back out of it."""
     net = fresh(positive, unlabelled)
     rng = np.random.default_rng(6)
     all_p, all_u = net.normed(positive)[rng.permutation(len(positive))], net.normed(unlabelled)[rng.permutation(len(unlabelled))]
     for r in range(rounds):
         zp = all_p[(r * batch + np.arange(min(batch, len(all_p)))) % len(all_p)]
         zu = all_u[(r * batch + np.arange(min(batch, len(all_u)))) % len(all_u)]
-        op, ou = net.odds(zp), net.odds(zu)
-        negative = np.logaddexp(0, ou).mean() - prior * np.logaddexp(0, op).mean()
-        up, uu = -prior * sigmoid(op) / len(op), sigmoid(ou) / len(ou)
-        if negative >= 0:
-            g = np.append(up - prior * sigmoid(-op) / len(op), uu)
-        else:
-            g = np.append(-up, -uu)
+        *_, g = risk(net.odds(zp), net.odds(zu), prior)
         net.grad_step(np.vstack([zp, zu]), g, rate=0.01 if r < rounds // 2 else 0.002)
     return net
 

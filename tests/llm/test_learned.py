@@ -97,3 +97,63 @@ def test_pipeline_stages(spark, stages):
     assert len(bad & ids[0]) <= 0.1 * len(bad)
     texts = [r.text for r in stages[1][1].select("text").collect()]
     assert len(texts) == len(set(texts))
+
+
+def test_risk_against_a_plain_loop():
+    """The non-negative risk by its definition, its gradient by differences, on either side of zero."""
+    rng = np.random.default_rng(12)
+    for prior, shift in ((0.3, 0.0), (0.7, 0.5), (0.9, -3.0), (0.9, 2.0)):
+        op, ou = rng.normal(1 + shift, 1, 30), rng.normal(-shift, 1, 50)
+
+        def parts(op, ou):
+            loss = lambda z: math.log1p(math.exp(-z))
+            return prior * sum(loss(z) for z in op) / len(op), sum(loss(-z) for z in ou) / len(ou) - prior * sum(loss(-z) for z in op) / len(op)
+
+        positive, negative, g = quality.risk(op, ou, prior)
+        want = parts(op, ou)
+        assert abs(positive - want[0]) < 1e-12 and abs(negative - want[1]) < 1e-12
+        target = (lambda p, u: sum(parts(p, u))) if negative >= 0 else (lambda p, u: -parts(p, u)[1])
+        for k in (0, 7, 30, 61):
+            z, step = np.concatenate([op, ou]), np.zeros(80)
+            step[k] = 1e-5
+            slope = (target((z + step)[:30], (z + step)[30:]) - target((z - step)[:30], (z - step)[30:])) / 2e-5
+            assert abs(slope - g[k]) < 1e-7
+
+
+def test_language_fit_uses_all_words(spark, monkeypatch):
+    """Expectation maximisation over tasks equals one lattice over all words; every word counts, however rare."""
+    vocab = {p: i for i, p in enumerate(sorted(["▁", *"abcdefgh", "ab", "▁a", "cd", "▁ef", "gh"]))}
+    rng = np.random.default_rng(3)
+    words = sorted({"".join(rng.choice(list("abcdefgh"), rng.integers(1, 7))) for _ in range(400)})
+    weights = rng.integers(1, 9, len(words)).astype(float)
+    counted = spark.createDataFrame([(0, w, int(n)) for w, n in zip(words, weights)] + [(1, "ab", 1)], "lang int, word string, count long").repartition(5)
+    model = language.fit(["x", "y"], counted, vocab, rounds=2)
+    p, lattice = language.begin(len(vocab)), language.Lattice(words, vocab, language.prefixes(vocab))
+    for _ in range(2):
+        seen = lattice.expected(p, weights)[:-1] + 0.1
+        p = np.append(seen / seen.sum(), language.UNKNOWN)
+    assert np.allclose(model.p[0], p)
+
+
+def test_many_languages(documents):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"word{chr(97 + i % 26)} {chr(97 + i % 26) * 3} text") for i in range(300)]
+    docs = documents(rows).withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 26).cast("string")))
+    got = language.identified(docs, tokenizer("piece_bpe_32k.model")).collect()
+    assert len(got) == 300 and np.mean([r.lang_pred == f"l{r.doc_id % 26}" for r in got]) > 0.9
+
+
+def test_pipeline_on_empty_and_null_rows(spark, tmp_path):
+    """All five stages over empty tables, and over rows with nulls in every column, repeated ids and extra columns."""
+    from pyspark.sql import functions as F
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    labels, bench = (table(spark, "/root/testdata/sf0.001", t) for t in ("labels", "benchmark"))
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "no id but words " * 20, "en", None, 5), (1, "again " * 30, None, "s", None), (1, "again " * 30, None, "s", None), (2, "", "en", "s", 0)], docs.schema)
+    for name, d, few in (("empty", docs.limit(0), True), ("nulls", odd.unionByName(docs), False)):
+        d.withColumn("words", F.lit("w")).withColumn("node", F.lit(1)).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        (labels.limit(0) if few else labels).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        (bench.limit(0) if few else bench).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert few == (not got)
