@@ -9,7 +9,8 @@ windows, the count rises by one while the heaviest window exceeds the capacity.
 
 Scale: each task packs what it reads, so there is no shuffle, and a task holds one batch
 of tails, whatever the size of the input. Sequence ids carry the task's partition number.
-Defined cases: null text is empty (one end id); a null id is kept as null; repeated rows
+Defined cases: ids are the tokenizer's as loaded, without added special tokens (the text of a
+special token is that token); null text is empty (one end id); a null id is kept as null; repeated rows
 are packed once each; an empty table gives no rows; other columns are ignored.
 """
 
@@ -66,7 +67,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        # Runs that hold a special token's text (or look like it) are left to the tokenizer as they are.
+        self.specials = [t.content.lower() for t in self.model.get_added_tokens_decoder().values()]
         self.parts_model = Tokenizer(self.model.model)
         self.parts_model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.known: dict[str, bytes] = {}
@@ -76,6 +78,10 @@ class WordTokenizer:
     def encode(self, text: str) -> list[int]:
         return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def special(self, text: str) -> bool:
+        low = text.lower()
+        return any(s in low for s in self.specials)
+
     def latin(self, text: str) -> bool:
         if text.isascii():  # the same test, by a faster way
             raw = text.encode()
@@ -87,10 +93,11 @@ class WordTokenizer:
 
     def split(self, text: str) -> list[str]:
         """The runs of a text, Latin ones in their normal form, all others as they are."""
-        if self.latin(text):
+        held = self.special(text)
+        if not held and self.latin(text):
             return self.normal(text).split()
         runs = [w.decode() for w in text.encode("utf-8", "replace").split()]
-        return [self.normal(w) if self.latin(w) else w for w in runs]
+        return [self.normal(w) if self.latin(w) and not (held and self.special(w)) else w for w in runs]
 
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.known)
@@ -103,7 +110,7 @@ class WordTokenizer:
         for w in new:
             if w.isalpha() and (w.isascii() or self.LATIN.fullmatch(w)):
                 fresh.append(w)
-            elif self.latin(w):
+            elif self.latin(w) and not self.special(w):
                 cut[w] = self.PARTS.findall(w)
             else:
                 known[w] = np.array(self.encode(w), "<u4").tobytes()

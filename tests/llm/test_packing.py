@@ -17,7 +17,6 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [[*e.ids, 2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -83,3 +82,9 @@ def test_any_text_has_the_tokenizer_s_ids(text):
     t = packing.WordTokenizer(PATH)
     got = np.frombuffer(next(t.texts([text])), "<u4").tolist()
     assert got == reference_ids([text.encode("utf-8", "replace").decode()])[0][:-1]
+
+
+def test_texts_of_special_tokens():
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|> <|endoftext|", "caf\u00e9<|endoftext|>\u0416 it's", "<|endoftext|><|endoftext|>", "\u4e2d<|startoftext|>\u6587 <|EndOfText|>x"]
+    got = [[*np.frombuffer(b, "<u4").tolist(), 2] for b in packing.WordTokenizer(PATH).texts(texts)]
+    assert got == reference_ids(texts)
