@@ -13,7 +13,9 @@ second on the driver; the parameters (a few hundred numbers) go to the tasks.
 Scale: pages are extracted where they are read, no shuffle, one page in memory at a time.
 Defined cases: null, empty or text-less html gives an empty text; plain text without tags is
 content if the model says so; repeated rows are extracted each; broken nesting is read as
-browsers do for p, li, table parts and options; nothing is dropped or capped by length.
+browsers do for p, li, table parts and options, below DEPTH open elements as siblings; tags
+without an end are text; time grows with the page's length, whatever its markup; nothing is
+dropped or capped by length.
 """
 
 from __future__ import annotations
@@ -42,7 +44,10 @@ CLOSES = {
 }
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+NAMED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+UNQUOTED = re.compile(r"[^>\"']*")
+#: Open elements that are remembered; deeper ones are read as siblings, as browsers do.
+DEPTH = 512
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Words in class, id and role names that the unary model looks at, by what they tell.
@@ -64,7 +69,7 @@ for _k, _v in HINTS.items():
 TAGS = "html body main article section nav aside header footer form div p h1 h2 h3 h4 h5 h6 ul ol li a b i em strong span table tr td th blockquote pre code figure figcaption dl dt dd label #text".split()
 #: Stands before a text of the content in labelled pages.
 MARK = "\ue000"
-NUMBERS = ("length", "links", "points", "words", "bias")
+NUMBERS = ("length", "links", "points", "bias")
 FEATURES = {name: i for i, name in enumerate([*(f"tag:{t}" for t in TAGS), *(f"under:{t}" for t in TAGS), *(f"name:{h}" for h in HINTS), *(f"within:{h}" for h in HINTS), *NUMBERS])}
 
 
@@ -88,11 +93,53 @@ def hints_of(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
+def tags_of(source: str) -> Iterator[tuple]:
+    """(start, end, closing, name, attributes) of tags, in order; comments and declarations have no name.
+
+    One pass: whatever a search once misses (a quote, a ``>``) isn't searched for again. ``send``
+    a position to go on from there.
+    """
+    at, n, quoting = 0, len(source), True
+    while (lt := source.find("<", at)) >= 0:
+        m = NAMED.match(source, lt)
+        if m:
+            p, attributes = m.end(), m.end()
+            while quoting:
+                p = UNQUOTED.match(source, p).end()
+                if p >= n or source[p] == ">":
+                    break
+                close = source.find(source[p], p + 1)
+                p = close + 1 if close >= 0 else n
+            if p >= n or source[p] != ">":
+                quoting = False  # quotes don't pair up: from here on tags end at their first ">"
+                p = source.find(">", attributes)
+                if p < 0:
+                    return
+            found = lt, p + 1, bool(m[1]), m[2].lower(), source[attributes:p]
+        elif source.startswith("<!--", lt):
+            end = source.find("-->", lt + 4)
+            found = lt, end + 3 if end >= 0 else n, False, None, ""
+        elif source.startswith(("<!", "<?"), lt):
+            end = source.find(">", lt)
+            if end < 0:
+                return
+            found = lt, end + 1, False, None, ""
+        else:
+            at = lt + 1
+            continue
+        onward = yield found
+        at = found[1]
+        if onward is not None:
+            at = onward
+            yield None
+
+
 def tree(source: str) -> list[Node]:
     """Nodes in document order, parents before children; hidden elements have no nodes."""
     nodes = [Node("#root", -1)]
     stack = [0]
-    at, n = 0, len(source)
+    done = 0
+    never_closed: set[str] = set()
 
     def put(text: str) -> None:
         if text and not text.isspace():
@@ -100,17 +147,13 @@ def tree(source: str) -> list[Node]:
         elif text:
             nodes.append(Node("#space", stack[-1], (), " "))
 
-    while at < n:
-        m = TOKEN.search(source, at)
-        if not m:
-            put(source[at:])
-            break
-        put(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    found = tags_of(source)
+    for start, end, closing, tag, attributes in found:
+        put(source[done:start])
+        done = end
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if nodes[stack[i]].tag == tag:
                     del stack[i:]
@@ -138,13 +181,19 @@ def tree(source: str) -> list[Node]:
                 elif nodes[stack[i]].tag in stop:
                     break
         if tag in RAW or tag in HIDDEN and tag not in ("head", "object") and tag not in VOID:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            at = end.end() if end else (n if tag in RAW else at)
+            last = None if tag in never_closed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, done)
+            gt = source.find(">", last.end()) if last else -1
+            if gt < 0:
+                never_closed.add(tag)
+            if gt >= 0 or tag in RAW:
+                done = gt + 1 if gt >= 0 else len(source)
+                found.send(done)
             continue
-        hints = hints_of(m[3]) if m[3] and not m[3].isspace() else ()
+        hints = hints_of(attributes) if attributes and not attributes.isspace() else ()
         nodes.append(Node(tag, stack[-1], hints))
-        if tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
+        if tag not in VOID and not attributes.rstrip().endswith("/") and len(stack) < DEPTH:
             stack.append(len(nodes) - 1)
+    put(source[done:])
     return nodes
 
 

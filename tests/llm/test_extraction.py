@@ -78,3 +78,15 @@ def test_edges(spark, model):
     by = dict(got)
     assert len(got) == len(rows) and by[1] == by[2] == by[None] == by[6] == "" and len(by[4]) == 16 * 50_000 - 1
     assert extraction.extract(df.limit(0), model=model).collect() == []
+
+
+def test_time_grows_with_the_length_of_malformed_pages():
+    import time
+
+    model = extraction.fit(20, 20)
+    half = 500_000
+    for piece in ("<a ", "<a \"", "<a '>\" ", "<!", "<!--", "<button>", "</b", "<div>", "<i></x>", "<svg></svg ", "<p><b>", "<", "<td><i>", "a < b & ", "<script"):
+        start = time.monotonic()
+        extraction.main_text("<p>Some words of text.</p>" + piece * (half // len(piece)), model)
+        assert time.monotonic() - start < 20, piece
+    assert extraction.main_text("<article><p>One two, three.</p><p title='a > b'>Four < five.</p></article><a ", model).startswith("One two, three. Four < five.")
