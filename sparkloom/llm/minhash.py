@@ -25,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .simhash import shingle_hashes
 
 BINS, BITS, SHINGLE = 256, 4, 5
 ATTEMPTS = 4096
+#: Ranges of ids a shuffle partition (several, so that partitions are even) and ids sampled for each range's edge.
+PARTS, PART_SAMPLE = 16, 10
 PRIME = (1 << 31) - 1
 
 
@@ -89,20 +92,24 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = sorted(set(rows.select(order.cast("double").alias("o")).approxQuantile("o", [i / parts for i in range(1, parts)], 0.25 / parts)))
-    # The part of an id: how many edges lie below it.
+    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = min(1.0, PART_SAMPLE * parts / max(docs.count(), 1))
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).select(order.cast("double").alias("o")).toPandas()["o"]
+    edges = np.unique(np.quantile(drawn, np.arange(1, parts) / parts, method="lower")) if len(drawn) else np.zeros(0)
+    # The part of an id: how many edges lie below it, by binary search.
     part = F.lit(0)
-    if edges:
-        bounds = F.array(*(F.lit(e) for e in edges))
-        part = F.aggregate(bounds, F.lit(0), lambda n, e: n + F.when(e < F.col("o"), 1).otherwise(0))
+    if len(edges):
+        bounds = F.split(F.lit(",".join(repr(float(e)) for e in edges)), ",").cast("array<double>")
+        steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))))
+        part = F.aggregate(steps, F.lit(0), lambda n, s: n + F.when((n + s <= len(edges)) & (F.get(bounds, n + s - 1) < F.col("o")), s).otherwise(0))
     dealt = rows.withColumn("o", order.cast("double")).withColumn("part", part)
     # Each part's first row (largest id) also follows the last row of the part above; one row a part.
     keyed = dealt.withColumn("k", order)
-    ends = F.broadcast(keyed.groupBy("part").agg(F.max("k").alias("k")))
-    tops = keyed.select("part", "k", "text").join(ends, ["part", "k"]).groupBy("part", "k").agg(F.max("text").alias("text"))
-    above = Window.orderBy("part")
-    copies = tops.select(F.coalesce(F.lead("part").over(above), F.min("part").over(above.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("part"), F.col("k"), "text", F.lit(1).alias("extra"))
+    ends = materialize(keyed.groupBy("part").agg(F.max("k").alias("k")), "parts")  # a row a part
+    tops = keyed.select("part", "k", "text").join(F.broadcast(ends), ["part", "k"]).groupBy("part", "k").agg(F.max("text").alias("text"))
+    above = Window.orderBy("part")  # over the parts' numbers only
+    follows = ends.select("part", F.coalesce(F.lead("part").over(above), F.min("part").over(above.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"))
+    copies = tops.join(F.broadcast(follows), "part").select(F.col("to").alias("part"), "k", "text", F.lit(1).alias("extra"))
     mine = dealt.select("part", order.alias("k"), "text", F.lit(0).alias("extra"), "doc_id")
     both = mine.unionByName(copies.withColumn("doc_id", F.lit(None).cast("long")))
     sequence = Window.partitionBy("part").orderBy("extra", F.desc("k"), F.desc("text"))
@@ -132,13 +139,3 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
-
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the packed fingerprint of every text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [spelled(sketch(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["doc_id", "fingerprint"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
