@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, library, retrieval, state  # noqa: F401
+from . import evaluation, library, pages, retrieval, state  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "hybrid_retrieval"
