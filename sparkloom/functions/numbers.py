@@ -43,11 +43,20 @@ def numbers(text: Column) -> Column:
     return F.transform(found, canonical)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body's own lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def multiset_difference(a: Column, b: Column) -> Column:
     """What array a has more of than array b, sorted."""
     count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    more = F.transform(F.array_distinct(a), lambda v: F.array_repeat(v, F.greatest(count(a, v) - count(b, v), F.lit(0))))
-    return F.array_sort(F.flatten(more))
+
+    def more(s: Column) -> Column:
+        repeated = F.transform(F.array_distinct(s["a"]), lambda v: F.array_repeat(v, F.greatest(count(s["a"], v) - count(s["b"], v), F.lit(0))))
+        return F.array_sort(F.flatten(repeated))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), more)
 
 
 def missing_numbers(source: Column, translated: Column) -> Column:
@@ -72,8 +81,7 @@ def unit_key(raw: Column) -> Column:
 def normalized_unit(raw: Column) -> Column:
     """The canonical unit; empty for an empty one, null for an unknown one. Case matters."""
     spellings = [F.lit(v) for name, all_of in UNITS.items() for s in all_of.split() for v in (s, name)]
-    key = unit_key(raw)
-    return F.when(key == "", "").otherwise(F.try_element_at(F.create_map(*spellings), key))
+    return let(unit_key(raw), lambda key: F.when(key == "", "").otherwise(F.try_element_at(F.create_map(*spellings), key)))
 
 
 def strict_number(raw: Column, comma: str = "reject") -> Column:

@@ -66,3 +66,40 @@ def anchors(text: Column, size: int, step: int) -> Column:
     last = F.greatest(F.size(words) - (size - 1), F.lit(1))
     starts = F.array_distinct(F.concat(F.filter(F.sequence(F.lit(1), last, F.lit(step)), lambda i: i < last), F.array(last)))
     return F.when(F.size(words) > 0, F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))))
+
+
+def match_form(text: Column) -> Column:
+    """Lower-case Latin and Cyrillic letters and digits, in words."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, "[^0-9a-zA-Zа-яА-ЯёЁ]+", " ")), " +", " "))
+
+
+def has_heading_number(text: Column, number: str) -> Column:
+    """Whether a heading begins with that number, as a whole."""
+    return text.rlike(rf"^[ ]*{number}[.) ]")
+
+
+def has_marker(text: Column, markers: list[str], empty_too: bool = False) -> Column:
+    """Whether a text, case and white space aside, holds one of the markers; an empty one where asked."""
+    plain = collapsed(F.lower(text))
+    found = F.lit(False)
+    for m in markers:
+        found = found | plain.contains(m)
+    return found | (plain == "") if empty_too else found
+
+
+def embedding_input(text: Column, most: int, prefix: str = "") -> Column:
+    """The trimmed text of at most ``most`` characters, a full stop where it is empty, behind the prefix, which isn't repeated."""
+    raw = F.trim(F.coalesce(text, F.lit("")))
+    if prefix:
+        raw = F.when(F.lower(raw).startswith(prefix.lower()), F.ltrim(F.substring(raw, len(prefix) + 1, 1 << 30))).otherwise(raw)
+    body = F.substring(raw, 1, most)
+    body = F.when(body == "", ".").otherwise(body)
+    return F.concat(F.lit(f"{prefix} "), body) if prefix else body
+
+
+def scope_id(owner: Column) -> Column:
+    return F.concat(F.lit("scope-sha256:"), F.sha2(owner, 256))
+
+
+def evidence_id(sha256: Column, page: Column, content_type: Column) -> Column:
+    return F.concat(F.lit("ev-sha256:"), sha256, F.lit(":p"), page, F.lit(":"), content_type)
