@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, guards, library, pages, retrieval, state  # noqa: F401
+from . import evaluation, guards, library, pages, pools, retrieval, state  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "hybrid_retrieval"
