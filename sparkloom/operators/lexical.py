@@ -9,30 +9,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kept import kept
+
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
+#: Stands for a document itself among its terms; no token is empty. And how many terms are broadcast (some 60 bytes each).
+EVERY, BROADCAST_TERMS = "", 1_000_000
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf)."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(query_id, term): distinct terms of each query."""
+    return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
+
 
+def postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, len, term, tf) of the terms asked for, and one row (term EVERY) for each document; each text is cut into tokens once.
 
-def query_terms(queries: DataFrame, id_col: str, text_col: str, most: int | None = None) -> DataFrame:
-    """(query_id, term): distinct terms of each query, the first ``most`` where given."""
-    listed = F.array_distinct(tokens(F.col(text_col)))
-    return queries.select(F.col(id_col).alias("query_id"), F.explode(F.slice(listed, 1, most) if most else listed).alias("term"))
+    Tokens meet the terms inside the scan's own stage while these are at most BROADCAST_TERMS, checked by a count; more are joined by a
+    shuffle of counts.
+    """
+    wanted = kept(terms.select("term").distinct().unionByName(terms.sparkSession.range(1).select(F.lit(EVERY).alias("term"))))
+    cut = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).withColumn("len", F.size("w"))
+    rows = cut.select("id", "len", F.explode(F.concat(F.array(F.lit(EVERY)), "w")).alias("term"))
+    if wanted.count() <= BROADCAST_TERMS:
+        return kept(rows.join(F.broadcast(wanted), "term").groupBy("id", "len", "term").agg(F.count("*").alias("tf")))
+    return kept(rows.groupBy("id", "len", "term").agg(F.count("*").alias("tf")).join(wanted, "term"))
 
 
-def match_all(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int, most: int | None = None) -> DataFrame:
+def match_all(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int) -> DataFrame:
     """(query_id, id, rank, score): rows with every term of the query, by the sum of ln(1 + tf), ties by id."""
-    terms = query_terms(queries, query_id, query_text, most)
+    terms = query_terms(queries, query_id, query_text)
     needed = terms.groupBy("query_id").agg(F.count("*").alias("needed"))
-    hits = postings(docs, id_col, text_col).join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("n"), F.round(F.sum(F.log1p("tf")), 6).alias("score"))
+    hits = postings(docs, terms, id_col, text_col).join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("n"), F.round(F.sum(F.log1p("tf")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     found = hits.join(needed, "query_id").where("n = needed")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
@@ -41,20 +53,17 @@ def match_all(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, q
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, rank, score): BM25 over the distinct terms of each query; ties by id.
 
-    Postings are made once and reduced to the query's terms before they are shuffled on
-    anything but (id, term); idf is ln(1 + (N - df + 0.5) / (df + 0.5)).
+    Postings of the queries' terms and the documents' lengths come from one pass over the texts, which is kept; idf is
+    ln(1 + (N - df + 0.5) / (df + 0.5)), and the totals are over all documents.
     """
     terms = query_terms(queries, query_id, query_text)
-    wanted = terms.select("term").distinct()
-    lengths = docs.select(F.col(id_col).alias("id"), F.size(tokens(F.col(text_col))).alias("len"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    found = postings(docs, id_col, text_col).join(wanted, "term")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(corpus))  # one row of totals
+    found = postings(docs, terms, id_col, text_col)
+    corpus = found.where(F.col("term") == EVERY).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    hits = found.where(F.col("term") != EVERY)
+    idf = hits.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus))  # one row of totals
     idf = idf.select("term", "avg_len", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighed = found.join(idf, "term").join(lengths, "id")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scores = weighed.select("id", "term", part.alias("part")).join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    scores = hits.join(idf, "term").select("id", "term", part.alias("part")).join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scores.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
 

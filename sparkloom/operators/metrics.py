@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def log2(x: Column) -> Column:
     return F.log(x) / F.log(F.lit(2.0))
@@ -33,6 +35,25 @@ def ranking_metrics(rankings: DataFrame, grades: DataFrame, k: int) -> DataFrame
     )
 
 
+def class_metrics(ranked: DataFrame, cases: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """``ranking_metrics`` where all other items of a case's label are relevant, without a row for each such pair.
+
+    ``ranked`` has (case_id, rank, ref), ``cases`` (case_id, label), a case being an item itself, ``items`` (ref, label, grade).
+    A label's k + 1 best items give the ideal order of each of its cases.
+    """
+    n = items.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
+    best = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("grade"), "ref"))
+    tops = items.withColumn("i", best).where(F.col("i") <= k + 1).select("label", "ref", "grade")
+    order = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("grade"), "ref"))
+    ideal = cases.join(tops, "label").where("ref <> case_id").withColumn("i", order).where(F.col("i") <= k).groupBy("case_id").agg(F.sum(gain(F.col("grade")) / log2(F.col("i") + 1.0)).alias("idcg"))
+    found = ranked.where(F.col("rank") <= k).join(cases, "case_id").join(items, ["ref", "label"])
+    hits = found.groupBy("case_id").agg(F.count("*").alias("hits"), F.min("rank").alias("first"), F.sum(gain(F.col("grade")) / log2(F.col("rank") + 1.0)).alias("dcg"))
+    joined = cases.join(n, "label").where("n_relevant > 0").join(ideal, "case_id").join(hits, "case_id", "left")
+    return joined.select(
+        "case_id", "n_relevant", F.round(F.coalesce("hits", F.lit(0)) / F.col("n_relevant"), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.coalesce("dcg", F.lit(0.0)) / F.col("idcg"), 6).alias("ndcg")
+    )
+
+
 def citation_metrics(citations: DataFrame, sources: DataFrame, relevant: DataFrame) -> DataFrame:
     """Validity, precision, recall and F1 of citations (case_id, cited) against sources (case_id, rank, ref) and relevant (case_id, ref).
 
@@ -81,5 +102,5 @@ def peak_concurrency(intervals: DataFrame, key: str) -> DataFrame:
     """(key, peak): most intervals (start, stop) open at once; at equal times starts come first."""
     ends = intervals.select(key, F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("t"), F.lit(-1).alias("d")))).alias("e")).select(key, "e.t", "e.d")
     steps = ends.groupBy(key, "t", "d").agg(F.sum("d").alias("s"))
-    running = F.sum("s").over(Window.partitionBy(key).orderBy("t", F.desc("d")))
-    return steps.withColumn("open", running).groupBy(key).agg(F.max("open").alias("peak"))
+    # Few keys have very many ends each: running sums go by ranges of time.
+    return running(steps.withColumn("later", -F.col("d")), key, "t", F.col("s"), ("later",)).groupBy(key).agg(F.max("upto").alias("peak"))

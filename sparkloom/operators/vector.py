@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors compared in one pass (8 bytes x dimensions each); more go in further passes.
+from .kept import kept
+
+#: Query vectors compared in one pass (8 bytes x dimensions each), all that driver and tasks hold; more go in further passes.
 QUERY_BLOCK = 8_192
 
 
@@ -37,9 +39,10 @@ def normalized(v: Column, dims: int | None = None) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """(query_id, vec_id, rank, distance): the k rows of least cosine distance to each query, ties by id.
 
-    Queries are dealt in blocks of at most ``QUERY_BLOCK`` (their number is checked first);
-    every task keeps its k best per query, so that a pass shuffles k rows per query and
-    task, never a row per pair. Rows without a vector or with a zero one are left out.
+    Queries are dealt by hash in blocks of about ``QUERY_BLOCK`` (their number is checked first). A block at a time is held by the
+    driver and broadcast; every task keeps its k best per query, so that a pass shuffles k rows per query and task,
+    never a row per pair. Of several blocks each one's result is kept before the next is read. Rows without a
+    vector or with a zero one are left out.
     """
     fields = vectors.schema
     id_type = fields[id_col].dataType.simpleString()
@@ -47,24 +50,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("v"))
     blocks = -(-asked.count() // QUERY_BLOCK) or 1
     schema = f"query_id {id_type}, vec_id {id_type}, distance double"
-    parts = []
+    context = vectors.sparkSession.sparkContext
+    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    found = None
     for b in range(blocks):
         mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        held = mine.toPandas()
-        q = np.stack(held["v"].map(lambda v: np.asarray(v, float)).to_list()) if len(held) else np.zeros((0, 1))
-        names = held["query_id"].to_numpy()
-        length = np.linalg.norm(q, axis=1)
-        q, names = q[length > 0] / length[length > 0][:, None], names[length > 0]
-        parts.append(rows.mapInPandas(_best(q, names, k, exclude_self), schema))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        part = rows.mapInPandas(_best(context.broadcast(_unit_block(mine)), k, exclude_self), schema)
+        part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if blocks > 1:
+            part = kept(part)
+            part.count()
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _unit_block(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of one block at unit length and their ids; zero vectors are left out."""
+    got = queries.toPandas()
+    q = np.stack(got["v"].map(lambda v: np.asarray(v, float)).to_list()) if len(got) else np.zeros((0, 1))
+    length = np.linalg.norm(q, axis=1)
+    return q[length > 0] / length[length > 0][:, None], got["query_id"].to_numpy()[length > 0]
 
 
-def _best(q: np.ndarray, names: np.ndarray, k: int, exclude_self: bool):
+def _best(block, k: int, exclude_self: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, names = block.value
         ids, dist = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
         for pdf in frames:
             if not len(q) or not len(pdf):

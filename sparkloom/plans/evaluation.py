@@ -44,14 +44,12 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY distance, ref)
 g AS (SELECT case_id, ref, 1 + ref % 3 AS grade FROM d WHERE want = label)"""
 
 
-def rankings(spark: SparkSession, sf_dir: str, k: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Rankings of every 50th vector and grades: a vector of the same label is relevant, graded 1 to 3 by its id."""
+def rankings(spark: SparkSession, sf_dir: str, k: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rankings of every 50th vector, these cases and all items: one of the same label is relevant, graded 1 to 3 by its id."""
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 50 = 0")
     ranked = vector.nearest(rows, asked, k, exclude_self=True).select(F.col("query_id").alias("case_id"), F.col("vec_id").alias("ref"), "rank")
-    want = asked.select(F.col("vec_id").alias("case_id"), "label")
-    grades = want.join(rows.select(F.col("vec_id").alias("ref"), "label"), "label").where("case_id <> ref").select("case_id", "ref", (1 + F.col("ref") % 3).alias("grade"))
-    return ranked, grades
+    return ranked, asked.select(F.col("vec_id").alias("case_id"), "label"), rows.select(F.col("vec_id").alias("ref"), "label", (1 + F.col("vec_id") % 3).alias("grade"))
 
 
 @query("met1_3_recall_mrr_ndcg", f"""WITH {RANKED}, i AS (SELECT case_id, sum((2 ** grade - 1) / log2(n + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY grade DESC, ref) AS n FROM g) WHERE n <= 10 GROUP BY 1),
@@ -59,7 +57,7 @@ h AS (SELECT case_id, count(*) AS hits, min(rank) AS first, sum((2 ** grade - 1)
 t AS (SELECT case_id, count(*) AS n_relevant FROM g GROUP BY 1)
 SELECT case_id, n_relevant, round(coalesce(hits, 0) / n_relevant, 6) AS recall, round(coalesce(1 / first, 0), 6) AS mrr, round(coalesce(dcg, 0) / idcg, 6) AS ndcg FROM t JOIN i USING (case_id) LEFT JOIN h USING (case_id)""")
 def met1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.ranking_metrics(*rankings(spark, sf_dir), 10)
+    return metrics.class_metrics(*rankings(spark, sf_dir), 10)
 
 
 @query("met5_abstention", "SELECT conv_id AS case_id, count(*) FILTER (WHERE role = 'assistant') = 0 AS abstained, CASE WHEN conv_id % 4 = 0 THEN count(*) FILTER (WHERE role = 'assistant') = 0 END AS correct_abstention FROM conversations GROUP BY 1")
@@ -90,8 +88,10 @@ def met6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("met9_single_gold_rank", f"""WITH {RANKED}, f AS (SELECT case_id, min(rank) AS r FROM rk WHERE want = label GROUP BY 1)
 SELECT count(*) AS n, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hit10, round(avg(CASE WHEN r <= 50 THEN 1.0 / r ELSE 0 END), 6) AS mrr FROM f""")
 def met9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked, grades = rankings(spark, sf_dir)
-    first = grades.select("case_id").distinct().join(ranked.join(grades, ["case_id", "ref"]).groupBy("case_id").agg(F.min("rank").alias("r")), "case_id", "left")
+    ranked, asked, items = rankings(spark, sf_dir)
+    several = items.groupBy("label").count().where("count > 1").select("label")
+    hits = ranked.join(asked, "case_id").join(items.select("ref", "label"), ["ref", "label"]).groupBy("case_id").agg(F.min("rank").alias("r"))
+    first = asked.join(several, "label", "left_semi").select("case_id").join(hits, "case_id", "left")
     within = lambda k: F.round(F.avg(F.when(F.col("r") <= k, 1.0).otherwise(0.0)), 6)
     return first.agg(F.count("*").alias("n"), within(1).alias("hit1"), within(10).alias("hit10"), F.round(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import scope
+from ..operators import ordered, scope
 from .registry import query, table
 from .views import CHUNKS_SQL, MEMORY_SQL, chunks, memory
 
@@ -64,8 +64,9 @@ def flt4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flt5_kind_and_dates", "SELECT event_id, event_type, cast(ts AS DATE) AS day FROM events WHERE event_type = 'purchase' AND cast(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'")
 def flt5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.to_date("ts")
-    return table(spark, sf_dir, "events").where((F.col("event_type") == "purchase") & day.between("2024-01-05", "2024-01-09")).select("event_id", "event_type", day.alias("day"))
+    day = F.to_date("ts")  # the condition is on the stored column, so that it reaches the scan
+    inside = (F.col("ts") >= F.lit("2024-01-05").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz"))
+    return table(spark, sf_dir, "events").where((F.col("event_type") == "purchase") & inside).select("event_id", "event_type", day.alias("day"))
 
 
 @query("flt6_name_contains", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') ORDER BY p_name, p_partkey LIMIT 10")
@@ -253,20 +254,20 @@ def jn10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("jn11_exact_hash_lookup", """
-WITH s AS (SELECT doc_id, regexp_replace(trim(lower(string_split(text, chr(10))[1])), '\\s+', ' ', 'g') AS norm FROM documents), m AS (SELECT norm, min(doc_id) AS memory_id FROM s GROUP BY 1)
+WITH s AS (SELECT doc_id, regexp_replace(trim(lower(text)), '\\s+', ' ', 'g') AS norm FROM documents), m AS (SELECT norm, min(doc_id) AS memory_id FROM s GROUP BY 1)
 SELECT s.doc_id, sha256(s.norm) AS hash, memory_id FROM s JOIN m USING (norm) WHERE s.doc_id <> memory_id""")
 def jn11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines that an earlier row has: looked up by hash, checked by text."""
-    norm = F.regexp_replace(F.trim(F.lower(F.split("text", "\n")[0])), r"\s+", " ")
+    """Texts that an earlier row has, case and white space aside: looked up by hash, checked by text."""
+    norm = F.regexp_replace(F.trim(F.lower("text")), r"\s+", " ")
     rows = table(spark, sf_dir, "documents").select("doc_id", norm.alias("norm")).withColumn("hash", F.sha2("norm", 256))
     known = rows.groupBy("hash", "norm").agg(F.min("doc_id").alias("memory_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     return rows.join(known.withColumnRenamed("norm", "known"), "hash").where("norm = known and doc_id <> memory_id").select("doc_id", "hash", "memory_id")
 
 
-@query("jn12_semi_two_columns", C + "SELECT id FROM chunks c WHERE kind = 'image' AND EXISTS (SELECT 1 FROM chunks t WHERE t.kind = 'table' AND t.document_id = c.document_id AND t.page_start = c.page_start)")
+@query("jn12_semi_two_columns", C + "SELECT id FROM chunks c WHERE kind = 'image' AND EXISTS (SELECT 1 FROM chunks t WHERE t.kind = 'image' AND t.status <> 'done' AND t.document_id = c.document_id AND t.page_start = c.page_start)")
 def jn12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir)
-    return rows.where("kind = 'image'").join(rows.where("kind = 'table'").select("document_id", "page_start"), ["document_id", "page_start"], "left_semi").select("id")
+    return rows.where("kind = 'image'").join(rows.where("kind = 'image' and status <> 'done'").select("document_id", "page_start"), ["document_id", "page_start"], "left_semi").select("id")
 
 
 @query("jn14_owner_consistency", "SELECT c_mktsegment, count(*) FILTER (WHERE c_nationkey IS DISTINCT FROM s_nationkey) AS crossed, count(*) AS n FROM customer JOIN supplier ON c_custkey = s_suppkey GROUP BY 1")
@@ -354,10 +355,8 @@ SELECT event_type, quantile_disc(value, 0.95) AS nearest_rank, round(quantile_co
   round(median(value), 6) AS median, round(max(CASE WHEN r = floor(0.95 * (n + 1)) THEN value END) + (0.95 * (max(n) + 1) - floor(0.95 * (max(n) + 1))) * (max(CASE WHEN r = floor(0.95 * (n + 1)) + 1 THEN value END) - max(CASE WHEN r = floor(0.95 * (n + 1)) THEN value END)), 6) AS exclusive
 FROM s GROUP BY 1""")
 def agg15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five conventions of a 95th percentile and median; the ranks come from distributed counts per value, never a collected group."""
-    values = table(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("event_type").orderBy("value"))
-    ranked = values.withColumn("hi", upto).withColumn("n", F.sum("c").over(Window.partitionBy("event_type")))
+    """Five conventions of a 95th percentile and median; the ranks come from counts per value and ranges of values, so that no task holds a type."""
+    ranked = ordered.ranked_values(table(spark, sf_dir, "events"), "event_type", "value")
     at = lambda r: F.max(F.when((F.col("hi") >= r) & (F.col("hi") - F.col("c") < r), F.col("value")))
     p, n = 0.95, F.col("n")
     low = F.floor(p * (n + 1))
@@ -464,9 +463,9 @@ def win9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("win10_caption_lookahead", C + "SELECT id, next_id FROM (SELECT id, kind, lead(id) OVER (PARTITION BY document_id ORDER BY idx) AS next_id, lead(kind) OVER (PARTITION BY document_id ORDER BY idx) AS next_kind FROM chunks) WHERE kind = 'image' AND next_kind = 'section'")
+@query("win10_caption_lookahead", C + "SELECT id, next_id FROM (SELECT id, kind, lead(id) OVER (PARTITION BY owner ORDER BY idx) AS next_id, lead(kind) OVER (PARTITION BY owner ORDER BY idx) AS next_kind FROM chunks) WHERE kind = 'image' AND next_kind = 'section'")
 def win10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("document_id").orderBy("idx")
+    w = Window.partitionBy("owner").orderBy("idx")
     rows = chunks(spark, sf_dir).select("id", "kind", F.lead("id").over(w).alias("next_id"), F.lead("kind").over(w).alias("next_kind"))
     return rows.where("kind = 'image' and next_kind = 'section'").select("id", "next_id")
 

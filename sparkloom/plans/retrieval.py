@@ -86,15 +86,15 @@ POSTINGS = f"""t AS (SELECT doc_id AS id, {TOKENS} AS w FROM documents), p AS (S
 @query(
     "lex1_match_all_terms",
     f"""
-WITH {POSTINGS}, q AS (SELECT item_id AS query_id, unnest(list_slice(u, 1, 3)) AS term FROM (
+WITH {POSTINGS}, q AS (SELECT item_id AS query_id, unnest(u) AS term FROM (
     SELECT item_id, list_filter(list_transform(w, lambda x, i: CASE WHEN list_position(w, x) = i THEN x END), lambda x: x IS NOT NULL) AS u FROM (SELECT item_id, {TOKENS} AS w FROM benchmark))),
 h AS (SELECT query_id, id, count(*) AS n, round(sum(ln(1 + tf)), 6) AS score FROM p JOIN q USING (term) GROUP BY 1, 2),
 n AS (SELECT query_id, count(*) AS needed FROM q GROUP BY 1)
 SELECT query_id, id, rank, score FROM (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h JOIN n USING (query_id) WHERE h.n = needed) WHERE rank <= 50""",
 )
 def lex1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the first three distinct terms of a benchmark item."""
-    return lexical.match_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 50, most=3)
+    """Documents that hold all distinct terms of a benchmark item."""
+    return lexical.match_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 50)
 
 
 BM25 = f"""{POSTINGS}, q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark),
