@@ -1,7 +1,7 @@
 """Structural chunking of a document's segments.
 
-The order of a document's segments decides its headings and chunks, so that one document
-is one group; documents are independent of one another and bounded by their own length.
+The order of a document's segments decides its headings and chunks: windows over a document's
+rows, and folds over the texts between two headings.
 """
 
 from __future__ import annotations
@@ -9,13 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_CHARS, MIN_CHARS = 4000, 200
+#: Beginnings of captions; a fixed value.
 CAPTION = r"(?i)^\s*(figure|fig\.?|рис\.?|рисунок|table|таблиц[аы]|схема|диаграмма)\s*\.?\s*\d"
 ARROW, TABLE_STEP = " → ", "таблица"
-SCHEMA = "document_id string, idx int, kind string, heading_path string, text_en string, text_ru string, page_start int, page_end int, segment_ids array<string>"
+#: Beyond every place in a document.
+LAST = (1 << 31) - 1
 
 
 def heading_paths(segments: DataFrame) -> DataFrame:
@@ -42,64 +44,81 @@ def chunked(segments: DataFrame, most: int = MAX_CHARS, least: int = MIN_CHARS)
     Text runs until a heading, an image or ``most`` characters; tables and images are chunks
     of their own, and a table does not end the text around it. Sections whose two texts
     together stay under half of ``least`` are left out; tables and images never are.
-    """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("idx").to_dict("records")
-        return pd.DataFrame(_chunks(rows, most, least), columns=[f.split()[0] for f in SCHEMA.split(", ")])
-
-    return segments.groupBy("document_id").applyInPandas(one, SCHEMA)
-
-
-def _value(x):
-    return None if x is None or x != x else x
-
-
-def _chunks(rows: list[dict], most: int, least: int) -> list[tuple]:
-    path: list[str] = []
-    pending: list[dict] = []
-    made: list[list] = []
-
-    def emit(parts: list[dict], kind: str, steps: list[str], en: str | None = None, ru: str | None = None) -> None:
-        pages = [int(p["page_idx"]) for p in parts if _value(p["page_idx"]) is not None]
-        source = [p["source_text"] for p in parts if _value(p["source_text"])]
-        other = [_value(p["translated_text"]) or _value(p["source_text"]) or "" for p in parts]
-        made.append([kind, ARROW.join(steps), "\n".join(source).strip() if en is None else en, "\n".join(other).strip() if ru is None else ru, min(pages, default=None), max(pages, default=None), [p["id"] for p in parts]])
-
-    def close() -> None:
-        if pending:
-            emit(pending, "section", path)
-            pending.clear()
-
-    import re
-
-    caption = re.compile(CAPTION)
-    for row, following in zip(rows, [*rows[1:], None]):
-        text = _value(row["source_text"]) or ""
-        if row["kind"] == "heading":
-            close()
-            level = max(int(_value(row["heading_level"]) or 1), 1)
-            path[level - 1 :] = [text.strip()]
-            pending.append(row)
-        elif row["kind"] == "table":
-            emit([row], "table", [*path, TABLE_STEP])
-        elif row["kind"] == "image":
-            named = row if text.strip() else following if following is not None and following["kind"] == "paragraph" and caption.match(_value(following["source_text"]) or "") else None
-            if named is not None or _value(row["image"]):
-                close()
-                page = int(_value(row["page_idx"]) or 0) + 1
-                en = (_value(named["source_text"]) or "").strip() if named is not None else f"Figure (page {page})"
-                ru = (_value(named["translated_text"]) or _value(named["source_text"]) or "").strip() if named is not None else f"Рисунок (стр. {page})"
-                emit([row], "image", path, en, ru)
-        else:
-            held = sum(len(_value(p["source_text"]) or "") for p in pending)
-            if held + len(text) > most and held > least:
-                close()
-            pending.append(row)
-    close()
-    kept = [m for m in made if m[0] != "section" or len(m[2]) + len(m[3]) >= least // 2]
-    document = rows[0]["document_id"] if rows else None
-    return [(document, i, *m) for i, m in enumerate(kept)]
+    Headings and images cut a document into stretches (a running count); a stretch's texts fill
+    chunks by a fold over their lengths. Chunks are numbered by the place where each is complete.
+    """
+    in_order = Window.partitionBy("document_id").orderBy("idx")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    rows = segments.withColumns({"next_kind": F.lead("kind").over(in_order), "next_source": F.lead("source_text").over(in_order), "next_other": F.lead("translated_text").over(in_order)})
+    own = stripped(F.coalesce("source_text", F.lit(""))) != ""
+    ahead = (F.col("next_kind") == "paragraph") & F.coalesce("next_source", F.lit("")).rlike(CAPTION)
+    image = F.col("kind") == "image"
+    rows = rows.withColumn("shown", image & (own | F.coalesce(ahead, F.lit(False)) | ~blank("image")))
+    rows = rows.withColumn("stretch", F.count_if(F.col("shown") | (F.col("kind") == "heading")).over(so_far)).withColumn("under", F.max(F.when(F.col("kind") == "heading", F.col("idx"))).over(so_far))
+    paths = heading_paths(segments).select("document_id", F.col("idx").alias("under"), "path")
+    rows = rows.join(paths, ["document_id", "under"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
+    begins = rows.groupBy("document_id", "stretch").agg(F.min("idx").alias("begin"))
+    ends = begins.select("document_id", (F.col("stretch") - 1).alias("stretch"), F.col("begin").alias("end"))
+
+    other = F.when(~blank("translated_text"), F.col("translated_text")).otherwise(F.coalesce("source_text", F.lit("")))
+    piece = F.struct("idx", F.coalesce("source_text", F.lit("")).alias("en"), other.alias("ru"), "page_idx", "id", "path")
+    texts = rows.where(~F.col("kind").isin("table", "image")).groupBy("document_id", "stretch").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    start = F.struct(F.expr("cast(array() as array<int>)").alias("part"), F.lit(0).alias("now"), F.lit(0).alias("held"))
+
+    def fill(acc: Column, p: Column) -> Column:
+        n = F.char_length(p["en"])
+        full = (acc["held"] + n > most) & (acc["held"] > least)
+        now = acc["now"] + full.cast("int")
+        return F.struct(F.concat(acc["part"], F.array(now)).alias("part"), now.alias("now"), F.when(full, n).otherwise(acc["held"] + n).alias("held"))
+
+    filled = texts.select("document_id", "stretch", F.explode(F.arrays_zip("pieces", F.aggregate("pieces", start, fill)["part"].alias("part"))).alias("z")).select("document_id", "stretch", "z.part", "z.pieces.*")
+    line = F.array_sort(F.collect_list(F.struct("idx", "en", "ru", "id")))
+    made = filled.groupBy("document_id", "stretch", "part").agg(line.alias("lines"), F.min("idx").alias("first"), F.min("page_idx").alias("page_start"), F.max("page_idx").alias("page_end"), F.first("path").alias("path"))
+    following = F.lead("first").over(Window.partitionBy("document_id", "stretch").orderBy("part"))
+    made = made.withColumn("following", following).join(ends, ["document_id", "stretch"], "left").withColumn("at", F.coalesce("following", "end", F.lit(LAST)))
+    joined = lambda c, keep: stripped(F.array_join(F.transform(F.filter("lines", keep), lambda x: x[c]), "\n"))
+    sections = made.select("document_id", "at", F.lit(0).alias("later"), F.lit("section").alias("kind"), "path", joined("en", lambda x: x["en"] != "").alias("text_en"), joined("ru", lambda x: F.lit(True)).alias("text_ru"), "page_start", "page_end", F.col("lines.id").alias("segment_ids"))
+    sections = sections.where(F.char_length("text_en") + F.char_length("text_ru") >= least // 2)
+
+    named = F.when(own, F.struct(F.col("source_text").alias("en"), F.col("translated_text").alias("ru"))).when(ahead, F.struct(F.col("next_source").alias("en"), F.col("next_other").alias("ru")))
+    page = F.coalesce("page_idx", F.lit(0)) + 1
+    title = lambda text, words: F.coalesce(stripped(text), F.concat(F.lit(words[0]), page, F.lit(words[1])))
+    table = F.col("kind") == "table"
+    single = rows.where(table | F.col("shown")).withColumn("named", named)
+    source = stripped(F.coalesce("source_text", F.lit("")))
+    singles = single.select(
+        "document_id", F.col("idx").alias("at"), F.lit(1).alias("later"), "kind", F.when(table, F.concat("path", F.array(F.lit(TABLE_STEP)))).otherwise(F.col("path")).alias("path"),
+        F.when(table, source).otherwise(title(F.col("named")["en"], ("Figure (page ", ")"))).alias("text_en"), F.when(table, stripped(other)).otherwise(title(F.coalesce(F.nullif(F.col("named")["ru"], F.lit("")), F.col("named")["en"]), ("Рисунок (стр. ", ")"))).alias("text_ru"),
+        F.col("page_idx").alias("page_start"), F.col("page_idx").alias("page_end"), F.array("id").alias("segment_ids"),
+    )
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("at", "later")) - 1
+    return sections.unionByName(singles).select("document_id", place.alias("idx"), "kind", F.array_join("path", ARROW).alias("heading_path"), "text_en", "text_ru", "page_start", "page_end", "segment_ids")
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def bounded_parts(text: Column, limit: int) -> Column:
+    """A text in parts of at most ``limit`` characters: cut at the last blank within them, unless that lies in the first third.
+
+    A fold over words: each goes on with the part before it if it fits; a word that doesn't fit beside a short part is cut.
+    """
+    words = F.filter(F.split(text, " +"), lambda w: w != "")
+    start = F.expr("cast(array() as array<string>)")
+
+    def step(acc: Column, w: Column) -> Column:
+        last = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))
+        head = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        joined = F.when(last == "", w).otherwise(F.concat(last, F.lit(" "), w))
+        short = F.char_length(last) < limit // 3
+        pieces = lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.char_length(t) / limit).cast("int") - 1, F.lit(0))), lambda i: F.trim(F.substring(t, i * limit + 1, F.lit(limit))))
+        return F.when(F.char_length(joined) <= limit, F.concat(head, F.array(joined))).when(short, F.concat(head, pieces(joined))).otherwise(F.concat(acc, pieces(w)))
+
+    return F.aggregate(words, start, step)
 
 
 def deduplicated(ranked: DataFrame, protected: int = 0) -> DataFrame:
