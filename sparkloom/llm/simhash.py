@@ -232,14 +232,15 @@ def nearest_earlier(fp: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray
     return trimmed() if held else kept
 
 
-def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM, nearest: int = 0, asked: DataFrame | None = None) -> DataFrame:
+def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM, nearest: int = 0, asked: DataFrame | None = None, large: list[DataFrame] | None = None) -> DataFrame:
     """(a, b): links between the ids ``node`` of distinct fingerprints f0.. that tie all within ``limit``.
 
     ``points`` has one row per fingerprint. Links tie exactly the groups that all pairs
     found by the trees would tie. Trees come from a sample of at most ``SAMPLE`` rows by
     hash; only the sample and the row count reach the driver. With ``nearest`` the links are
     candidates to be verified: of each node to that many of the nearest smaller ones; where
-    ``asked`` (node) is given, of its nodes only.
+    ``asked`` (node) is given, of its nodes only. ``large`` remembers the sizes of shards between
+    two searches of the same points.
     """
     names = [f"f{i}" for i in range(words)]
     spark = points.sparkSession
@@ -264,7 +265,10 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
         sought = points.join(asked.select("node", F.lit(True).alias("ask")), "node", "left").select("node", *names, F.coalesce("ask", F.lit(False)).alias("ask"))
     # Routing is cheaper than keeping a copy of every fingerprint for each tree, so it runs twice.
     routed = sought.mapInPandas(route, f"shard long, {columns}")
-    counted = materialize(routed.groupBy("shard").agg(F.ceil(F.count("*") / LEAF_ROWS).cast("int").alias("chunks")).where("chunks > 1"), "large")
+    large = [] if large is None else large
+    if not large:
+        large.append(materialize(routed.groupBy("shard").agg(F.ceil(F.count("*") / LEAF_ROWS).cast("int").alias("chunks")).where("chunks > 1"), "large"))
+    counted = large[0]
     # Shards beyond LEAF_ROWS go in pairs of chunks (i <= j). There are no more shards than rows of the samples.
     sized = routed.join(F.broadcast(counted), "shard", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = sized.withColumn("i", F.pmod(F.xxhash64("node"), "chunks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -284,6 +288,8 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
                 if b - a > 1:
                     f, mine, asking = fp[a:b], np.flatnonzero(own[a:b]), np.flatnonzero(ask[a:b])
+                    if not len(asking):
+                        continue
                     pairs = ((asking[q], mine[p]) for q, p in pairs_within(f[mine], f[asking], limit))
                     if nearest:
                         found += [(int(node[a + i]), int(node[a + r]), d) for i, r, d in nearest_earlier(f, pairs, nearest).tolist() if node[a + i] != node[a + r]]
@@ -330,19 +336,17 @@ def verified(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
 def verified_links(points: DataFrame, verify: Callable[[DataFrame], DataFrame], nearest: int, search: Callable[[int, DataFrame | None], DataFrame]) -> DataFrame:
     """Links that hold, so that every node with a candidate that holds has one.
 
-    Each node's ``nearest`` candidates are tried first; a node none of whose candidates held and that
-    may have more is asked again for eight times as many, until no such node is left.
+    Each node's ``nearest`` candidates are tried first. A node none of whose candidates held and that
+    may have more is asked again for all of them.
     """
-    held, asked = None, None
-    while True:
-        links = materialize(search(nearest, asked), "candidates")
-        good = materialize(verify(links), "verified")
-        held = good if held is None else held.unionByName(good)
-        full = links.groupBy("a").count().where(F.col("count") >= nearest)
-        asked = materialize(full.join(good.select("a").distinct(), "a", "left_anti").select(F.col("a").alias("node")), "asked")
-        if asked.isEmpty():
-            return held
-        nearest *= 8
+    links = materialize(search(nearest, None), "candidates")
+    held = materialize(verify(links), "verified")
+    full = links.groupBy("a").count().where(F.col("count") >= nearest)
+    asked = materialize(full.join(held.select("a").distinct(), "a", "left_anti").select(F.col("a").alias("node")), "asked")
+    if asked.isEmpty():
+        return held
+    rest = search(ALL, asked).join(links, ["a", "b"], "left_anti")
+    return held.unionByName(materialize(verify(materialize(rest, "candidates")), "verified"))
 
 
 def groups(prints: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM, nearest: int = 0, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -358,7 +362,8 @@ def groups(prints: DataFrame, limit: int, masks: list[np.ndarray], radius: int,
     points = points.withColumn("node", F.coalesce("least", F.shiftright(F.xxhash64(*names), 2) - (1 << 62)))
     points = materialize(points, "points")
     if verify:
-        links = verified_links(points, verify, nearest, lambda most, asked: near_links(points, limit, masks, radius, words, leaf_aim, most, asked))
+        sizes: list[DataFrame] = []
+        links = verified_links(points, verify, nearest, lambda most, asked: near_links(points, limit, masks, radius, words, leaf_aim, most, asked, sizes))
     else:
         links = near_links(points, limit, masks, radius, words, leaf_aim)
     tied = components(links)
@@ -380,6 +385,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 STAGE_WORDS, STAGE_TREES, STAGE_BITS, STAGE_SHINGLE, STAGE_LEAF = 4, 48, 16, 5, 128
 #: Standard deviations by which the bit limit of candidates exceeds the expected distance, and candidates a document.
 STAGE_SPREAD, STAGE_NEAREST = 3, 8
+#: Candidates without a limit.
+ALL = 1 << 31
 
 
 def bits_for(similarity: float, words: int) -> int:
@@ -401,7 +408,7 @@ def kept_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     48 trees in 97 of 100 cases. Fingerprints are of distinct shingles, and candidates may differ
     in three standard deviations more than expected. Each document's nearest candidates of
     smaller ids are verified by the exact Jaccard similarity of the sets of shingles, STAGE_NEAREST
-    at first and more where none of them holds (``verified_links``). Rows with a null id stay; rows that repeat an id stay together.
+    at first and all where none of them holds (``verified_links``). Rows with a null id stay; rows that repeat an id stay together.
     """
     prints = fingerprints(docs, id_col, text_col, STAGE_SHINGLE, words, True)
     limit, masks = candidate_bits(similarity, words), trees_sampled(64 * words, trees, picked)

@@ -129,7 +129,7 @@ def test_candidates_beyond_the_nearest_are_asked_for(spark):
     held = simhash.verified_links(points, lambda links: links.where("b = 0 or a % 2 = 0"), 4, search)
     got = {(r.a, r.b) for r in held.collect()}
     assert {a for a, _ in got} == set(range(1, 60)) and all((i, 0) in got for i in range(1, 60, 2))
-    assert [m for m, _ in asked_for] == [4, 32, 256] and asked_for[1][1] == {i for i in range(5, 60, 2)}
+    assert [m for m, _ in asked_for] == [4, simhash.ALL] and asked_for[1][1] == {i for i in range(5, 60, 2)}
 
 
 def test_no_folder_of_the_machine_on_a_cluster(spark):
