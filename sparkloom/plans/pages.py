@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import pages
+from ..operators import chunking, pages
 from .registry import query, table
 from .views import as_sql
 
@@ -291,3 +291,20 @@ def chk19(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("tree"), parent.alias("parent"))
     above = nodes.select(F.col("id").alias("parent"), F.col("tree").alias("parent_tree"))
     return nodes.join(above, "parent", "left").groupBy("tree").agg(F.count("*").alias("nodes"), (F.count_if(F.col("parent").isNull()) != 1).alias("not_one_root"), F.count_if(F.col("parent") == F.col("id")).alias("self_links"), F.count_if(F.col("parent_tree") != F.col("tree")).alias("foreign_parents"))
+
+
+@query("chk1_section_chunks")
+def chk1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of conversations as documents: a system or user turn is a heading, every fifth turn an image, every seventh a table."""
+    kind = F.when(F.col("turn") % 5 == 4, "image").when(F.col("turn") % 7 == 6, "table").when(F.col("role") == "user", "heading").otherwise("paragraph")
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("document_id"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("turn").cast("int").alias("idx"), kind.alias("kind"), (1 + F.col("turn") % 3).cast("int").alias("heading_level"),
+        F.floor(F.col("turn") / 2).cast("int").alias("page_idx"), F.col("text").alias("source_text"), F.when(F.col("turn") % 2 == 0, F.upper("text")).alias("translated_text"), F.lit(None).cast("string").alias("image"),
+    )
+    return chunking.chunked(rows)
+
+
+@query("chk7_bounded_parts")
+def chk7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in parts of at most 400 characters, cut at blanks."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.bounded_parts(F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " "), 400)).alias("part", "text"))
