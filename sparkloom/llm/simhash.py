@@ -78,24 +78,43 @@ def fingerprint(h: np.ndarray, k: int = 0) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, distinct: bool = False) -> DataFrame:
-    """(doc_id, f0 .. f<words - 1>): fingerprints of 64 * words bits, as signed longs; of distinct shingles where asked."""
-    names = ["doc_id", *(f"f{i}" for i in range(words))]
+def parity_bits(h: np.ndarray, words: int) -> np.ndarray:
+    """64 * words bits of a set of hashes: a bit is 1 where an odd number of them falls on it.
+
+    Two sets differ in at least as many elements as their bits differ.
+    """
+    return np.packbits((np.bincount((h % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1).astype(bool), bitorder="little").view("<u8")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, distinct: bool = False, parity: int = 0) -> DataFrame:
+    """(doc_id, f0 .. f<words - 1>): fingerprints of 64 * words bits, as signed longs; of distinct shingles where asked.
+
+    With ``parity`` also (p0 .. p<parity - 1>, size): parity bits and the number of the distinct shingles.
+    """
+    names = ["doc_id", *(f"f{i}" for i in range(words)), *parity_columns(parity)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((words, batch.num_rows), np.uint64)
+            out = np.zeros((len(names) - 1, batch.num_rows), np.uint64)
             for r, text in enumerate(batch.column(1)):
                 h = shingle_hashes(text.as_py(), shingle)
                 h = np.unique(h) if distinct else h
                 for k in range(words):
                     out[k, r] = fingerprint(h, k)
+                if parity:
+                    own = h if distinct else np.unique(h)
+                    out[words:-1, r], out[-1, r] = parity_bits(own, parity), len(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o.view(np.int64)) for o in out)], names=names)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+def parity_columns(parity: int) -> list[str]:
+    """Names of what ``fingerprints`` adds for parity bits."""
+    return [*(f"p{i}" for i in range(parity)), "size"] if parity else []
+
+
 def distance(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
     """Hamming distance of rows of 64-bit words, over the bits of ``mask`` where given."""
     x = a ^ b
@@ -232,7 +251,18 @@ def nearest_earlier(fp: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray
     return trimmed() if held else kept
 
 
-def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM, nearest: int = 0, asked: DataFrame | None = None, large: list[DataFrame] | None = None) -> DataFrame:
+def possible(pairs: Iterator[tuple[np.ndarray, np.ndarray]], bits: np.ndarray, sizes: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs whose sets may have that Jaccard similarity, by their parity bits and sizes; none that has it is left out.
+
+    Sets x and y have it where at most (1 - similarity) / (1 + similarity) of |x| + |y| elements are in one only.
+    """
+    share = (1 - similarity) / (1 + similarity)
+    for a, b in pairs:
+        may = distance(bits[a], bits[b]) <= share * (sizes[a] + sizes[b]) + 1e-6
+        yield a[may], b[may]
+
+
+def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM, nearest: int = 0, asked: DataFrame | None = None, large: list[DataFrame] | None = None, parity: int = 0, similarity: float = 0.0) -> DataFrame:
     """(a, b): links between the ids ``node`` of distinct fingerprints f0.. that tie all within ``limit``.
 
     ``points`` has one row per fingerprint. Links tie exactly the groups that all pairs
@@ -240,14 +270,15 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
     hash; only the sample and the row count reach the driver. With ``nearest`` the links are
     candidates to be verified: of each node to that many of the nearest smaller ones; where
     ``asked`` (node) is given, of its nodes only. ``large`` remembers the sizes of shards between
-    two searches of the same points.
+    two searches of the same points. With ``parity`` the points' parity bits travel along, and
+    candidates that can't have that Jaccard ``similarity`` are left out where they are found.
     """
-    names = [f"f{i}" for i in range(words)]
+    names, extra = [f"f{i}" for i in range(words)], parity_columns(parity)
     spark = points.sparkSession
     n = points.count()
     share = min(1.0, SAMPLE / max(n, 1))
     chosen = points.where((F.pmod(F.xxhash64(*names), F.lit(1_000_003)) < int(share * 1_000_003) + 1)).select(*names).limit(2 * SAMPLE).toPandas()
-    sample = chosen.to_numpy(np.int64).view(np.uint64).reshape(-1, words)
+    sample = np.unique(chosen.to_numpy(np.int64).view(np.uint64).reshape(-1, words), axis=0)  # in order: the same trees at a rerun
     trees = [Tree(sample, m, radius, int(leaf_aim * share)) for m in masks]
     held = spark.sparkContext.broadcast(trees)
 
@@ -256,13 +287,13 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
             fp = np.ascontiguousarray(pdf[names].to_numpy(np.int64)).view(np.uint64)
             for t, tree in enumerate(held.value):
                 rows, leaf, own = tree.route(fp)
-                yield pd.DataFrame({"shard": (t << 32) + leaf.astype(np.int64), "node": pdf["node"].to_numpy()[rows], "own": own, "ask": pdf["ask"].to_numpy(bool)[rows]} | {c: pdf[c].to_numpy()[rows] for c in names})
+                yield pd.DataFrame({"shard": (t << 32) + leaf.astype(np.int64), "node": pdf["node"].to_numpy()[rows], "own": own, "ask": pdf["ask"].to_numpy(bool)[rows]} | {c: pdf[c].to_numpy()[rows] for c in names + extra})
 
-    columns = "node long, own boolean, ask boolean, " + ", ".join(f"{c} long" for c in names)
+    columns = "node long, own boolean, ask boolean, " + ", ".join(f"{c} long" for c in names + extra)
     if asked is None:
-        sought = points.select("node", *names, F.lit(True).alias("ask"))
+        sought = points.select("node", *names, *extra, F.lit(True).alias("ask"))
     else:
-        sought = points.join(asked.select("node", F.lit(True).alias("ask")), "node", "left").select("node", *names, F.coalesce("ask", F.lit(False)).alias("ask"))
+        sought = points.join(asked.select("node", F.lit(True).alias("ask")), "node", "left").select("node", *names, *extra, F.coalesce("ask", F.lit(False)).alias("ask"))
     # Routing is cheaper than keeping a copy of every fingerprint for each tree, so it runs twice.
     routed = sought.mapInPandas(route, f"shard long, {columns}")
     large = [] if large is None else large
@@ -284,6 +315,8 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
             node, part = pdf["node"].to_numpy(), pdf["part"].to_numpy()
             fp = np.ascontiguousarray(pdf[names].to_numpy(np.int64)).view(np.uint64)
             own, ask = pdf["own"].to_numpy(bool), pdf["ask"].to_numpy(bool)
+            if parity:
+                bits, sizes = np.ascontiguousarray(pdf[extra[:-1]].to_numpy(np.int64)).view(np.uint64), pdf["size"].to_numpy()
             cuts = np.flatnonzero(np.diff(part)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
                 if b - a > 1:
@@ -291,6 +324,8 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
                     if not len(asking):
                         continue
                     pairs = ((asking[q], mine[p]) for q, p in pairs_within(f[mine], f[asking], limit))
+                    if parity:
+                        pairs = possible(pairs, bits[a:b], sizes[a:b], similarity)
                     if nearest:
                         found += [(int(node[a + i]), int(node[a + r]), d) for i, r, d in nearest_earlier(f, pairs, nearest).tolist() if node[a + i] != node[a + r]]
                         continue
@@ -349,21 +384,23 @@ def verified_links(points: DataFrame, verify: Callable[[DataFrame], DataFrame],
     return held.unionByName(materialize(verify(materialize(rest, "candidates")), "verified"))
 
 
-def groups(prints: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM, nearest: int = 0, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def groups(prints: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM, nearest: int = 0, verify: Callable[[DataFrame], DataFrame] | None = None, parity: int = 0, similarity: float = 0.0) -> DataFrame:
     """``prints`` (doc_id, f0..) with component_id: the smallest doc_id that links reach.
 
     A null doc_id takes part in links but is never the smallest unless it stands alone.
-    ``verify`` takes links and returns those that hold.
+    ``verify`` takes links and returns those that hold; the search for all candidates of a node
+    leaves out those whose ``parity`` bits show that they can't.
     """
     names = [f"f{i}" for i in range(words)]
     prints = materialize(prints, "prints")
     # A null id can't name a group; its fingerprint gets a name below all ids' range.
-    points = prints.groupBy(*names).agg(F.min("doc_id").alias("least"))
+    first = [F.min_by(c, "doc_id").alias(c) for c in parity_columns(parity)]  # of the document that is verified
+    points = prints.groupBy(*names).agg(F.min("doc_id").alias("least"), *first)
     points = points.withColumn("node", F.coalesce("least", F.shiftright(F.xxhash64(*names), 2) - (1 << 62)))
     points = materialize(points, "points")
     if verify:
         sizes: list[DataFrame] = []
-        links = verified_links(points, verify, nearest, lambda most, asked: near_links(points, limit, masks, radius, words, leaf_aim, most, asked, sizes))
+        links = verified_links(points, verify, nearest, lambda most, asked: near_links(points, limit, masks, radius, words, leaf_aim, most, asked, sizes, parity if asked is not None else 0, similarity))
     else:
         links = near_links(points, limit, masks, radius, words, leaf_aim)
     tied = components(links)
@@ -385,6 +422,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 STAGE_WORDS, STAGE_TREES, STAGE_BITS, STAGE_SHINGLE, STAGE_LEAF = 4, 48, 16, 5, 128
 #: Standard deviations by which the bit limit of candidates exceeds the expected distance, and candidates a document.
 STAGE_SPREAD, STAGE_NEAREST = 3, 8
+#: Words of parity bits: they tell sets of up to about 700 shingles at 0.7 from 0.8; larger ones are told by their texts.
+STAGE_PARITY = 8
 #: Candidates without a limit.
 ALL = 1 << 31
 
@@ -408,10 +447,11 @@ def kept_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     48 trees in 97 of 100 cases. Fingerprints are of distinct shingles, and candidates may differ
     in three standard deviations more than expected. Each document's nearest candidates of
     smaller ids are verified by the exact Jaccard similarity of the sets of shingles, STAGE_NEAREST
-    at first and all where none of them holds (``verified_links``). Rows with a null id stay; rows that repeat an id stay together.
+    at first and all where none of them holds (``verified_links``), but for those that parity bits
+    show to be below it (``possible``), so that a group of copies at 0.6 doesn't yield its pairs. Rows with a null id stay; rows that repeat an id stay together.
     """
-    prints = fingerprints(docs, id_col, text_col, STAGE_SHINGLE, words, True)
+    prints = fingerprints(docs, id_col, text_col, STAGE_SHINGLE, words, True, STAGE_PARITY)
     limit, masks = candidate_bits(similarity, words), trees_sampled(64 * words, trees, picked)
-    found = groups(prints.where("doc_id is not null"), limit, masks, 0, words, STAGE_LEAF, STAGE_NEAREST, lambda links: verified(links, docs, id_col, text_col, STAGE_SHINGLE, similarity))
+    found = groups(prints.where("doc_id is not null"), limit, masks, 0, words, STAGE_LEAF, STAGE_NEAREST, lambda links: verified(links, docs, id_col, text_col, STAGE_SHINGLE, similarity), STAGE_PARITY, similarity)
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti")

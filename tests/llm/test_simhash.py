@@ -132,6 +132,51 @@ def test_candidates_beyond_the_nearest_are_asked_for(spark):
     assert [m for m, _ in asked_for] == [4, simhash.ALL] and asked_for[1][1] == {i for i in range(5, 60, 2)}
 
 
+@pytest.mark.parametrize("words", [1, 8])
+def test_parity_bits_never_lose_a_pair_that_holds(words):
+    """Against the exact Jaccard of random sets, small and large, exact equality with the limit included."""
+    rng = np.random.default_rng(words)
+    sets = [np.zeros(0, np.uint64), np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)]  # the last two: 8 of 10
+    for size in (3, 9, 10, 90, 146, 600, 5000):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for share in (0, 0.05, 0.1, 0.11, 0.12, 0.2, 0.4):
+            new = base.copy()
+            new[: int(size * share)] = rng.integers(0, 1 << 63, int(size * share), dtype=np.uint64)
+            sets.append(np.unique(new))
+    bits = np.array([simhash.parity_bits(x, words) for x in sets])
+    sizes = np.array([len(x) for x in sets])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    left = {(int(i), int(j)) for x, y in simhash.possible(iter([(a, b)]), bits, sizes, 0.8) for i, j in zip(x, y)}
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            both = len(np.intersect1d(x, y))
+            union = len(x) + len(y) - both
+            assert (i, j) in left or (union and both < 0.8 * union)
+    assert (1, 2) in left and len(left) < len(a) * (0.7 if words == 1 else 0.5)
+
+
+def test_search_with_parity_bits_loses_no_link(documents):
+    """A group of copies far below and near 0.8: the same verified links as without the bits, from fewer candidates."""
+    rng = np.random.default_rng(17)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(120):
+        text = base.copy()
+        for at in rng.choice(150, 1 + i % 6, replace=False):
+            text[at] = word()
+        rows.append((i, " ".join(text)))
+    docs = documents(rows)
+    points = simhash.fingerprints(docs, shingle=5, words=4, distinct=True, parity=8).withColumnRenamed("doc_id", "node")
+    points = simhash.materialize(points, "points")
+    masks = simhash.trees_sampled(256, 48, 16)
+    asked = points.select("node")
+    found = [simhash.near_links(points, simhash.candidate_bits(0.8, 4), masks, 0, 4, 128, simhash.ALL, asked, None, parity, 0.8) for parity in (0, 8)]
+    found = [simhash.materialize(f, "found") for f in found]
+    held = [{tuple(r) for r in simhash.verified(f, docs, "doc_id", "text", 5, 0.8).collect()} for f in found]
+    assert held[0] == held[1] and len(held[0]) > 100
+    assert found[1].count() < found[0].count() / 2
+
+
 def test_no_folder_of_the_machine_on_a_cluster(spark):
     from sparkloom.llm import common
 
