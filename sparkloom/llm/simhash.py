@@ -251,6 +251,17 @@ def nearest_earlier(fp: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray
     return trimmed() if held else kept
 
 
+def met_before(differing: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether pairs, given by their differing bits, agree on all bits of one of these masks.
+
+    Such a pair shares that tree's leaf, and if it is among the nearest of one leaf after another, the earliest has told it.
+    """
+    met = np.zeros(len(differing), bool)
+    for mask in masks:
+        met |= ~(differing & mask).any(1)
+    return met
+
+
 def possible(pairs: Iterator[tuple[np.ndarray, np.ndarray]], bits: np.ndarray, sizes: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs whose sets may have that Jaccard similarity, by their parity bits and sizes; none that has it is left out.
 
@@ -303,16 +314,18 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
     # Shards beyond LEAF_ROWS go in pairs of chunks (i <= j). There are no more shards than rows of the samples.
     sized = routed.join(F.broadcast(counted), "shard", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = sized.withColumn("i", F.pmod(F.xxhash64("node"), "chunks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    keyed = dealt.withColumn("part", F.xxhash64("shard", F.least("i", "j"), F.greatest("i", "j"))).drop("shard", "chunks", "i", "j")
+    keyed = dealt.withColumn("part", F.xxhash64("shard", F.least("i", "j"), F.greatest("i", "j"))).withColumn("tree", F.shiftright("shard", 32).cast("int")).drop("shard", "chunks", "i", "j")
     # Parts share tasks; a task sorts its rows and takes one part after the other.
     sorted_parts = keyed.repartition("part").sortWithinPartitions("part", "node")
 
+    looked_at = np.array(masks, np.uint64)
+
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
 
         def links(pdf: pd.DataFrame) -> pd.DataFrame:
             found: list[tuple[int, int]] = []
-            node, part = pdf["node"].to_numpy(), pdf["part"].to_numpy()
+            node, part, tree = pdf["node"].to_numpy(), pdf["part"].to_numpy(), pdf["tree"].to_numpy()
             fp = np.ascontiguousarray(pdf[names].to_numpy(np.int64)).view(np.uint64)
             own, ask = pdf["own"].to_numpy(bool), pdf["ask"].to_numpy(bool)
             if parity:
@@ -327,7 +340,9 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
                     if parity:
                         pairs = possible(pairs, bits[a:b], sizes[a:b], similarity)
                     if nearest:
-                        found += [(int(node[a + i]), int(node[a + r]), d) for i, r, d in nearest_earlier(f, pairs, nearest).tolist() if node[a + i] != node[a + r]]
+                        near = nearest_earlier(f, pairs, nearest)
+                        near = near[~met_before(f[near[:, 0]] ^ f[near[:, 1]], looked_at[: tree[a]])]
+                        found += [(int(node[a + i]), int(node[a + r]), d) for i, r, d in near.tolist() if node[a + i] != node[a + r]]
                         continue
                     found += [(int(node[a + i]), int(node[a + r]), 0) for i, r in local_links(b - a, pairs)]
             return pd.DataFrame(found, columns=["a", "b", "d"], dtype=np.int64)

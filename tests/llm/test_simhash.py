@@ -177,6 +177,26 @@ def test_search_with_parity_bits_loses_no_link(documents):
     assert found[1].count() < found[0].count() / 2
 
 
+def test_pairs_told_by_an_earlier_tree_are_not_told_again(documents, monkeypatch):
+    """The links are those that every tree's pairs would give."""
+    rng = np.random.default_rng(23)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(80):
+        text = base.copy()
+        for at in rng.choice(120, i % 5, replace=False):
+            text[at] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    points = simhash.materialize(simhash.fingerprints(documents(rows), shingle=5, words=4, distinct=True).groupBy("f0", "f1", "f2", "f3").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "node"), "points")
+
+    def links(most):
+        found = simhash.near_links(points, simhash.candidate_bits(0.8, 4), simhash.trees_sampled(256, 24, 16), 0, 4, 16, most)
+        return {tuple(r) for r in found.collect()}
+
+    got = {most: links(most) for most in (3, simhash.ALL)}
+    monkeypatch.setattr(simhash, "met_before", lambda differing, masks: np.zeros(len(differing), bool))
+    assert got == {most: links(most) for most in (3, simhash.ALL)} and len(got[simhash.ALL]) > len(got[3]) > 50
+
+
 def test_no_folder_of_the_machine_on_a_cluster(spark):
     from sparkloom.llm import common
 
