@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, extraction, language, minhash, packing, quality, simhash, substring, urlfilter, warc
+from . import decontamination, extraction, language, merkle, minhash, packing, quality, simhash, substring, urlfilter, warc
 
 
 def tokenizer(name: str) -> str:
@@ -57,10 +57,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    named = (op1_packing, op2_url_filters, op3_simhash, op4_fingerprints, op5_decontamination, op6_warc, op7_extraction, op8_substring, op9_quality, op10_language)
+    named = (op1_packing, op2_url_filters, op3_simhash, op4_fingerprints, op5_decontamination, op6_warc, op7_extraction, op8_substring, op9_quality, op10_language, op13_merkle)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": urlfilter.ORACLE, "op5_decontamination": decontamination.ORACLE}
+    return {"op2_url_filters": urlfilter.ORACLE, "op5_decontamination": decontamination.ORACLE, "op13_merkle": merkle.ORACLE}
