@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, extraction, language, merkle, minhash, packing, quality, simhash, substring, urlfilter, warc, whitening
+from . import decontamination, extraction, language, licenses, merkle, minhash, packing, quality, simhash, substring, urlfilter, warc, whitening
 
 
 def tokenizer(name: str) -> str:
@@ -61,12 +61,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.by_component(table(spark, sf_dir, "embeddings"))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licensed(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    named = (op1_packing, op2_url_filters, op3_simhash, op4_fingerprints, op5_decontamination, op6_warc, op7_extraction, op8_substring, op9_quality, op10_language, op11_whitening, op13_merkle)
+    named = (op1_packing, op2_url_filters, op3_simhash, op4_fingerprints, op5_decontamination, op6_warc, op7_extraction, op8_substring, op9_quality, op10_language, op11_whitening, op12_licenses, op13_merkle)
     return {f.__name__: f for f in named}
 
 
