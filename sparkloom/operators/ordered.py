@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kept import kept
+
 RANGES = 64
 
 
@@ -42,3 +44,26 @@ def ranked_values(rows: DataFrame, key: str, value: str, ranges: int = RANGES) -
 def value_at(rank: Column, value: str) -> Column:
     """Aggregate over ``ranked_values``: the value of that rank (from 1)."""
     return F.max(F.when((F.col("hi") >= rank) & (F.col("hi") - F.col("c") < rank), F.col(value)))
+
+
+def running_in_parts(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` with running sums and maxima over each key's rows up to the row itself, in the given order.
+
+    Rows are range partitioned by key and order, so that a key of any size is spread over as many parts as it fills, and equal
+    rows with it; a part's rows run by themselves, and what a key has in earlier parts is added from one row a key and part.
+    """
+    sums, maxima = sums or {}, maxima or {}
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c).asc_nulls_first() for c in (*keys, *order, "_tie")]
+    dealt = rows.withColumns({f"_{n}": c for n, c in (sums | maxima).items()} | {"_tie": F.monotonically_increasing_id()})
+    dealt = kept(dealt.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()))
+    inner = Window.partitionBy("_part", *keys).orderBy(*by[len(keys) :]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_part", *keys).agg(F.count("*").alias("_c"), *(F.sum(f"_{n}").alias(f"_{n}") for n in sums), *(F.max(f"_{n}").alias(f"_{n}") for n in maxima))
+    before = totals.select(F.col("_part").alias("_at"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(F.sum(f"_{n}").over(earlier).alias(f"_b{n}") for n in sums), *(F.max(f"_{n}").over(earlier).alias(f"_b{n}") for n in maxima))
+    run = dealt.withColumns({n: F.sum(f"_{n}").over(inner) for n in sums} | {n: F.max(f"_{n}").over(inner) for n in maxima})
+    same = F.col("_part") == F.col("_at")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    whole = {n: F.coalesce(n, F.lit(0)) + F.coalesce(f"_b{n}", F.lit(0)) for n in sums} | {n: F.greatest(n, f"_b{n}") for n in maxima}
+    return run.join(before, same).withColumns(whole).select(*rows.columns, *sums, *maxima)
