@@ -105,14 +105,15 @@ def dedup_ndcg(matches: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
     return joined.select("case_id", F.round(F.coalesce("hit", F.lit(0)) / F.col("n"), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.coalesce("dcg", F.lit(0.0)) / F.col("ideal"), 6).alias("ndcg"))
 
 
-def bootstrap(cases: DataFrame, key: str, samples: int, seed: int, level: float = 0.95, strata: str | None = None) -> DataFrame:
+def bootstrap(cases: DataFrame, key: str, samples: int, seed: int, level: float = 0.95, strata: str | None = None, size: str | None = None) -> DataFrame:
     """(key, improvement, low, high, clusters) from (key, cluster_id, baseline, candidate): a cluster bootstrap that no task holds.
 
     Every cluster's weight in a sample is a Poisson number with mean 1, drawn from a hash of seed, cluster and sample, so that samples
     are sums that Spark aggregates before it shuffles them. With ``strata`` each stratum's mean is resampled on its own and weighed by its cases.
+    With ``size`` the rows are sums over that many cases.
     """
     by = [key, *([strata] if strata else [])]
-    per = cases.groupBy(*by, "cluster_id").agg(F.sum(F.col("candidate") - F.col("baseline")).alias("d"), F.count("*").alias("n"))
+    per = cases.groupBy(*by, "cluster_id").agg(F.sum(F.col("candidate") - F.col("baseline")).alias("d"), (F.sum(size) if size else F.count("*")).alias("n"))
     draw = (F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col("cluster_id").cast("string"), F.col("sample")), F.lit(1 << 30)) + 0.5) / (1 << 30)
     steps, total, part = [], 0.0, 0.36787944117144233
     for k in range(12):

@@ -69,5 +69,5 @@ def shared_clusters(cases: DataFrame, case_col: str, document_col: str, rounds:
         changed = new.join(labels.withColumnRenamed("cluster", "old"), "case").where("cluster <> old").limit(1).count()
         labels = new
         if not changed:
-            break
-    return labels
+            return labels
+    raise ValueError(f"clusters still change after {rounds} rounds; ask for more")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, guards, library, pages, pools, retrieval, state, trees  # noqa: F401
+from . import evaluation, gates, guards, library, pages, pools, retrieval, state, trees  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "hybrid_retrieval"
