@@ -54,18 +54,66 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_
     """(query_id, id, rank, score): BM25 over the distinct terms of each query; ties by id.
 
     Postings of the queries' terms and the documents' lengths come from one pass over the texts, which is kept; idf is
-    ln(1 + (N - df + 0.5) / (df + 0.5)), and the totals are over all documents.
+    ln(1 + (N - df + 0.5) / (df + 0.5)), and the totals are over all documents. ``best_sums`` finds the k best without
+    scoring every document that holds a common term.
     """
-    terms = query_terms(queries, query_id, query_text)
+    terms = kept(query_terms(queries, query_id, query_text))
     found = postings(docs, terms, id_col, text_col)
     corpus = found.where(F.col("term") == EVERY).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     hits = found.where(F.col("term") != EVERY)
     idf = hits.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus))  # one row of totals
     idf = idf.select("term", "avg_len", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scores = hits.join(idf, "term").select("id", "term", part.alias("part")).join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return best_sums(kept(hits.join(idf, "term").select("id", "term", part.alias("part"))), terms, k)
+
+
+#: Scores are rounded to six digits, so that what lies this far below a threshold may still tie.
+SLACK = 2e-6
+#: Rows of query and document that are summed without pruning first: some ten million take as long as the pruning's own jobs.
+DIRECT_PAIRS = 20_000_000
+
+
+def best_sums(parts: DataFrame, terms: DataFrame, k: int, direct: int = DIRECT_PAIRS) -> DataFrame:
+    """(query_id, id, rank, score): the k largest sums of ``parts`` (id, term, part > 0) over the terms (query_id, term) of every query; ties by id.
+
+    Pruned by term upper bounds: every term's 2 k largest parts name 4 k documents a query, whose k-th best score bounds
+    the query's from below. Terms whose largest parts, added up from the smallest, stay under that bound can't lift a document by themselves: only
+    the other, essential ones, make candidates, the bound rises to the k-th best of their sums, and the candidates that
+    could still reach it, no others, meet the remaining terms. A term of every document and every query is essential only where a query has nothing rarer.
+    Where terms of queries and postings meet in ``direct`` rows at most (counted by term first), they are summed at once: the same rows.
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scores.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
+
+    def ranked(sums: DataFrame) -> DataFrame:
+        scores = sums.groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
+        return scores.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
+
+    met = parts.groupBy("term").agg(F.count("*").alias("df")).join(terms.groupBy("term").agg(F.count("*").alias("qf")), "term").agg(F.sum(F.col("df") * F.col("qf"))).first()[0]
+    if (met or 0) <= direct:
+        return ranked(parts.join(terms, "term").select("query_id", "id", F.col("part").alias("s")))
+    best_parts = Window.partitionBy("term").orderBy(F.desc("part"), "id")
+    leading = parts.withColumn("r", F.row_number().over(best_parts)).where(F.col("r") <= 2 * k)
+    highest = leading.where("r = 1").select("term", F.col("part").alias("most"))
+
+    def kth(sums: DataFrame, name: str) -> DataFrame:
+        largest = Window.partitionBy("query_id").orderBy(F.desc("s"))
+        return sums.withColumn("r", F.row_number().over(largest)).where(F.col("r") <= k).where(F.col("r") == k).select("query_id", F.col("s").alias(name))
+
+    sums = leading.join(terms, "term").groupBy("query_id", "id").agg(F.sum("part").alias("s"))
+    # The whole scores of the 4 k best of these: at most 4 k rows a query and term.
+    ahead = sums.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "id"))).where(F.col("r") <= 4 * k)
+    whole = ahead.select("query_id", "id").join(terms, "query_id").join(parts, ["id", "term"]).groupBy("query_id", "id").agg(F.sum("part").alias("s"))
+    bound = kth(whole, "bound")
+    upward = Window.partitionBy("query_id").orderBy("most", "term")
+    asked = terms.join(highest, "term").join(bound, "query_id", "left")
+    asked = kept(asked.withColumn("essential", F.sum("most").over(upward) >= F.coalesce("bound", F.lit(0.0)) - SLACK))
+    partial = kept(parts.join(asked.where("essential").select("query_id", "term"), "term").groupBy("query_id", "id").agg(F.sum("part").alias("s")))
+    limits = asked.groupBy("query_id").agg(F.max("bound").alias("bound"), F.coalesce(F.sum(F.when(~F.col("essential"), F.col("most"))), F.lit(0.0)).alias("rest")).join(kth(partial, "raised"), "query_id", "left")
+    least = F.greatest(F.coalesce("bound", F.lit(0.0)), F.coalesce("raised", F.lit(0.0))) - SLACK
+    alive = kept(partial.join(limits.select("query_id", "rest", least.alias("least")), "query_id").where(F.col("s") + F.col("rest") >= F.col("least")).select("query_id", "id", "s"))
+    others = alive.select("query_id", "id").join(asked.where("not essential").select("query_id", "term"), "query_id")
+    more = others.join(parts, ["id", "term"]).select("query_id", "id", F.col("part").alias("s"))
+    return ranked(alive.unionByName(more))
 
 
 def trigrams(text: Column) -> Column:

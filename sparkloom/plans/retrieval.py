@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import fusion, lexical, vector
+from ..operators import fulltext, fusion, lexical, vector
 from .registry import query, table
 
 Q = "vec_id % 50 = 0"
@@ -97,6 +97,43 @@ def lex1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.match_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 50)
 
 
+def web_queries(items: str = "w") -> str:
+    """A search from an item's words: a phrase and a word without another, or two words."""
+    return f"""concat('"', {items}[1], ' ', {items}[2], '" ', {items}[3], ' -', {items}[20], ' OR ', {items}[6], ' "', {items}[8], ' ', {items}[9], ' ', {items}[10], '"')"""
+
+
+def sql_stems(words: str, ending: str) -> str:
+    return f"list_transform({words}, lambda x: CASE WHEN length(x) >= 5 THEN regexp_replace(x, '{ending}', '') ELSE x END)"
+
+
+WEB = f"""
+WITH i AS (SELECT item_id AS query_id, {TOKENS} AS w FROM benchmark), q AS (SELECT query_id, {web_queries()} AS said FROM i WHERE len(w) >= 20),
+c AS (SELECT query_id, unnest(range(1, len(p) + 1)) AS literal, unnest(p) AS x FROM (SELECT query_id, regexp_extract_all(said, '-?"[^"]*"|[^\s"]+') AS p FROM q)),
+a AS (SELECT query_id, literal, x, count(*) FILTER (WHERE lower(x) = 'or') OVER (PARTITION BY query_id ORDER BY literal) AS alternative FROM c),
+l AS (SELECT query_id, alternative, literal, starts_with(x, '-') AS negated, list_filter(string_split_regex(lower(x), '[^\p{{L}}\p{{N}}]+'), lambda y: y <> '') AS w FROM a WHERE lower(x) <> 'or'),
+e AS ({" UNION ALL ".join(f"SELECT '{n}' AS config, query_id, alternative, literal, negated, {sql_stems('w', x)} AS w FROM l WHERE len(w) > 0" for n, x in fulltext.ENDINGS.items())}),
+t AS (SELECT doc_id AS id, {TOKENS} AS w FROM documents),
+d AS ({" UNION ALL ".join(f"SELECT '{n}' AS config, id, {sql_stems('w', x)} AS w FROM t" for n, x in fulltext.ENDINGS.items())}),
+p AS (SELECT config, id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+k AS (SELECT config, query_id, alternative, literal, len(w) AS size, unnest(w) AS word, unnest(range(len(w))) AS place FROM e),
+s AS (SELECT k.config, query_id, alternative, literal, id, pos - place AS start FROM k JOIN p ON p.config = k.config AND p.word = k.word GROUP BY 1, 2, 3, 4, 5, 6, size HAVING count(*) = size),
+h AS (SELECT config, query_id, alternative, literal, id, count(*) AS times FROM s GROUP BY ALL),
+n AS (SELECT config, query_id, alternative, count(*) FILTER (WHERE NOT negated) AS need FROM e GROUP BY ALL),
+m AS (SELECT h.config, h.query_id, h.alternative, id, count(*) FILTER (WHERE NOT negated) AS have, count(*) FILTER (WHERE negated) AS bad, sum(ln(1 + times)) FILTER (WHERE NOT negated) AS score
+  FROM h JOIN e USING (config, query_id, alternative, literal) GROUP BY 1, 2, 3, 4),
+b AS (SELECT query_id, id, round(max(score), 6) AS score FROM m JOIN n USING (config, query_id, alternative) WHERE have = need AND bad = 0 GROUP BY 1, 2)
+SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, score FROM b) WHERE rank <= 50"""
+
+
+@query("lex1_websearch", WEB)
+def lex1_web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches made of every benchmark item's words, with phrases, an alternative and an exclusion, in two configurations."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", lexical.tokens(F.col("text")).alias("w")).where(F.size("w") >= 20)
+    at = lambda i: F.get("w", F.lit(i - 1))
+    said = F.concat(F.lit('"'), at(1), F.lit(" "), at(2), F.lit('" '), at(3), F.lit(" -"), at(20), F.lit(" OR "), at(6), F.lit(' "'), at(8), F.lit(" "), at(9), F.lit(" "), at(10), F.lit('"'))
+    return fulltext.matches(table(spark, sf_dir, "documents"), items.select("item_id", said.alias("said")), "doc_id", "text", "item_id", "said", 50)
+
+
 BM25 = f"""{POSTINGS}, q AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark),
 c AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM t), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 s AS (SELECT query_id, p.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t.w) / avg_len))), 6) AS score
