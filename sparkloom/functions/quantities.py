@@ -5,19 +5,70 @@ Column expressions; a text's matches are arrays, never rows of another language.
 
 from __future__ import annotations
 
+import bisect
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import NUMBER, STANDARDS_CYRILLIC, STANDARDS_LATIN, let, multiset_difference, normalized_unit, strict_number
+from .numbers import STANDARDS_CYRILLIC, STANDARDS_LATIN, UNITS, let, multiset_difference, normalized_unit, strict_number
 
 CITATION = r"\[[0-9]{1,3}\]"
-#: A signed number and what directly follows it, taken for its unit.
-MENTION = r"(?U)(?<![\w.,])([+\-−]?\d+(?:[.,]\d+)*)(?:\s?([%°℃µ\p{L}][\p{L}\d²³^/·*]*))?"
-FORMULA = r"\$[^$\n]+\$|\b[A-Za-z]\w{0,3}\s?=\s?[A-Za-z0-9(][\w+\-*/^().]*"
-STANDARD = rf"\b(?:{STANDARDS_CYRILLIC}|{STANDARDS_LATIN})\s?[-—–]?\s?\d[\d.\-—–/]*"
-MEASUREMENT = r"[+\-−]?\d+(?:[.,]\d+)*\s?(?:°C|°F|%|[kMG]?Pa|m?bar|mm[23]?|cm[23]?|km|m[23]?/h|m[23]?|kg|k?W|k?V|Hz|rpm)(?![\w/])"
+# How numbers, formulas and units are written.
+NUMBER_TEXT = r"[+\-−＋－]?\d+(?:[ \u00a0,，]\d{3})*(?:[.,，．]\d+)?"
+FORMULAS = (
+    r"\$\$(?=\S)(?:.|\n)*?(?<=\S)\$\$",
+    r"(?<!\\)\$(?=\S)[^$\n]+?(?<=\S)\$",
+    r"\\\((?=\S).*?(?<=\S)\\\)",
+    r"\\\[(?=\S)(?:.|\n)*?(?<=\S)\\\]",
+    r"(?<!\w)[A-Za-zА-Яа-я][A-Za-zА-Яа-я0-9_]{0,9}\s*=\s*[A-Za-zА-Яа-я0-9][A-Za-zА-Яа-я0-9_*/^()+.\-]{1,40}",
+)
+STANDARD = rf"(?<!\w)(?:(?i:{STANDARDS_CYRILLIC})|{STANDARDS_LATIN})\s?[-—–]?\s?\d[\d.\-—–/]*"
+MORE_UNITS = [
+    "兆帕", "千帕", "帕", "ksi", "巴", "mmHg", "мм рт. ст.", "мм рт ст", "deg C", "deg F", "degC", "degF", "°С", "摄氏度", "华氏度", "千瓦", "兆瓦", "瓦", "mV", "мВ", "千伏", "伏", "kA", "кА", "毫安", "千安", "安培", "MN", "МН", "MHz", "МГц",
+    "mg", "мг", "lb", "lbs", "oz", "千克", "公斤", "毫克", "克", "吨", "мкм", "µm", "um", "in", "inch", "inches", "ft", "yd", "дюйм", "дюйма", "дюймов", "毫米", "厘米", "千米", "微米", "米", "gal", "bbl", "boe", "scf", "mcf", "毫升", "升",
+    "ms", "мс", "days", "сут", "毫秒", "秒", "分钟", "小时", "天", "％", "‰", "ppm", "ppb", "m/h", "м/ч", "mm/s", "мм/с", "cm/s", "см/с", "km/h", "км/ч",
+]
 KINDS = ("formula", "standard", "measurement", "number")
-ANY = f"(?U)({FORMULA})|({STANDARD})|({MEASUREMENT})|({NUMBER.removeprefix('(?U)')})"
+_EDGE = "A-Za-zА-Яа-я0-9０-９_"
+
+
+def unit_pattern() -> str:
+    """Any spelling of a known unit, longest first; squares and cubes also as ² and ³, products also with a dot, degrees also with a blank."""
+    spelled = {v for of in UNITS.values() for v in of.split()} | set(MORE_UNITS)
+    out = []
+    for unit in sorted(spelled, key=lambda u: (-len(u), u)):
+        p = re.escape(unit).replace("\\*", "[*·⋅ ]?").replace("2", "[²2]").replace("3", "[³3]").replace("°", "°\\s?").replace("\\ ", "\\s*")
+        out.append(p)
+    return "|".join(out)
+
+
+def patterns() -> tuple[list[re.Pattern], ...]:
+    """Patterns by kind, in the order of KINDS."""
+    measured = rf"(?<![{_EDGE}]){NUMBER_TEXT}(?:\s*[-–—…]\s*{NUMBER_TEXT})?\s*(?i:{unit_pattern()})(?![{_EDGE}])"
+    return [re.compile(p) for p in FORMULAS], [re.compile(STANDARD)], [re.compile(measured)], [re.compile(NUMBER_TEXT)]
+
+
+def spans(text: str | None, of: tuple[list[re.Pattern], ...]) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of a text's entities in their order.
+
+    All matches of all patterns are candidates; kinds go in the order of KINDS, in a kind the first start and then the longest. One that overlaps
+    an entity taken before is left out. Taken ones are disjoint, so that only the neighbours of a candidate's place can overlap it.
+    """
+    starts: list[int] = []
+    taken: list[tuple[int, int, str]] = []
+    for kind, group in zip(KINDS, of):
+        for start, minus in sorted({(m.start(), -m.end()) for p in group for m in p.finditer(text or "")}):
+            at = bisect.bisect_left(starts, -minus)  # entities that start before the candidate's end
+            if not at or taken[at - 1][1] <= start:
+                starts.insert(at, start)
+                taken.insert(at, (start, -minus, kind))
+    return taken
+
+
+#: A signed number, in groups of three or with its decimals, and what directly follows it, taken for its unit.
+MENTION = r"(?U)(?<![\w.,])([+\-−]?(?:\d{1,3}(?:[ \u00a0]\d{3})+(?!\d)(?:[.,]\d+)?|\d+(?:[.,]\d+)*))(?:\s?([%°℃µ\p{L}][\p{L}\d²³^/·*]*))?"
 
 
 def mentions(text: Column, comma: str = "decimal") -> Column:
@@ -44,20 +95,21 @@ def support(answer: Column, evidence: Column) -> Column:
     return let(F.struct(F.coalesce(mentions(answer), F.expr(pair)).alias("have"), F.coalesce(mentions(evidence), F.expr(pair)).alias("of")), counts)
 
 
+ENTITY = "array<struct<kind: string, value: string, start: int>>"
+
+
 def entities(text: Column) -> Column:
-    """(kind, value, start) of formulas, standards, measurements and other numbers: leftmost first, at one place in this order."""
-    whole = F.coalesce(text, F.lit(""))
-    found = [F.regexp_extract_all(whole, F.lit(ANY), F.lit(i)).alias(f"g{i}") for i in range(4)]
-    zipped = F.arrays_zip(F.split(whole, ANY, -1).alias("before"), *found)  # one more part than matches
-    start = F.struct(F.expr("cast(array() as array<struct<kind:string,value:string,start:int>>)").alias("out"), F.lit(0).alias("at"))
+    """(kind, value, start) of a text's formulas, standards, measurements and other numbers, by ``spans``; places count characters from 0.
+
+    No built-in function gives the places of matches, nor one pattern the order of the kinds: a batch at a time in Python.
+    """
 
-    def step(acc: Column, m: Column) -> Column:
-        at = acc["at"] + F.char_length(m["before"])
-        kind = F.coalesce(*(F.when(m[f"g{i}"] != "", F.lit(k)) for i, k in enumerate(KINDS[:3], 1)), F.lit(KINDS[3]))
-        one = F.struct(kind.alias("kind"), m["g0"].alias("value"), at.alias("start"))
-        return F.struct(F.when(m["g0"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"), (at + F.char_length(F.coalesce(m["g0"], F.lit("")))).alias("at"))
+    @F.pandas_udf(ENTITY)
+    def found(batch: pd.Series) -> pd.Series:
+        of = patterns()
+        return pd.Series([[{"kind": k, "value": t[a:b], "start": a} for a, b, k in spans(t, of)] for t in batch.fillna("")])
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    return found(text)
 
 
 def token(i: Column) -> Column:
@@ -66,9 +118,17 @@ def token(i: Column) -> Column:
 
 def protected(text: Column) -> Column:
     """The text with a token in place of every entity, numbered from 0."""
-    whole = F.coalesce(text, F.lit(""))
-    parts = F.split(whole, ANY, -1)
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i > 0, F.concat(token(i - 1), p)).otherwise(p)), "")
+
+    def put(s: Column) -> Column:
+        begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("i"))
+
+        def step(acc: Column, e: Column) -> Column:
+            before = F.substring(s["text"], acc["at"] + 1, e["start"] - acc["at"])
+            return F.struct(F.concat(acc["out"], before, token(acc["i"])).alias("out"), (e["start"] + F.char_length(e["value"])).alias("at"), (acc["i"] + 1).alias("i"))
+
+        return F.aggregate(s["found"], begin, step, lambda acc: F.concat(acc["out"], F.substring(s["text"], acc["at"] + 1, F.char_length(s["text"]))))
+
+    return let(F.struct(F.coalesce(text, F.lit("")).alias("text"), entities(text).alias("found")), put)
 
 
 def restored(text: Column, values: Column) -> Column:

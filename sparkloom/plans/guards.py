@@ -444,3 +444,10 @@ def smp21(spark: SparkSession, sf_dir: str) -> DataFrame:
     sound = lambda t: F.size(numbers.missing_numbers(F.col("answer"), t)) == 0
     decision = F.when(F.col("e") % 4 != 0, "model").when(sound(stored), "memory").when(sound(again), "retry").otherwise("flagged")
     return answers(spark, sf_dir).select("case_id", decision.alias("decision"))
+
+
+@query("scn1_text_entities")
+def scn1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of every kind in all documents, by source."""
+    rows = table(spark, sf_dir, "documents").select("source", F.explode(quantities.entities(F.col("text"))).alias("e"))
+    return rows.groupBy("source", F.col("e")["kind"].alias("kind")).agg(F.count("*").alias("n"), F.count_distinct(F.col("e")["value"]).alias("values"))

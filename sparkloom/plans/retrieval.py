@@ -106,7 +106,7 @@ def sql_stems(words: str, ending: str) -> str:
     return f"list_transform({words}, lambda x: CASE WHEN length(x) >= 5 THEN regexp_replace(x, '{ending}', '') ELSE x END)"
 
 
-WEB = f"""
+WEB = rf"""
 WITH i AS (SELECT item_id AS query_id, {TOKENS} AS w FROM benchmark), q AS (SELECT query_id, {web_queries()} AS said FROM i WHERE len(w) >= 20),
 c AS (SELECT query_id, unnest(range(1, len(p) + 1)) AS literal, unnest(p) AS x FROM (SELECT query_id, regexp_extract_all(said, '-?"[^"]*"|[^\s"]+') AS p FROM q)),
 a AS (SELECT query_id, literal, x, count(*) FILTER (WHERE lower(x) = 'or') OVER (PARTITION BY query_id ORDER BY literal) AS alternative FROM c),
