@@ -27,7 +27,8 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return grouped.agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
-def run_once(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> None:
-    """Work off what is there and stop; the checkpoint makes a restart go on where it was."""
+def run_once(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> int:
+    """Work off what is there and stop; the checkpoint makes a restart go on where it was. How many rows came later than the watermark allows."""
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)
