@@ -46,8 +46,6 @@ CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSE
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 NAMED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 UNQUOTED = re.compile(r"[^>\"']*")
-#: Open elements that are remembered; deeper ones are read as siblings, as browsers do.
-DEPTH = 512
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Words in class, id and role names that the unary model looks at, by what they tell.
@@ -67,18 +65,21 @@ for _k, _v in HINTS.items():
     for _w in _v.split():
         HINT_OF.setdefault(_w, []).append(_k)
 TAGS = "html body main article section nav aside header footer form div p h1 h2 h3 h4 h5 h6 ul ol li a b i em strong span table tr td th blockquote pre code figure figcaption dl dt dd label #text".split()
+#: Elements whose content is told by their tag, however deep it lies.
+CONTAINERS = "nav aside header footer form article main".split()
 #: Stands before a text of the content in labelled pages.
 MARK = "\ue000"
 NUMBERS = ("length", "links", "points", "bias")
-FEATURES = {name: i for i, name in enumerate([*(f"tag:{t}" for t in TAGS), *(f"under:{t}" for t in TAGS), *(f"name:{h}" for h in HINTS), *(f"within:{h}" for h in HINTS), *NUMBERS])}
+FEATURES = {name: i for i, name in enumerate([*(f"tag:{t}" for t in TAGS), *(f"under:{t}" for t in TAGS), *(f"name:{h}" for h in HINTS), *(f"within:{h}" for h in HINTS), *(f"inside:{h}" for h in (*HINTS, *(f"<{t}>" for t in CONTAINERS))), *NUMBERS])}
 
 
 class Node:
-    __slots__ = ("tag", "hints", "parent", "text", "children", "size", "linked", "points", "label")
+    __slots__ = ("tag", "hints", "above", "parent", "text", "children", "size", "linked", "points", "label")
 
     def __init__(self, tag: str, parent: int, hints: tuple[str, ...] = (), text: str = ""):
         self.tag, self.parent, self.hints, self.text = tag, parent, hints, text
         self.size = self.linked = self.points = 0
+        self.above: frozenset[str] = frozenset()
         self.label = None
 
 
@@ -138,9 +139,28 @@ def tree(source: str) -> list[Node]:
     """Nodes in document order, parents before children; hidden elements have no nodes."""
     nodes = [Node("#root", -1)]
     stack = [0]
+    # Places in the stack by tag, and those of elements that aren't inline: every search for an open element looks at the last of them.
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
     done = 0
     never_closed: set[str] = set()
 
+    def push(tag: str) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append(len(nodes) - 1)
+
+    def close(place: int) -> None:
+        while len(stack) > place:
+            tag = nodes[stack.pop()].tag
+            places[tag].pop()
+            if tag not in INLINE:
+                blocks.pop()
+
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def put(text: str) -> None:
         if text and not text.isspace():
             nodes.append(Node("#text", stack[-1], (), entities.unescape(text)))
@@ -154,35 +174,23 @@ def tree(source: str) -> list[Node]:
         if tag is None:
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag == tag:
-                    del stack[i:]
-                    break
-                if tag == "p" or nodes[stack[i]].tag in ("td", "th", "table") and tag not in ("tr", "tbody", "thead", "tfoot", "table", *SECTIONS, "div"):
-                    if nodes[stack[i]].tag not in INLINE:
-                        break
+            place = last(tag)
+            # A paragraph's end looks through inline elements only, most others not out of a table or its cells.
+            bound = blocks[-1] if tag == "p" and blocks else last("td", "th", "table") if tag not in ("tr", "tbody", "thead", "tfoot", "table", "div", *SECTIONS) else 0
+            if place and place >= bound:
+                close(place)
             continue
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag == "p":
-                    del stack[i:]
-                    break
-                if nodes[stack[i]].tag not in INLINE:
-                    break
+        if tag in ENDS_P and blocks and nodes[stack[blocks[-1]]].tag == "p":
+            close(blocks[-1])
         if tag in CLOSES:
             those, stop = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag in those:
-                    del stack[i:]
-                    if tag not in ("tr", "td", "th", "tbody", "tfoot", "thead"):
-                        break
-                    if not any(nodes[s].tag in those for s in stack):
-                        break
-                elif nodes[stack[i]].tag in stop:
+            while (place := last(*those)) > last(*stop):
+                close(place)
+                if tag not in ("tr", "td", "th", "tbody", "tfoot", "thead"):
                     break
         if tag in RAW or tag in HIDDEN and tag not in ("head", "object") and tag not in VOID:
-            last = None if tag in never_closed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, done)
-            gt = source.find(">", last.end()) if last else -1
+            ends = None if tag in never_closed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, done)
+            gt = source.find(">", ends.end()) if ends else -1
             if gt < 0:
                 never_closed.add(tag)
             if gt >= 0 or tag in RAW:
@@ -191,16 +199,21 @@ def tree(source: str) -> list[Node]:
             continue
         hints = hints_of(attributes) if attributes and not attributes.isspace() else ()
         nodes.append(Node(tag, stack[-1], hints))
-        if tag not in VOID and not attributes.rstrip().endswith("/") and len(stack) < DEPTH:
-            stack.append(len(nodes) - 1)
+        if tag not in VOID and not attributes.rstrip().endswith("/"):
+            push(tag)
     put(source[done:])
     return nodes
 
 
 def measured(nodes: list[Node]) -> None:
-    """Characters, linked characters and punctuation below every node."""
+    """Characters, linked characters and punctuation below every node; the hints and containers above it, at any distance."""
     in_link = [False] * len(nodes)
+    within: list[frozenset[str]] = [frozenset()] * len(nodes)  # of a node's children
     for i, x in enumerate(nodes):
+        if x.parent >= 0:
+            x.above = within[x.parent]
+            own = (*(h for h in x.hints if h != "#hidden"), *((f"<{x.tag}>",) if x.tag in CONTAINERS else ()))
+            within[i] = x.above.union(own) if own else x.above
         in_link[i] = x.parent >= 0 and in_link[x.parent] or x.tag == "a"
         if x.tag == "#text":
             x.size = len(x.text)
@@ -222,6 +235,7 @@ def features(x: Node, parent: Node | None) -> list[tuple[int, float]]:
     out += [(FEATURES[f"name:{h}"], 1.0) for h in x.hints if h != "#hidden"]
     if parent is not None:
         out += [(FEATURES[f"within:{h}"], 1.0) for h in parent.hints if h != "#hidden"]
+    out += [(FEATURES[f"inside:{h}"], 1.0) for h in x.above]
     return out
 
 
@@ -301,30 +315,45 @@ def labelled_pages(count: int = 240, seed: int = 20) -> Iterator[str]:
     def links() -> str:
         return rng.choice(["<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 8))) + "</ul>", " | ".join(link() for _ in range(rng.randint(2, 6)))])
 
+    def deep(inner: str) -> str:
+        """The same within one to three wrappers that say nothing, or as it is."""
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            tag = rng.choice(["div", "div", "section", "li", "article", "span" if "<" not in inner else "div"])
+            inner = f"<{tag}{rng.choice(['', '', ' class=inner', ' class=row', ' id=c2', ' class=u-mb4'])}>{inner}</{tag}>"
+        return inner
+
+    def prose() -> str:
+        """Sentences as an article has them, where there is none."""
+        return "".join(f"<p>{' '.join(words(rng.randint(5, 15)) for _ in range(rng.randint(1, 5)))}</p>" for _ in range(rng.randint(1, 3)))
+
     def menu() -> str:
-        return rng.choice([f"<nav>{links()}</nav>", f"<div {named('menu')}>{links()}</div>", f"<ul {named('menu')}><li>{link()}<li>{link()}</ul>", f"<nav {named('menu')}>{links()}</nav>"])
+        inner = deep(rng.choice([links(), links(), prose()]))
+        return rng.choice([f"<nav>{inner}</nav>", f"<div {named('menu')}>{inner}</div>", f"<ul {named('menu')}><li>{link()}<li>{link()}</ul>", f"<nav {named('menu')}>{inner}</nav>"])
 
     def edge(tag: str) -> str:
-        inner = rng.choice([f"<p>{words(rng.randint(2, 14))}</p>", f"&copy; {words(rng.randint(1, 12))}", f"<h2>{words(3)}</h2>{links()}", f"{words(4)}{menu()}", f"{words(2)} &middot; {words(rng.randint(3, 12))}"])
+        inner = rng.choice([f"<p>{words(rng.randint(2, 14))}</p>", f"&copy; {words(rng.randint(1, 12))}", f"<h2>{words(3)}</h2>{links()}", f"{words(4)}{menu()}", f"{words(2)} &middot; {words(rng.randint(3, 12))}", prose()])
+        inner = deep(inner)
         return rng.choice([f"<{tag}>{inner}</{tag}>", f"<div {named('edge')}>{inner}</div>", f"<{tag} {named('edge')}>{inner}</{tag}>"])
 
     def side() -> str:
-        inner = rng.choice([f"<h3>{words(2)}</h3>{links()}", f"<p>{words(rng.randint(5, 60))}</p>", f"<h4>{words(3)}</h4><p>{words(rng.randint(8, 40))}</p>{link()}"])
+        inner = rng.choice([f"<h3>{words(2)}</h3>{links()}", f"<p>{words(rng.randint(5, 60))}</p>", f"<h4>{words(3)}</h4><p>{words(rng.randint(8, 40))}</p>{link()}", prose()])
+        inner = deep(inner)
         return rng.choice([f"<aside>{inner}</aside>", f"<div {named('side')}>{inner}</div>", f"<section {named('side')}>{inner}</section>", f"<aside {named('side')}>{inner}</aside>"])
 
     def ad() -> str:
-        return f"<div {named('ad')}>{rng.choice([words(rng.randint(2, 40)), f'<p>{words(rng.randint(4, 30))}</p>', link()])}</div>"
+        return f"<div {named('ad')}>{deep(rng.choice([words(rng.randint(2, 40)), f'<p>{words(rng.randint(4, 30))}</p>', link(), prose()]))}</div>"
 
     def note() -> str:
-        return f"<div {named('note')}>{rng.choice([words(rng.randint(4, 40)), f'<p>{words(rng.randint(5, 40))}</p>{link()}'])}</div>"
+        return f"<div {named('note')}>{deep(rng.choice([words(rng.randint(4, 40)), f'<p>{words(rng.randint(5, 40))}</p>{link()}', prose()]))}</div>"
 
     def talk() -> str:
         one = lambda: rng.choice([f"<div {named('talk')}><b>{words(2)}</b><p>{words(rng.randint(4, 60))}</p></div>", f"<li>{words(2)}<p>{words(rng.randint(4, 60))}</p></li>", f"<article {named('talk')}><p>{words(rng.randint(4, 60))}</p></article>"])
         tag = rng.choice(["div", "section", "ol", "ul"])
-        return f"<{tag} {named('talk')}><h3>{words(2)}</h3>{''.join(one() for _ in range(rng.randint(1, 5)))}</{tag}>"
+        return f"<{tag} {named('talk')}>{rng.choice(['', f'<h3>{words(2)}</h3>'])}{''.join(deep(rng.choice([one, one, prose])()) for _ in range(rng.randint(1, 5)))}</{tag}>"
 
     def form() -> str:
-        return rng.choice([f"<form><label>{words(3)}</label><input name=q><p>{words(rng.randint(2, 20))}</p></form>", f"<form {named('form')}><p>{words(rng.randint(2, 20))}</p><textarea>{words(4)}</textarea></form>", f"<div {named('form')}><label>{words(2)}</label></div>"])
+        inner = deep(rng.choice([f"<p>{words(rng.randint(2, 20))}</p>", prose()]))
+        return rng.choice([f"<form><label>{words(3)}</label><input name=q>{inner}</form>", f"<form {named('form')}>{inner}<textarea>{words(4)}</textarea></form>", f"<div {named('form')}><label>{words(2)}</label></div>"])
 
     def share() -> str:
         return f"<div {named('share')}>{links()}</div>"
@@ -341,13 +370,13 @@ def labelled_pages(count: int = 240, seed: int = 20) -> Iterator[str]:
     junk = [menu, side, ad, note, form, share, talk]
     for _ in range(count):
         title = words(rng.randint(3, 12))
-        inside = [block() for _ in range(rng.randint(1, 14))]
+        inside = [deep(block()) if rng.random() < 0.4 else block() for _ in range(rng.randint(1, 14))]
         for _ in range(rng.choice([0, 1, 1, 2])):
-            inside.insert(rng.randint(0, len(inside)), rng.choice([ad, share, note, side, form])())
+            inside.insert(rng.randint(0, len(inside)), rng.choice([ad, share, note, side, form, menu])())
         head = rng.choice([f"<h1>{title}</h1>", f"<header><h1>{title}</h1></header>", f"<h1>{title}</h1><p>{words(8)}</p>"])
         if rng.random() < 0.2:
             inside.append(talk())
-        body = head + "".join(inside)
+        body = deep(head + "".join(inside)) if rng.random() < 0.3 else head + "".join(inside)
         body = rng.choice([f"<article>{body}</article>", f"<article>{body}</article>", f"<main>{body}</main>", f"<main><article>{body}</article></main>", f"<div {named('body')}>{body}</div>", f"<div {named('body')}><article>{body}</article></div>", f"<section {named('body')}>{body}</section>"])
         before = [f() for f in rng.sample(junk[:5], rng.randint(0, 3))]
         after = [f() for f in rng.sample(junk, rng.randint(0, 4))]

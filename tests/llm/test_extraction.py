@@ -90,3 +90,29 @@ def test_time_grows_with_the_length_of_malformed_pages():
         extraction.main_text("<p>Some words of text.</p>" + piece * (half // len(piece)), model)
         assert time.monotonic() - start < 20, piece
     assert extraction.main_text("<article><p>One two, three.</p><p title='a > b'>Four < five.</p></article><a ", model).startswith("One two, three. Four < five.")
+
+
+CONTAINERS = ['div class="sidebar"', "aside", "footer", "nav", 'div id="comments"', 'div class="comments"', 'section class="comments"', 'div class="cookie-banner"', 'div class="advert"', "form", 'section class="related"']
+SAID = "Our visitors say, quite often, that these few lines are useful. They name the hours, the places and the people; they also tell, in short, what comes next. Read them twice, and ask us, if anything in them seems odd or old."
+
+
+@pytest.mark.parametrize("container", CONTAINERS)
+def test_boilerplate_in_nested_wrappers(model, container):
+    """Prose in a container of boilerplate is left out, whatever wrappers stand between and wherever the container stands."""
+    long = ["First the river, then the road: both run north, past fields and old mills, until the hills begin to rise.", "Later, when the rain had stopped, the men went down to the bridge, and there they waited for the boat to come."]
+    inner, outer = [f"<p>{x}</p>" for x in long], " ".join(long)
+    for wrappers in ("", "div", "section", "li", "article", "div section", "section div", "div div div", "div article div", "li div section"):
+        said = f"<p>{SAID}</p>"
+        for w in reversed(wrappers.split()):
+            said = f"<{w}>{said}</{w}>"
+        junk = f"<{container}>{said}</{container.split()[0]}>"
+        for page in (f"{junk}<article>{''.join(inner)}</article>", f"<article>{''.join(inner)}</article>{junk}", f"<article>{inner[0]}{junk}{inner[1]}</article>"):
+            assert extraction.main_text(f"<html><body>{page}</body></html>", model) == outer, (wrappers, page)
+
+
+@pytest.mark.parametrize("depth", [400, 600, 5000])
+def test_deep_pages_are_read_alike(model, depth):
+    page = "<article><p>One, two, three and four: a text, with words.</p></article>" + "<div>" * depth + "</div>" * depth + f'<div class="sidebar"><p>{SAID}</p></div>'
+    assert extraction.main_text(f"<body>{page}</body>", model) == "One, two, three and four: a text, with words."
+    inside = "<div>" * depth + f'<div class="sidebar"><p>{SAID}</p></div>' + "</div>" * depth
+    assert extraction.main_text(f"<body><article><p>One, two, three and four: a text, with words.</p></article>{inside}</body>", model) == "One, two, three and four: a text, with words."
