@@ -262,6 +262,13 @@ def met_before(differing: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return met
 
 
+def apart(pairs: Iterator[tuple[np.ndarray, np.ndarray]], component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of different components."""
+    for a, b in pairs:
+        may = component[a] != component[b]
+        yield a[may], b[may]
+
+
 def possible(pairs: Iterator[tuple[np.ndarray, np.ndarray]], bits: np.ndarray, sizes: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs whose sets may have that Jaccard similarity, by their parity bits and sizes; none that has it is left out.
 
@@ -273,7 +280,7 @@ def possible(pairs: Iterator[tuple[np.ndarray, np.ndarray]], bits: np.ndarray, s
         yield a[may], b[may]
 
 
-def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM, nearest: int = 0, asked: DataFrame | None = None, large: list[DataFrame] | None = None, parity: int = 0, similarity: float = 0.0) -> DataFrame:
+def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: int, words: int = 1, leaf_aim: int = LEAF_AIM, nearest: int = 0, asked: DataFrame | None = None, large: list[DataFrame] | None = None, parity: int = 0, similarity: float = 0.0, parts: DataFrame | None = None) -> DataFrame:
     """(a, b): links between the ids ``node`` of distinct fingerprints f0.. that tie all within ``limit``.
 
     ``points`` has one row per fingerprint. Links tie exactly the groups that all pairs
@@ -282,9 +289,13 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
     candidates to be verified: of each node to that many of the nearest smaller ones; where
     ``asked`` (node) is given, of its nodes only. ``large`` remembers the sizes of shards between
     two searches of the same points. With ``parity`` the points' parity bits travel along, and
-    candidates that can't have that Jaccard ``similarity`` are left out where they are found.
+    candidates that can't have that Jaccard ``similarity`` are left out where they are found. With ``parts`` (node, component)
+    candidates of one component are left out there too.
     """
     names, extra = [f"f{i}" for i in range(words)], parity_columns(parity)
+    if parts is not None:
+        points = points.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    travelling = extra + (["component"] if parts is not None else [])
     spark = points.sparkSession
     n = points.count()
     share = min(1.0, SAMPLE / max(n, 1))
@@ -298,13 +309,13 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
             fp = np.ascontiguousarray(pdf[names].to_numpy(np.int64)).view(np.uint64)
             for t, tree in enumerate(held.value):
                 rows, leaf, own = tree.route(fp)
-                yield pd.DataFrame({"shard": (t << 32) + leaf.astype(np.int64), "node": pdf["node"].to_numpy()[rows], "own": own, "ask": pdf["ask"].to_numpy(bool)[rows]} | {c: pdf[c].to_numpy()[rows] for c in names + extra})
+                yield pd.DataFrame({"shard": (t << 32) + leaf.astype(np.int64), "node": pdf["node"].to_numpy()[rows], "own": own, "ask": pdf["ask"].to_numpy(bool)[rows]} | {c: pdf[c].to_numpy()[rows] for c in names + travelling})
 
-    columns = "node long, own boolean, ask boolean, " + ", ".join(f"{c} long" for c in names + extra)
+    columns = "node long, own boolean, ask boolean, " + ", ".join(f"{c} long" for c in names + travelling)
     if asked is None:
-        sought = points.select("node", *names, *extra, F.lit(True).alias("ask"))
+        sought = points.select("node", *names, *travelling, F.lit(True).alias("ask"))
     else:
-        sought = points.join(asked.select("node", F.lit(True).alias("ask")), "node", "left").select("node", *names, *extra, F.coalesce("ask", F.lit(False)).alias("ask"))
+        sought = points.join(asked.select("node", F.lit(True).alias("ask")), "node", "left").select("node", *names, *travelling, F.coalesce("ask", F.lit(False)).alias("ask"))
     # Routing is cheaper than keeping a copy of every fingerprint for each tree, so it runs twice.
     routed = sought.mapInPandas(route, f"shard long, {columns}")
     large = [] if large is None else large
@@ -320,6 +331,8 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
 
     looked_at = np.array(masks, np.uint64)
 
+    parts = parts is not None or None  # tasks need to know no more
+
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
 
@@ -330,6 +343,7 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
             own, ask = pdf["own"].to_numpy(bool), pdf["ask"].to_numpy(bool)
             if parity:
                 bits, sizes = np.ascontiguousarray(pdf[extra[:-1]].to_numpy(np.int64)).view(np.uint64), pdf["size"].to_numpy()
+            component = pdf["component"].to_numpy() if parts is not None else None
             cuts = np.flatnonzero(np.diff(part)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
                 if b - a > 1:
@@ -337,6 +351,8 @@ def near_links(points: DataFrame, limit: int, masks: list[np.ndarray], radius: i
                     if not len(asking):
                         continue
                     pairs = ((asking[q], mine[p]) for q, p in pairs_within(f[mine], f[asking], limit))
+                    if parts is not None:
+                        pairs = apart(pairs, component[a:b])
                     if parity:
                         pairs = possible(pairs, bits[a:b], sizes[a:b], similarity)
                     if nearest:
@@ -383,19 +399,21 @@ def verified(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     return both.where(F.col("jaccard") >= similarity).select("a", "b").distinct()
 
 
-def verified_links(points: DataFrame, verify: Callable[[DataFrame], DataFrame], nearest: int, search: Callable[[int, DataFrame | None], DataFrame]) -> DataFrame:
-    """Links that hold, so that every node with a candidate that holds has one.
+def verified_links(verify: Callable[[DataFrame], DataFrame], nearest: int, search: Callable[[int, DataFrame | None, DataFrame | None], DataFrame]) -> DataFrame:
+    """Links that hold and that tie the same components as all candidates that hold.
 
-    Each node's ``nearest`` candidates are tried first. A node none of whose candidates held and that
-    may have more is asked again for all of them.
+    Each node's ``nearest`` candidates are tried first, and what holds is contracted to components. A node that may have
+    more is then asked for all its candidates in other components, whether any of its first held or not: a candidate of its own
+    component can't tie anything any more. So a group of copies costs a few rows a member, and no link between
+    components is left untried.
     """
-    links = materialize(search(nearest, None), "candidates")
+    links = materialize(search(nearest, None, None), "candidates")
     held = materialize(verify(links), "verified")
-    full = links.groupBy("a").count().where(F.col("count") >= nearest)
-    asked = materialize(full.join(held.select("a").distinct(), "a", "left_anti").select(F.col("a").alias("node")), "asked")
-    if asked.isEmpty():
+    full = materialize(links.groupBy(F.col("a").alias("node")).count().where(F.col("count") >= nearest).select("node"), "asked")
+    if full.isEmpty():
         return held
-    rest = search(ALL, asked).join(links, ["a", "b"], "left_anti")
+    parts = materialize(components(held).select("node", "component"), "parts")
+    rest = search(ALL, full, parts).join(links, ["a", "b"], "left_anti")
     return held.unionByName(materialize(verify(materialize(rest, "candidates")), "verified"))
 
 
@@ -415,7 +433,7 @@ def groups(prints: DataFrame, limit: int, masks: list[np.ndarray], radius: int,
     points = materialize(points, "points")
     if verify:
         sizes: list[DataFrame] = []
-        links = verified_links(points, verify, nearest, lambda most, asked: near_links(points, limit, masks, radius, words, leaf_aim, most, asked, sizes, parity if asked is not None else 0, similarity))
+        links = verified_links(verify, nearest, lambda most, asked, parts: near_links(points, limit, masks, radius, words, leaf_aim, most, asked, sizes, parity if asked is not None else 0, similarity, parts))
     else:
         links = near_links(points, limit, masks, radius, words, leaf_aim)
     tied = components(links)
@@ -436,7 +454,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: The stage: fingerprints of 256 bits over five-word shingles; trees that look at 16 bits each, with small leaves.
 STAGE_WORDS, STAGE_TREES, STAGE_BITS, STAGE_SHINGLE, STAGE_LEAF = 4, 48, 16, 5, 128
 #: Standard deviations by which the bit limit of candidates exceeds the expected distance, and candidates a document.
-STAGE_SPREAD, STAGE_NEAREST = 3, 8
+STAGE_SPREAD, STAGE_NEAREST = 3, 2
 #: Words of parity bits: they tell sets of up to about 700 shingles at 0.7 from 0.8; larger ones are told by their texts.
 STAGE_PARITY = 8
 #: Candidates without a limit.
@@ -460,9 +478,9 @@ def kept_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Trees find candidates: pairs at Jaccard 0.8 differ in 15 % of SimHash bits, too many for
     exact blocks, so the trees look at sampled bits, where a pair at 0.8 shares a leaf of one of
     48 trees in 97 of 100 cases. Fingerprints are of distinct shingles, and candidates may differ
-    in three standard deviations more than expected. Each document's nearest candidates of
-    smaller ids are verified by the exact Jaccard similarity of the sets of shingles, STAGE_NEAREST
-    at first and all where none of them holds (``verified_links``), but for those that parity bits
+    in three standard deviations more than expected. Each document's STAGE_NEAREST nearest candidates of
+    smaller ids are verified first by the exact Jaccard similarity of the sets of shingles, then all its candidates in
+    other components (``verified_links``), but for those that parity bits
     show to be below it (``possible``), so that a group of copies at 0.6 doesn't yield its pairs. Rows with a null id stay; rows that repeat an id stay together.
     """
     prints = fingerprints(docs, id_col, text_col, STAGE_SHINGLE, words, True, STAGE_PARITY)
