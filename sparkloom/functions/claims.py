@@ -34,3 +34,23 @@ def claim_spans(answers: DataFrame, key: str, text: str) -> DataFrame:
     language = F.when(F.col("claim").rlike("[㐀-鿿]"), "zh").when(F.col("claim").rlike("[А-Яа-яЁё]"), "ru").otherwise("en")
     heading = F.col("visible").startswith("#") | (F.col("claim").endswith(":") & (F.size("cited") == 0)) | F.lower("claim").isin(*SOURCE_HEADINGS)
     return rows.select(key, "n", "start", "stop", "raw", "claim", "cited", language.alias("language"), heading.alias("non_factual"))
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """``text`` less disjoint spans (array of start and stop, in order), then with single blanks, at most one empty line in a row, trimmed."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda acc, s: F.struct(s["stop"].cast("int").alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, (s["start"] - acc["at"]).cast("int"))).alias("out"))
+    left = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    left = F.regexp_replace(F.regexp_replace(left, r"[ \t]{2,}", " "), r"\n[ \t]*\n(?:[ \t]*\n)+", "\n\n")
+    return F.regexp_replace(left, r"(?U)^\s+|\s+$", "")
+
+
+def filtered_answers(answers: DataFrame, key: str, text: str, rejected: DataFrame) -> DataFrame:
+    """``answers`` with ``text`` less the factual claims that ``rejected`` names by (key, n); all else stays as it is written.
+
+    A key is one answer's; its spans are gathered in one row, as many as its text has sentences. A null text stays null.
+    """
+    factual = claim_spans(answers, key, text).where(~F.col("non_factual")).select(key, "n", "start", "stop")
+    cuts = factual.join(rejected.select(key, "n").distinct(), [key, "n"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
+    spans = F.coalesce("_cuts", F.array().cast("array<struct<start:int,stop:int>>"))
+    return answers.join(cuts, key, "left").withColumn(text, without_spans(F.col(text), spans)).drop("_cuts")

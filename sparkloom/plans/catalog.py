@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, gates, gold, guards, library, pages, pools, retrieval, sinks, state, trees  # noqa: F401
+from . import decisions, evaluation, gates, gold, guards, library, pages, pools, retrieval, sinks, state, trees  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "hybrid_retrieval"
