@@ -132,3 +132,104 @@ def answer_checks(cases: DataFrame) -> DataFrame:
     }
     failures = F.array_sort(failed(rules))
     return plain.select("case_id", failures.alias("failures")).withColumn("passed", F.size("failures") == 0)
+
+
+TASKS = ("text_continuation", "table_continuation", "image_association")
+
+
+@dataclass(frozen=True)
+class StructurePolicy:
+    """The evidence that a structure gate needs in each language, and how much may be lost."""
+
+    languages: tuple[str, ...] = ("ru", "en", "zh")
+    documents: int = 1
+    pages: int = 5
+    heading_edges: int = 10
+    order_pairs: int = 20
+    relations: int = 10
+    relations_per_language: int = 3
+    downstream_cases: int = 20
+    structure_regression: float = 0.005
+    structure_gain: float = 0.01
+    downstream_regression: float = 0.01
+    p95_ratio: float = 2.0
+    memory_mib: float = 36_000.0
+
+
+def evidence_codes(evidence: DataFrame, policy: StructurePolicy) -> DataFrame:
+    """(codes): what is too little, from rows (language, kind, n), kind being documents, pages, heading_edges, order_pairs, downstream_cases or a task of relations.
+
+    Rows are summed by language and kind; a required pair without a row has 0. Other languages count for a task's total alone.
+    """
+    sums = evidence.groupBy("language", "kind").agg(F.sum("n").alias("n"))
+    least = {k: getattr(policy, k) for k in ("documents", "pages", "heading_edges", "order_pairs", "downstream_cases")} | dict.fromkeys(TASKS, policy.relations_per_language)
+    spark = evidence.sparkSession
+    name = lambda k: f"relations:{{}}:{k}" if k in TASKS else f"{k}:{{}}"
+    wanted = spark.createDataFrame([(v, k, m, "insufficient_" + name(k).format(v)) for v in policy.languages for k, m in least.items()], "language string, kind string, least int, code string")
+    by_language = wanted.join(sums, ["language", "kind"], "left").select("code", "least", "n")
+    totals = spark.createDataFrame([(t, policy.relations, f"insufficient_relations:{t}") for t in TASKS], "kind string, least int, code string")
+    overall = totals.join(sums.groupBy("kind").agg(F.sum("n").alias("n")), "kind", "left").select("code", "least", "n")
+    return by_language.unionByName(overall).where(F.coalesce("n", F.lit(0)) < F.col("least")).select(F.array("code").alias("codes"))
+
+
+def structure_gate(evidence: DataFrame, scores: DataFrame, validity: DataFrame, runtime: DataFrame, policy: StructurePolicy = StructurePolicy()) -> DataFrame:
+    """One row (eligible, accepted, failure_codes, best_gain).
+
+    ``scores`` are (kind, scope, metric, baseline, candidate): structure metrics must not fall by more than their limit in any scope and rise by
+    the material gain in one; downstream metrics must not fall by more than theirs. ``validity`` are (name, ok); ``runtime`` is one row of b_p95, c_p95 and
+    c_memory_mib. Too little evidence makes the gate ineligible. A missing value fails its rule.
+    """
+    structure = F.col("kind") == "structure"
+    delta = F.col("candidate") - F.col("baseline")
+    held = F.when(structure, delta >= -policy.structure_regression).otherwise(F.col("candidate") >= F.col("baseline") - policy.downstream_regression)
+    lost = F.when(~F.coalesce(held, F.lit(False)), F.concat_ws(":", F.concat("kind", F.lit("_regression")), "scope", "metric"))
+    judged = scores.agg(F.collect_list(lost).alias("lost"), F.max(F.when(structure, delta)).alias("best_gain"))
+    p95 = F.try_divide("c_p95", "b_p95") <= policy.p95_ratio
+    frames = [
+        evidence_codes(evidence, policy).withColumn("evidence", F.lit(True)),
+        judged.select(F.concat("lost", failed({"no_material_structure_gain": F.coalesce("best_gain", F.lit(0.0)) >= policy.structure_gain})).alias("codes"), F.lit(False).alias("evidence"), "best_gain"),
+        validity.where(~F.coalesce("ok", F.lit(False))).select(F.array(F.concat("name", F.lit("_invalid"))).alias("codes"), F.lit(False).alias("evidence")),
+        runtime.select(failed({"latency_budget_exceeded": p95, "memory_budget_exceeded": F.col("c_memory_mib") <= policy.memory_mib}).alias("codes"), F.lit(False).alias("evidence")),
+    ]
+    rows = frames[1]
+    for more in (frames[0], *frames[2:]):
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    found = rows.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("failure_codes"), (F.count_if(F.col("evidence")) == 0).alias("eligible"), F.max("best_gain").alias("best_gain"))
+    return found.select("eligible", (F.size("failure_codes") == 0).alias("accepted"), "failure_codes", "best_gain")
+
+
+@dataclass(frozen=True)
+class PreflightPolicy:
+    """The state that a search must be in, and how near it must come to the exact one."""
+
+    versions: dict[str, str]
+    vector_type: str
+    recall: float = 0.99
+    fill: float = 0.99
+    p95_ratio: float = 1.05
+    recall_gain: float = 0.005
+
+
+def preflight(state: DataFrame, policy: PreflightPolicy) -> DataFrame:
+    """(reasons, decision) of each row of ``state``; without a reason it goes on to the full comparison.
+
+    ``state`` has the versions' columns; rows, embedded, finite (all vectors), vector_type, index_valid; row_security, bypasses, owns, leaks (of
+    probes by other owners); stable (the corpus), complete (the run); exact_used_index, coverage, natural_coverage; recall, plain_recall, fill, p95,
+    exact_p95, violations. Reasons stand in the rules' order; a value that is missing, or not finite, fails.
+    """
+    versions = {f"unexpected_version:{name}": F.col(name) == want for name, want in policy.versions.items()}
+    finite = F.lit(True)
+    for name in ("recall", "plain_recall", "fill", "p95", "exact_p95"):
+        finite &= F.col(name).isNotNull() & (F.abs(F.col(name).cast("double")) < float("inf"))
+    ratio = F.try_divide(F.col("p95"), F.col("exact_p95"))
+    finite = finite & (F.col("exact_p95") > 0)
+    measured = lambda rule: ~F.coalesce(finite, F.lit(False)) | rule
+    rules = {
+        "incomplete_run": F.col("complete"), **versions,
+        "vectors_missing": F.col("embedded") == F.col("rows"), "vectors_not_finite": F.col("finite"), "unexpected_vector_type": F.col("vector_type") == policy.vector_type, "index_invalid": F.col("index_valid"),
+        "unsafe_role": F.col("row_security") & ~F.col("bypasses") & ~F.col("owns"), "owner_probe_failed": F.col("leaks") == 0, "corpus_changed": F.col("stable"),
+        "exact_search_used_index": F.col("exact_used_index") == 0, "index_not_usable_in_every_scope": F.col("coverage") == 1.0, "measures_not_finite": finite,
+        "recall_below_limit": measured(F.col("recall") >= policy.recall), "fill_below_limit": measured(F.col("fill") >= policy.fill), "p95_regressed": measured(ratio <= policy.p95_ratio), "no_recall_gain": measured(F.col("recall") - F.col("plain_recall") >= policy.recall_gain),
+        "scope_violated": F.col("violations") == 0, "index_never_chosen": F.col("natural_coverage") != 0,
+    }
+    return state.withColumn("reasons", failed(rules)).withColumn("decision", F.when(F.size("reasons") == 0, "requires_full_comparison").otherwise("no_go"))

@@ -91,3 +91,57 @@ def gat6_full(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(lone, F.array()).otherwise(F.array(F.struct(F.when(k == 9, "1").otherwise(value).alias("value"), F.lit("m3/h").alias("unit")))).alias("expected"), F.array(F.struct(value.alias("value"), F.lit("m3/h").alias("unit"))).alias("supported"),
     )
     return decisions.answer_checks(rows)
+
+
+STRUCTURE = """WITH d AS (SELECT doc_id, lang, coalesce(length(text), 0) AS n FROM documents),
+e AS (SELECT lang AS language, unnest(['documents', 'pages', 'heading_edges', 'order_pairs', 'downstream_cases', 'text_continuation', 'table_continuation', 'image_association']) AS kind,
+ unnest([1, 1 + n // 1000, n // 300, n // 200, doc_id % 2, doc_id % 3 // 2, doc_id % 11 // 10, 0]) AS n FROM d),
+w AS (SELECT language, kind, least, 'insufficient_' || CASE WHEN kind LIKE '%tion' THEN 'relations:' || language || ':' || kind ELSE kind || ':' || language END AS code FROM (VALUES ('en'), ('de'), ('xx')) l(language), (VALUES ('documents', 1), ('pages', 5), ('heading_edges', 10), ('order_pairs', 20), ('downstream_cases', 20), ('text_continuation', 3), ('table_continuation', 3), ('image_association', 3)) k(kind, least)),
+i AS (SELECT code FROM w WHERE coalesce((SELECT sum(n) FROM e WHERE e.language = w.language AND e.kind = w.kind), 0) < least
+ UNION ALL SELECT 'insufficient_relations:' || kind FROM (VALUES ('text_continuation'), ('table_continuation'), ('image_association')) k(kind) WHERE coalesce((SELECT sum(n) FROM e WHERE e.kind = k.kind), 0) < 10),
+s AS (SELECT k.kind, o_orderpriority AS scope, k.metric, avg(o_orderkey % k.m) / k.m AS baseline, avg((o_orderkey + o_custkey % 2) % k.m) / k.m AS candidate FROM orders, (VALUES ('structure', 'heading_f1', 7), ('structure', 'order_score', 5), ('downstream', 'recall_at_5', 3)) k(kind, metric, m) GROUP BY 1, 2, 3, k.m),
+g AS (SELECT max(candidate - baseline) FILTER (WHERE kind = 'structure') AS best FROM s),
+f AS (SELECT code FROM i UNION ALL SELECT kind || '_regression:' || scope || ':' || metric FROM s WHERE CASE WHEN kind = 'structure' THEN candidate - baseline < -0.005 ELSE candidate < baseline - 0.01 END
+ UNION ALL SELECT 'no_material_structure_gain' FROM g WHERE best < 0.01 UNION ALL SELECT 'candidate_mapping_invalid' WHERE EXISTS (SELECT 1 FROM documents WHERE text IS NULL OR text = '')
+ UNION ALL SELECT 'latency_budget_exceeded' FROM events HAVING max(value) FILTER (WHERE event_id % 2 = 1) > 2 * max(value) FILTER (WHERE event_id % 2 = 0) UNION ALL SELECT 'memory_budget_exceeded' FROM events HAVING max(user_id) > 36000)"""
+
+
+@query("gat4_full_structure_gate", f"{STRUCTURE} SELECT (SELECT count(*) FROM i) = 0 AS eligible, count(*) = 0 AS accepted, list_sort(list(DISTINCT code)) AS failure_codes, round((SELECT best FROM g), 9) AS best_gain FROM f")
+def gat4_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence counted from documents, scores by order priority, runtimes from events: the decision on all of it."""
+    n, doc = F.coalesce(F.char_length("text"), F.lit(0)), F.col("doc_id")
+    counts = {"documents": F.lit(1), "pages": 1 + F.floor(n / 1000), "heading_edges": F.floor(n / 300), "order_pairs": F.floor(n / 200), "downstream_cases": doc % 2, "text_continuation": F.floor(doc % 3 / 2), "table_continuation": F.floor(doc % 11 / 10), "image_association": F.lit(0)}
+    docs = table(spark, sf_dir, "documents")
+    evidence = docs.select(F.col("lang").alias("language"), F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.cast("long").alias("n")) for k, v in counts.items()))).alias("e")).select("language", "e.*")
+    key, other = F.col("o_orderkey"), F.col("o_orderkey") + F.col("o_custkey") % 2
+    kinds = (("structure", "heading_f1", 7), ("structure", "order_score", 5), ("downstream", "recall_at_5", 3))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(m).alias("metric"), (key % d).alias("b"), (other % d).alias("c"), F.lit(d).alias("d")) for k, m, d in kinds))).alias("s")
+    scores = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("scope"), each).groupBy("s.kind", "scope", "s.metric", "s.d").agg(F.avg("s.b").alias("b"), F.avg("s.c").alias("c"))
+    scores = scores.select("kind", "scope", "metric", (F.col("b") / F.col("d")).alias("baseline"), (F.col("c") / F.col("d")).alias("candidate"))
+    validity = docs.agg(F.count_if(F.coalesce("text", F.lit("")) == "").alias("n")).select(F.lit("candidate_mapping").alias("name"), (F.col("n") == 0).alias("ok"))
+    side = lambda k: F.max(F.when(F.col("event_id") % 2 == k, F.col("value")))
+    runtime = table(spark, sf_dir, "events").agg(side(0).alias("b_p95"), side(1).alias("c_p95"), F.max("user_id").cast("double").alias("c_memory_mib"))
+    found = decisions.structure_gate(evidence, scores, validity, runtime, decisions.StructurePolicy(languages=("en", "de", "xx")))
+    return found.withColumn("best_gain", F.round("best_gain", 9))
+
+
+PREFLIGHT = """WITH g AS (SELECT label, vec_id % 3 AS v, count(*) AS n, count(embedding) AS e, coalesce(bool_and(len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0), TRUE) AS finite, max(len(embedding)) AS size FROM embeddings GROUP BY 1, 2)
+SELECT label, v, list_filter([CASE WHEN label = 0 THEN 'incomplete_run' END, CASE WHEN label = 1 THEN 'unexpected_version:schema' END, CASE WHEN e <> n THEN 'vectors_missing' END, CASE WHEN NOT finite THEN 'vectors_not_finite' END, CASE WHEN size IS DISTINCT FROM 64 THEN 'unexpected_vector_type' END,
+ CASE WHEN label = 2 THEN 'index_invalid' END, CASE WHEN label IN (3, 4) THEN 'unsafe_role' END, CASE WHEN label = 5 THEN 'owner_probe_failed' END, CASE WHEN label = 6 THEN 'corpus_changed' END, CASE WHEN label = 7 THEN 'exact_search_used_index' END, CASE WHEN label = 8 THEN 'index_not_usable_in_every_scope' END,
+ CASE WHEN label = 9 THEN 'measures_not_finite' END, CASE WHEN label <> 9 AND v = 1 THEN 'recall_below_limit' END, CASE WHEN label <> 9 AND v = 1 THEN 'fill_below_limit' END, CASE WHEN label <> 9 AND v = 1 THEN 'p95_regressed' END, CASE WHEN label <> 9 AND v = 1 THEN 'no_recall_gain' END,
+ CASE WHEN v = 2 THEN 'scope_violated' END, CASE WHEN v = 2 THEN 'index_never_chosen' END], lambda x: x IS NOT NULL) AS reasons FROM g"""
+
+
+@query("gat5_full_preflight", f"SELECT label, v, reasons, CASE WHEN len(reasons) = 0 THEN 'requires_full_comparison' ELSE 'no_go' END AS decision FROM ({PREFLIGHT})")
+def gat5_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preflight for every label's vectors in three runs: the vectors' state from the table, one fault of the database a label, measures by run."""
+    finite = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    state = table(spark, sf_dir, "embeddings").groupBy("label", (F.col("vec_id") % 3).alias("v")).agg(F.count("*").alias("rows"), F.count("embedding").alias("embedded"), F.coalesce(F.bool_and(finite), F.lit(True)).alias("finite"), F.concat(F.lit("vector("), F.max(F.when(F.col("embedding").isNotNull(), F.size("embedding"))).cast("string"), F.lit(")")).alias("vector_type"))
+    label, v = F.col("label"), F.col("v")
+    bad = lambda n: (label == n).cast("int")
+    state = state.withColumns({
+        "complete": label != 0, "schema": F.when(label == 1, "old").otherwise("new"), "index_valid": label != 2, "row_security": label != 3, "bypasses": label == 4, "owns": F.lit(False), "leaks": bad(5), "stable": label != 6, "exact_used_index": bad(7),
+        "coverage": F.when(label == 8, 0.5).otherwise(1.0), "natural_coverage": F.when(v == 2, 0.0).otherwise(0.3), "recall": F.when(label == 9, float("nan")).when(v == 1, 0.98).otherwise(0.995), "plain_recall": F.lit(0.979), "fill": F.when(v == 1, 0.98).otherwise(1.0),
+        "exact_p95": F.lit(100.0), "p95": F.when(v == 1, 106.0).otherwise(104.0), "violations": (v == 2).cast("int"),
+    })
+    return decisions.preflight(state, decisions.PreflightPolicy({"schema": "new"}, "vector(64)")).select("label", "v", "reasons", "decision")

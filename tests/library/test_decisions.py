@@ -113,3 +113,54 @@ def test_answer_checks(spark):
     for i, (change, want) in enumerate(FAULTS):
         assert (got[i].failures, got[i].passed) == (want, not want), change
     assert len(got) == len(FAULTS)
+
+
+ENOUGH = {"documents": 1, "pages": 5, "heading_edges": 10, "order_pairs": 20, "downstream_cases": 20, "text_continuation": 4, "table_continuation": 4, "image_association": 4}
+SCORES = [("structure", s, m, 0.8, 0.8) for s in ("overall", "ru", "en", "zh") for m in ("heading_parent_f1", "order_score", "relation_micro_f1")] + [("downstream", s, m, 0.8, 0.8) for s in ("overall", "ru") for m in ("recall_at_5", "citation_f1")]
+
+
+def structure(spark, lacking=(), scores=None, validity=(("mapping", True),), runtime=(100.0, 200.0, 36_000.0)) -> tuple:
+    rows = [(v, k, n - (1 if (v, k) in lacking else 0)) for v in ("ru", "en", "zh") for k, n in ENOUGH.items()]
+    rows += [("de", "pages", 1)]
+    changed = {(r[1], r[2]): r for r in (scores if scores is not None else [("structure", "ru", "order_score", 0.8, 0.82)])}
+    frames = [
+        spark.createDataFrame([r for r in rows if r[2]], "language string, kind string, n long"), spark.createDataFrame([changed.get((r[1], r[2]), r) for r in SCORES], "kind string, scope string, metric string, baseline double, candidate double"),
+        spark.createDataFrame(validity, "name string, ok boolean"), spark.createDataFrame([runtime], "b_p95 double, c_p95 double, c_memory_mib double"),
+    ]
+    (r,) = decisions.structure_gate(*frames).collect()
+    return r.eligible, r.accepted, r.failure_codes
+
+
+@pytest.mark.parametrize("change, eligible, want", [
+    ({}, True, []),
+    ({"lacking": [("ru", "documents"), ("en", "pages"), ("zh", "downstream_cases")]}, False, ["insufficient_documents:ru", "insufficient_downstream_cases:zh", "insufficient_pages:en"]),
+    ({"lacking": [("ru", "image_association"), ("en", "image_association"), ("zh", "image_association")]}, False, ["insufficient_relations:image_association"]),
+    ({"scores": []}, True, ["no_material_structure_gain"]),
+    ({"scores": [("structure", "zh", "order_score", 0.8, 0.79), ("structure", "ru", "order_score", 0.8, 0.9), ("downstream", "ru", "citation_f1", 0.8, 0.78)]}, True, ["downstream_regression:ru:citation_f1", "structure_regression:zh:order_score"]),
+    ({"scores": [("structure", "ru", "order_score", 0.8, 0.9), ("structure", "zh", "order_score", 0.8, 0.796), ("downstream", "ru", "citation_f1", 0.8, 0.795)]}, True, []),
+    ({"scores": [("structure", "ru", "order_score", 0.8, None)]}, True, ["no_material_structure_gain", "structure_regression:ru:order_score"]),
+    ({"validity": [("mapping", False), ("references", None)]}, True, ["mapping_invalid", "references_invalid"]),
+    ({"runtime": (100.0, 201.0, 36_001.0)}, True, ["latency_budget_exceeded", "memory_budget_exceeded"]),
+    ({"runtime": (0.0, 1.0, None)}, True, ["latency_budget_exceeded", "memory_budget_exceeded"]),
+])
+def test_structure_gate(spark, change, eligible, want):
+    assert structure(spark, **change) == (eligible, not want, want)
+
+
+def test_preflight(spark):
+    good = {
+        "schema": "7", "rows": 5, "embedded": 5, "finite": True, "vector_type": "v64", "index_valid": True, "row_security": True, "bypasses": False, "owns": False, "leaks": 0, "stable": True, "complete": True, "exact_used_index": 0, "coverage": 1.0,
+        "natural_coverage": 0.2, "recall": 0.99, "plain_recall": 0.98, "fill": 0.99, "p95": 104.0, "exact_p95": 100.0, "violations": 0,
+    }
+    cases = [
+        ({}, []), ({"complete": False}, ["incomplete_run"]), ({"schema": None}, ["unexpected_version:schema"]), ({"embedded": 4}, ["vectors_missing"]), ({"finite": None}, ["vectors_not_finite"]), ({"vector_type": "v32"}, ["unexpected_vector_type"]), ({"index_valid": False}, ["index_invalid"]),
+        ({"row_security": False}, ["unsafe_role"]), ({"bypasses": True}, ["unsafe_role"]), ({"owns": True}, ["unsafe_role"]), ({"leaks": 1}, ["owner_probe_failed"]), ({"stable": False}, ["corpus_changed"]), ({"exact_used_index": 1}, ["exact_search_used_index"]), ({"coverage": 0.5}, ["index_not_usable_in_every_scope"]),
+        ({"recall": float("nan")}, ["measures_not_finite"]), ({"exact_p95": 0.0}, ["measures_not_finite"]), ({"fill": None, "recall": 0.1}, ["measures_not_finite"]), ({"recall": 0.98}, ["recall_below_limit", "no_recall_gain"]), ({"fill": 0.98}, ["fill_below_limit"]), ({"p95": 105.1}, ["p95_regressed"]), ({"plain_recall": 0.986}, ["no_recall_gain"]),
+        ({"violations": 1}, ["scope_violated"]), ({"natural_coverage": 0.0}, ["index_never_chosen"]),
+    ]
+    types = {str: "string", bool: "boolean", int: "int", float: "double"}
+    schema = "i int, " + ", ".join(f"`{k}` {types[type(v)]}" for k, v in good.items())
+    df = spark.createDataFrame([{"i": i} | good | change for i, (change, _) in enumerate(cases)], schema)
+    for r in decisions.preflight(df, decisions.PreflightPolicy({"schema": "7"}, "v64")).collect():
+        want = cases[r.i][1]
+        assert (r.reasons, r.decision) == (want, "no_go" if want else "requires_full_comparison"), cases[r.i][0]
