@@ -189,16 +189,40 @@ def capped(text: Column, most: int) -> Column:
     return F.when(F.char_length(text) <= most, F.array(text)).otherwise(F.filter(done, lambda x: x != ""))
 
 
+def joined(lines: Column, clause: str) -> Column:
+    """Lines as paragraphs: one that begins a clause begins one, all others go on with the last.
+
+    Lines hold no line end, so that one marks the paragraphs in a single string that is then split: linear in the text's length.
+    """
+    marked = F.transform(lines, lambda x, i: F.when((i > 0) & x.rlike(clause), F.concat(F.lit("\n"), x)).otherwise(x))
+    return F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(F.split(F.array_join(marked, " "), " \n"))
+
+
 def paragraphs(text: Column, clause: str) -> Column:
     """Lines of a page as paragraphs: a line that begins a clause begins one, all others go on with the last."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
-    start = F.expr("cast(array() as array<string>)")
+    return joined(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), clause)
 
-    def step(acc: Column, line: Column) -> Column:
-        head = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when((F.size(acc) == 0) | line.rlike(clause), F.concat(acc, F.array(line))).otherwise(F.concat(head, F.array(F.concat_ws(" ", F.element_at(acc, -1), line))))
 
-    return F.aggregate(lines, start, step)
+# How clauses begin, entries of contents end and page numbers look.
+CLAUSE_START = r"^\s*(\d+\.(?:\d+)*\s|\([a-z0-9]{1,4}\)\s|[A-Z][A-Za-z ]{1,28}:\s)"
+CONTENTS_ENTRY = r"[.…]{3,}\s*\d+\s*$"
+PAGE_NUMBER = "^[ivxlcdm0-9]{1,6}$"
+
+
+def page_paragraphs(page: Column, most: int | None = 1800) -> Column:
+    """A page's text layer as paragraphs of at most ``most`` characters; null and blank pages have none.
+
+    A page of contents (three entries or more, two fifths of its lines) is one paragraph of its lines, leaders
+    shortened. A first line that is a page number goes.
+    """
+    lines = F.split(F.replace(F.coalesce(page, F.lit("")), F.lit("\r")), "\n")
+    lines = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    entries = F.size(F.filter(lines, lambda x: x.rlike(CONTENTS_ENTRY)))
+    contents = F.array(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, "[.…]{2,}", " … ")), "\n"))
+    numbered = F.coalesce(F.lower(F.get(lines, F.lit(0))).rlike(PAGE_NUMBER), F.lit(False))
+    body = F.when(numbered, F.slice(lines, F.lit(2), F.size(lines))).otherwise(lines)
+    found = F.when(entries >= F.greatest(F.lit(3.0), F.size(lines) * F.lit(0.4)), contents).otherwise(joined(body, CLAUSE_START))
+    return found if most is None else F.flatten(F.transform(found, lambda p: capped(p, most)))
 
 
 def content_segments(items: DataFrame) -> DataFrame:

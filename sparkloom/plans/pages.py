@@ -156,6 +156,24 @@ def chk8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "text")
 
 
+#: Texts as pages: with a page number before, as contents with leaders, or with clauses of three kinds at the beginnings of some lines.
+PAGE_TEXT = """CASE doc_id % 4 WHEN 0 THEN 'xii' || chr(10) || text WHEN 1 THEN regexp_replace(text, '([^\n])(\n|$)', '\\1 .... 17' || '\\2', 'g') WHEN 2 THEN regexp_replace(text, '\n([a-zA-Z])', chr(10) || '3.1 ' || '\\1', 'g') ELSE 'Scope: of it' || chr(10) || '(a) ' || coalesce(text, '') || chr(13) || chr(10) || 'Scope:' END"""
+
+
+@query("chk8_page_paragraphs", f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(replace(coalesce({PAGE_TEXT}, ''), chr(13), ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ls FROM documents),
+t AS (SELECT doc_id, len(list_filter(ls, lambda x: regexp_matches(x, '[.…]{{3,}}\\s*\\d+\\s*$'))) >= greatest(3, len(ls) * 0.4) AS contents, CASE WHEN regexp_full_match(lower(ls[1]), '[ivxlcdm0-9]{{1,6}}') THEN ls[2:] ELSE ls END AS body, ls FROM l),
+u AS (SELECT doc_id, unnest(body) AS ln, generate_subscripts(body, 1) AS i FROM t WHERE NOT contents),
+g AS (SELECT *, sum((i > 1 AND regexp_matches(ln, '^\\s*([0-9]+\\.([0-9]+)*\\s|\\([a-z0-9]{{1,4}}\\)\\s|[A-Z][A-Za-z ]{{1,28}}:\\s)'))::INT) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM u)
+SELECT doc_id, p::BIGINT AS paragraph, string_agg(ln, ' ' ORDER BY i) AS text FROM g GROUP BY 1, 2 UNION ALL SELECT doc_id, 0, list_aggregate(list_transform(ls, lambda x: regexp_replace(x, '[.…]{{2,}}', ' … ', 'g')), 'string_agg', chr(10)) FROM t WHERE contents""")
+def chk8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of pages: page numbers stripped, contents kept line by line, clauses apart."""
+    k, text = F.col("doc_id") % 4, F.col("text")
+    page = F.when(k == 0, F.concat(F.lit("xii\n"), text)).when(k == 1, F.regexp_replace(text, r"([^\n])(\n|\z)", "$1 .... 17$2")).when(k == 2, F.regexp_replace(text, r"\n([a-zA-Z])", "\n3.1 $1"))
+    page = F.when(k == 3, F.concat(F.lit("Scope: of it\n(a) "), F.coalesce(text, F.lit("")), F.lit("\r\nScope:"))).otherwise(page)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pages.page_paragraphs(page, None)).alias("paragraph", "text"))
+    return rows.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "text")
+
+
 @query("chk9_capped_paragraphs")
 def chk9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in parts of at most 1800 characters."""
