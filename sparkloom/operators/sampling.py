@@ -24,7 +24,8 @@ def token_set(text: Column, stopwords: list[str], least: int = 3) -> Column:
 
 
 def set_cosine(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b)) / F.sqrt(F.size(a).cast("double") * F.size(b))
+    """Cosine of two sets; null where one is null or empty."""
+    return F.size(F.array_intersect(a, b)) / F.nullif(F.sqrt(F.size(a).cast("double") * F.size(b)), F.lit(0.0))
 
 
 def gap_pairs(rows: DataFrame, group: str, order: str, tokens: str, gaps: tuple[int, ...] = (1, 2, 3)) -> DataFrame:

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import chunking, matching
+from sparkloom.operators import chunking, matching, sampling
 
 
 def plain_parts(text, limit):
@@ -31,3 +31,10 @@ def test_quota_selection_moves_groups(spark):
     chosen, short = matching.quota_selection(df, {"a": 1, "b": 1}, "s")
     assert short == {} and {(s, g) for s, _, g in chosen} == {("a", "h"), ("b", "g")}
     assert matching.quota_selection(df, {"a": 2, "b": 1}, "s")[1] != {}
+
+
+def test_gap_pairs_of_texts_without_words(spark):
+    """A text without words, and none at all, are like no other: only the gap counts."""
+    rows = spark.createDataFrame([(1, 1, ["a"]), (1, 2, []), (1, 3, None), (1, 4, ["a"])], "g int, t int, w array<string>")
+    got = {(r.a, r.b): r.score for r in sampling.gap_pairs(rows, "g", "t", "w").collect()}
+    assert got == {(1, 2): 0.1, (1, 3): 0.05, (1, 4): 1.033333, (2, 3): 0.1, (2, 4): 0.05, (3, 4): 0.1}
