@@ -200,7 +200,7 @@ def joined(lines: Column, clause: str) -> Column:
 
 def paragraphs(text: Column, clause: str) -> Column:
     """Lines of a page as paragraphs: a line that begins a clause begins one, all others go on with the last."""
-    return joined(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), clause)
+    return joined(F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\p{Zs}+|\p{Zs}+\z", "")), lambda x: x != ""), clause)
 
 
 # How clauses begin, entries of contents end and page numbers look.

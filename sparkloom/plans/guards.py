@@ -280,7 +280,7 @@ def rrk6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ord5_greedy_fill")
 def ord5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document that fit in 300 characters: the first and those with digits always, then by words shared with the language's name of "the"."""
-    units = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda u: u != "")
+    units = F.filter(F.transform(F.split("text", "\n"), lambda u: F.trim(u)), lambda u: u != "")
     terms = F.array(*(F.lit(w) for w in ("the", "of", "la", "de", "und", "in")))
     rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", units.alias("units")).where("size(units) > 0")
     scores = F.transform("units", lambda u: F.size(F.array_intersect(F.split(F.lower(u), " "), terms)))

@@ -28,3 +28,10 @@ def test_long_paragraphs_are_cut(spark, lines):
     page = "\n".join(f"Sentence number {i} ends here." for i in range(lines))
     (r,) = spark.createDataFrame([(page,)], "page string").select(pages.page_paragraphs(F.col("page"), 200).alias("p")).collect()
     assert max(map(len, r.p)) <= 201 and " ".join(r.p) == page.replace("\n", " ")
+
+
+def test_lines_keep_their_digits(spark):
+    """A line's place is no set of characters to trim."""
+    page = "0 zero 0\n \u00a01. one 1\u3000 \n2 two 2\n"
+    (r,) = spark.createDataFrame([(page,)], "page string").select(pages.paragraphs(F.col("page"), r"^[0-9]+[.]").alias("p")).collect()
+    assert r.p == ["0 zero 0", "1. one 1 2 two 2"]
