@@ -2,8 +2,8 @@
 
 Rows are summed by Spark to one row a unit (a cluster, or a case); these are counted first and, up to ``UNITS`` of
 them, sent to all tasks. Replicates are dealt to tasks: a task runs through the numbers of its generator without
-evaluating those of earlier replicates, so that all of them together are the replicates of one generator. More units than that are
-resampled by Poisson weights (``evaluation.bootstrap``), which no task holds.
+evaluating those of earlier replicates, so that all of them together are the replicates of one generator. More clusters than that are
+resampled by Poisson weights (``evaluation.bootstrap``), more cases of strata by multinomial counts of their values in parts; no task holds either.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import evaluation
@@ -25,6 +26,8 @@ from .kept import kept
 UNITS = 1_000_000
 #: Draws of a task, about.
 DRAWS = 4_000_000
+#: Distinct values of a stratum that one task draws, about.
+PART = 50_000
 
 
 def seed_of(base: int, *parts: str) -> int:
@@ -153,19 +156,21 @@ def statistic_of(kind: str, rows: np.ndarray) -> float:
     return float(rows[:, 0].sum() / total) if total else 0.0
 
 
-def stratified_intervals(rows: DataFrame, case: str, stratum: str, metrics: list[Metric], samples: int, seed: int, familywise: float = 0.05, target: float = 0.05, units: int = UNITS) -> DataFrame:
+def stratified_intervals(rows: DataFrame, case: str, stratum: str, metrics: list[Metric], samples: int, seed: int, familywise: float = 0.05, target: float = 0.05, units: int = UNITS, part: int = PART) -> DataFrame:
     """(metric, n, baseline, candidate, improvement, low, high, target_low): cases drawn with replacement within their strata.
 
     Strata are taken in the order of their first case, cases by id. Improvements count the better way. The interval's level holds for all metrics together (each side at
     ``familywise`` over their number), target_low is at ``target`` of one metric; quantiles are at floor((samples - 1) q). One metric is one task's replicates.
+    More than ``units`` cases of all metrics are drawn by ``counted_intervals``, in the same distribution.
     """
     each = F.explode(F.array(*(F.struct(F.lit(m.name).alias("metric"), *(F.col(c).cast("double").alias(a) if c else F.lit(1.0).alias(a) for a, c in (("x", m.baseline), ("y", m.candidate), ("xo", m.baseline_of), ("yo", m.candidate_of)))) for m in metrics)))
-    long = kept(rows.select(F.col(case).alias("case"), F.col(stratum).cast("string").alias("stratum"), each.alias("m")).select("case", "stratum", "m.*").where("x is not null and y is not null"))
-    if long.count() > units:
-        raise ValueError(f"more than {units} cases of all metrics: use cluster_intervals, whose units are sums of clusters")
+    long = rows.select(F.col(case).alias("case"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), each.alias("m")).select("case", "stratum", "m.*").where("x is not null and y is not null")
+    equal = kept(long.groupBy("metric", "stratum", "x", "y", "xo", "yo").agg(F.count("*").alias("c")))
+    if (equal.agg(F.sum("c")).first()[0] or 0) > units:
+        return counted_intervals(long, equal, metrics, samples, seed, familywise, target, part)
     held: dict[str, list] = {}
     for r in long.collect():  # at most ``units`` rows
-        held.setdefault(r.metric, []).append((r.case, r.stratum or "", r.x, r.y, r.xo, r.yo))
+        held.setdefault(r.metric, []).append((r.case, r.stratum, r.x, r.y, r.xo, r.yo))
     spark = rows.sparkSession
     told = spark.sparkContext.broadcast({k: sorted(v, key=lambda r: r[0]) for k, v in held.items()})
     kinds = {m.name: (m.statistic, 1.0 if m.better == "higher" else -1.0) for m in metrics}
@@ -194,6 +199,86 @@ def stratified_intervals(rows: DataFrame, case: str, stratum: str, metrics: list
     return dealt.mapInArrow(draw, "metric string, n long, baseline double, candidate double, improvement double, low double, high double, target_low double")
 
 
+def counted_intervals(long: DataFrame, equal: DataFrame, metrics: list[Metric], samples: int, seed: int, familywise: float, target: float, part: int) -> DataFrame:
+    """``stratified_intervals`` of any number of cases, from ``long`` (metric, stratum, x, y, xo, yo) and its counts ``equal`` (with c).
+
+    Cases of equal values are interchangeable, so that drawing a stratum's cases with replacement is drawing the multinomial counts of its distinct values. These
+    are dealt by hash to parts of about ``part`` values: each task draws its part's total of every sample (the same numbers in all tasks of the stratum) and
+    divides it among its values. Sums are added up by Spark. For a percentile only what is drawn near it is listed, what lies below is
+    counted; where the rank falls outside in a sample, all is drawn again with a wider range, so that the percentile is exact.
+    """
+    spark = long.sparkSession
+    strata = equal.groupBy("metric", "stratum").agg(F.ceil(F.count("*") / part).alias("parts"))
+    dealt = kept(equal.join(strata, ["metric", "stratum"]).withColumn("part", F.pmod(F.xxhash64("x", "y", "xo", "yo"), "parts")).drop("parts"))
+    sizes: dict[tuple[str, str], dict[int, int]] = {}
+    for r in dealt.groupBy("metric", "stratum", "part").agg(F.sum("c").alias("n")).orderBy("metric", "stratum", "part").collect():  # a row a part
+        sizes.setdefault((r.metric, r.stratum), {})[r.part] = r.n
+    counts = {m: sum(sum(v.values()) for k, v in sizes.items() if k[0] == m) for m in {k[0] for k in sizes}}
+    told = spark.sparkContext.broadcast(sizes)
+    kinds = {m.name: m.statistic for m in metrics}
+
+    def sampled(ranges: dict[str, dict[str, tuple[float, float]]]):
+        def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            metric, stratum, mine = key
+            pdf = pdf.sort_values(["x", "y", "xo", "yo"])
+            parts = told.value[metric, stratum]
+            n, c = np.array(list(parts.values())), pdf["c"].to_numpy()
+            of_stratum = np.random.default_rng(seed_of(seed, metric, stratum) & (1 << 128) - 1)
+            totals = of_stratum.multinomial(n.sum(), n / n.sum(), samples)[:, list(parts).index(mine)]
+            rng = np.random.default_rng(seed_of(seed, metric, stratum, str(mine)) & (1 << 128) - 1)
+            out, size = [], max(1, DRAWS // len(c))
+            for first in range(-1, samples, size):  # sample -1 is the cases themselves
+                last = min(samples, first + size)
+                w = rng.multinomial(totals[max(first, 0) : last], c / c.sum())
+                w = np.vstack([c[None, :], w]) if first < 0 else w
+                names = np.arange(first, last)
+                for side, of in (("x", "xo"), ("y", "yo")):
+                    v = pdf[side].to_numpy()
+                    if metric not in ranges:
+                        out.append(pd.DataFrame({"sample": names, "side": side, "value": w @ v, "w": w @ pdf[of].to_numpy()}))
+                        continue
+                    low, high = ranges[metric][side]
+                    out.append(pd.DataFrame({"sample": names, "side": side, "value": -np.inf, "w": w[:, v < low].sum(1).astype(float)}))
+                    near = (v >= low) & (v <= high)
+                    at, which = np.nonzero(w[:, near])
+                    out.append(pd.DataFrame({"sample": names[at], "side": side, "value": v[near][which], "w": w[:, near][at, which].astype(float)}))
+            return pd.concat(out).assign(metric=metric)[["metric", "sample", "side", "value", "w"]]
+
+        return draw
+
+    def drawn(of: list[str], ranges: dict) -> DataFrame:
+        return dealt.where(F.col("metric").isin(of)).groupBy("metric", "stratum", "part").applyInPandas(sampled(ranges), "metric string, sample int, side string, value double, w double")
+
+    sums, places = [m for m in counts if kinds[m] != "p95"], [m for m in counts if kinds[m] == "p95"]
+    ratio = F.when(F.sum("w") != 0, F.sum("value") / F.sum("w")).otherwise(0.0)
+    found = drawn(sums, {}).groupBy("metric", "sample", "side").agg(ratio.alias("v"))
+    width = 1.0
+    while places:
+        ranges = {}
+        for m in places:
+            near = width * (8 * math.sqrt(0.0475 / counts[m]) + 2e-4)  # 8 deviations of the rank, and what the approximate quantile may be off
+            low, high = max(0.0, 0.95 - near), min(1.0, 0.95 + near)
+            got = long.where(F.col("metric") == m).agg(*(F.percentile_approx(c, [low, high], 10_000).alias(c) for c in "xy")).first()
+            ranges[m] = {c: (got[c][0] if low > 0 else -math.inf, got[c][1] if high < 1 else math.inf) for c in "xy"}
+        listed = drawn(places, ranges).groupBy("metric", "sample", "side", "value").agg(F.sum("w").alias("w"))
+        upto = F.sum("w").over(Window.partitionBy("metric", "sample", "side").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        rank = F.create_map(*(F.lit(x) for m in places for x in (m, float(max(1, math.ceil(0.95 * counts[m]))))))
+        here = kept(listed.withColumn("upto", upto).groupBy("metric", "sample", "side").agg(F.min(F.when(F.col("upto") >= rank[F.col("metric")], F.col("value"))).alias("v")))
+        if here.where(F.col("v").isNull() | (F.col("v") == -math.inf)).limit(1).count() == 0:
+            found = found.unionByName(here)
+            break
+        width *= 4
+    sign = F.create_map(*(F.lit(x) for m in metrics for x in (m.name, 1.0 if m.better == "higher" else -1.0)))[F.col("metric")]
+    sided = found.groupBy("metric", "sample").agg(F.max(F.when(F.col("side") == "x", F.col("v"))).alias("baseline"), F.max(F.when(F.col("side") == "y", F.col("v"))).alias("candidate")).withColumn("delta", sign * (F.col("candidate") - F.col("baseline")))
+    own = lambda c: F.max(F.when(F.col("sample") < 0, F.col(c))).alias("improvement" if c == "delta" else c)
+    ordered = F.sort_array(F.collect_list(F.when(F.col("sample") >= 0, F.col("delta"))))  # ``samples`` numbers
+    at = lambda q: F.get("ordered", F.lit(min(samples - 1, max(0, math.floor(q * (samples - 1))))))
+    per_metric = familywise / len(metrics)
+    n = F.create_map(*(F.lit(x) for m in counts.items() for x in m))[F.col("metric")].cast("long")
+    whole = sided.groupBy("metric").agg(own("baseline"), own("candidate"), own("delta"), ordered.alias("ordered"))
+    return whole.select("metric", n.alias("n"), "baseline", "candidate", "improvement", at(per_metric).alias("low"), at(1 - per_metric).alias("high"), at(target).alias("target_low"))
+
+
 def hierarchical_intervals(rows: DataFrame, key: str, cluster: str, case: str, metric: Metric, samples: int, seed: int, level: float = 0.95) -> DataFrame:
     """(key, metric, n, clusters, baseline, candidate, improvement, low, high) where a case has several measurements: their mean is the case's, and whole clusters of cases are drawn."""
     per = rows.groupBy(key, cluster, case).agg(F.avg(metric.baseline).alias(metric.baseline), F.avg(metric.candidate).alias(metric.candidate))

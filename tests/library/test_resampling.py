@@ -106,6 +106,19 @@ def test_stratified_intervals(spark):
         assert r.n == len(mine) and near(r.improvement, sign * (value(m.candidate, m.candidate_of, whole) - value(m.baseline, m.baseline_of, whole)))
 
 
+def test_more_cases_than_units_are_drawn_in_parts(spark):
+    """The same values and, within the spread of 200 samples, the same ends as of single cases."""
+    metrics = [queries.RECALL, queries.NDCG, queries.LATENCY, queries.NUMBERS]
+    rows = queries.paired(spark, SF)
+    want = {r.metric: r for r in resampling.stratified_intervals(rows, "case_id", "stratum", metrics, 400, 7).collect()}
+    got = {r.metric: r for r in resampling.stratified_intervals(rows, "case_id", "stratum", metrics, 400, 7, units=10, part=20).collect()}
+    assert set(got) == set(want) == {m.name for m in metrics}
+    for m, r in got.items():
+        w = want[m]
+        assert r.n == w.n and near(r.baseline, w.baseline) and near(r.candidate, w.candidate) and near(r.improvement, w.improvement)
+        assert abs(r.low - w.low) < 0.3 * (w.high - w.low) and abs(r.high - w.high) < 0.3 * (w.high - w.low) and r.low <= r.target_low <= r.high
+
+
 def test_hierarchical_intervals(spark):
     of = defaultdict(list)
     for r in queries.paired(spark, SF).collect():
