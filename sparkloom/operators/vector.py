@@ -13,6 +13,8 @@ from .kept import kept
 
 #: Query vectors compared in one pass (8 bytes x dimensions each), all that driver and tasks hold; more go in further passes.
 QUERY_BLOCK = 8_192
+#: Queries and rows whose distances a task holds at once (8 bytes a pair).
+QUERIES, ROWS = 512, 2_048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,8 +42,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     """(query_id, vec_id, rank, distance): the k rows of least cosine distance to each query, ties by id.
 
     Queries are dealt by hash in blocks of about ``QUERY_BLOCK`` (their number is checked first). A block at a time is held by the
-    driver and broadcast; every task keeps its k best per query, so that a pass shuffles k rows per query and task,
-    never a row per pair. Of several blocks each one's result is kept before the next is read. Rows without a
+    driver and broadcast; every task keeps its k best per query (16 bytes each) and the distances of some queries to some rows, so that
+    its memory doesn't grow with the input, and a pass shuffles k rows per query and task, never a row per pair. Of several blocks each one's result is kept before the next is read. Rows without a
     vector or with a zero one are left out.
     """
     fields = vectors.schema
@@ -75,7 +77,7 @@ def _unit_block(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _best(block, k: int, exclude_self: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q, names = block.value
-        ids, dist = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        ids, dist = np.zeros((len(q), k), np.int64), np.full((len(q), k), np.inf)
         for pdf in frames:
             if not len(q) or not len(pdf):
                 continue
@@ -83,15 +85,32 @@ def _best(block, k: int, exclude_self: bool):
             length = np.linalg.norm(x, axis=1)
             good = length > 0
             x, own = x[good] / length[good][:, None], pdf["vec_id"].to_numpy()[good]
-            for i in range(0, len(x), 4_096):
-                d = np.round(1 - q @ x[i : i + 4_096].T, 9) + 0.0
-                if exclude_self:
-                    d[names[:, None] == own[None, i : i + 4_096]] = np.inf
-                ids = np.hstack([ids, np.broadcast_to(own[i : i + 4_096], d.shape)])
-                dist = np.hstack([dist, d])
-                order = np.lexsort((ids, dist))[:, :k]
-                ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+            for i in range(0, len(x), ROWS):
+                for j in range(0, len(q), QUERIES):
+                    d = np.round(1 - q[j : j + QUERIES] @ x[i : i + ROWS].T, 9) + 0.0
+                    if exclude_self:
+                        d[names[j : j + QUERIES, None] == own[None, i : i + ROWS]] = np.inf
+                    _merge(ids[j : j + QUERIES], dist[j : j + QUERIES], d, own[i : i + ROWS], k)
         keep = np.isfinite(dist)
-        yield pd.DataFrame({"query_id": np.repeat(names, keep.sum(1)), "vec_id": ids[keep], "distance": dist[keep]})
+        for j in range(0, len(q), QUERIES):
+            mine = keep[j : j + QUERIES]
+            yield pd.DataFrame({"query_id": np.repeat(names[j : j + QUERIES], mine.sum(1)), "vec_id": ids[j : j + QUERIES][mine], "distance": dist[j : j + QUERIES][mine]})
 
     return run
+
+
+def _merge(ids: np.ndarray, dist: np.ndarray, d: np.ndarray, own: np.ndarray, k: int) -> None:
+    """Put the distances ``d`` of rows ``own`` among each query's k best, in place; only those up to the k-th best so far are sorted."""
+    most = dist[:, -1]
+    if d.shape[1] > k:
+        most = np.fmin(most, np.partition(d, k - 1, axis=1)[:, k - 1])
+    at, col = np.nonzero((d <= most[:, None]) & np.isfinite(d))
+    changed = np.unique(at)
+    if not len(changed):
+        return
+    place = np.concatenate([at, np.repeat(changed, k)])
+    all_ids, all_dist = np.concatenate([own[col], ids[changed].ravel()]), np.concatenate([d[at, col], dist[changed].ravel()])
+    order = np.lexsort((all_ids, all_dist, place))
+    starts = np.searchsorted(place[order], changed)
+    best = order[starts[:, None] + np.arange(k)]
+    ids[changed], dist[changed] = all_ids[best], all_dist[best]
