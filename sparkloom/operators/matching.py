@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kept import kept
+
+#: Rows whose sketches a task holds, twice.
+BLOCK = 4_096
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -47,22 +56,74 @@ def binding_problems(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full").select(key, problem.alias("problem")).where("problem is not null")
 
 
-def similar_pairs(rows: DataFrame, least: float, tokens: Column, shared: int = 2) -> DataFrame:
+def similar_pairs(rows: DataFrame, least: float, tokens: Column, shared: int = 2, block: int = BLOCK) -> DataFrame:
     """(a, b, shared, score): pairs of rows (id, document_id, owner) of one owner and different documents whose token sets have a cosine of ``least`` or more.
 
-    Rows meet on the rarest tokens that such a pair must share (prefix filter): of n tokens all but the
-    ceil(least^2 n) - 1 most common.
+    Such sets differ in at most na + nb - 2 least sqrt(na nb) tokens, and their sizes by a factor of 1 / least^2 at most. A set's sketch
+    holds the parities of its tokens' hashes, two bits a token or more: two sketches never differ in more bits than the sets in tokens. Rows of an owner and a class of
+    size are dealt to blocks of about ``block`` rows; a task compares the sketches of two blocks, and only pairs that these leave meet with
+    their tokens. All pairs of like sizes are compared, which is quadratic, but no pair is shuffled before that, and a task's memory is bounded.
     """
-    sets = rows.select("id", "document_id", "owner", F.array_distinct(tokens).alias("tokens")).where(F.size("tokens") > 0)
-    exploded = sets.select("id", "owner", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    df = exploded.groupBy("owner", "token").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
-    prefix = exploded.join(df, ["owner", "token"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.lit(least * least) * F.col("n") - 1e-9) + 1).select("id", "owner", "token")
-    met = prefix.select(F.col("id").alias("a"), "owner", "token").join(prefix.select(F.col("id").alias("b"), "owner", "token"), ["owner", "token"]).where("a < b").select("a", "b").distinct()
+    floor = least - 5e-7  # scores are rounded to six digits
+    step = -math.log(floor)  # two classes, and what rounding adds, are the factor of sizes
+    texts = rows.select("id", "document_id", "owner", F.array_distinct(tokens).alias("tokens")).where(F.size("tokens") > 0)
+    hashed = texts.select("id", "document_id", "owner", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+    sketched = kept(hashed.mapInPandas(_sketches(step), rows.select("id", "document_id", "owner").schema.add("n", "long").add("class", "integer").add("sketch", "binary")))
+    sizes = sketched.where("owner is not null").groupBy("owner", "class").agg(F.ceil(F.count("*") / block).alias("parts"))
+    dealt = sketched.join(sizes, ["owner", "class"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts")).drop("parts")
+    blocks = sizes.select("owner", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    one, other = (blocks.select("owner", F.col("class").alias(f"{c}_class"), F.col("part").alias(f"{c}_part")) for c in "lr")
+    later = (F.col("l_class") < F.col("r_class")) | ((F.col("l_class") == F.col("r_class")) & (F.col("l_part") <= F.col("r_part")))
+    both = one.join(other, "owner").where(later & (F.col("r_class") <= F.col("l_class") + 2))
+    names = ["owner", "l_class", "l_part", "r_class", "r_part"]
+    sent = [dealt.withColumnsRenamed({"class": f"{c}_class", "part": f"{c}_part"}).join(both, ["owner", f"{c}_class", f"{c}_part"]).select(*names, "id", "document_id", "n", "sketch", F.lit(c == "l").alias("left")) for c in "lr"]
+    id_type = rows.schema["id"].dataType.simpleString()
+    met = kept(sent[0].unionByName(sent[1]).groupBy(*names).applyInPandas(_near_sketches(floor), f"a {id_type}, b {id_type}"))
+    asked = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = kept(rows.join(asked, "id", "left_semi").select("id", "document_id", F.array_distinct(tokens).alias("tokens")))
     side = lambda c: sets.select(F.col("id").alias(c), F.col("document_id").alias(f"d{c}"), F.col("tokens").alias(f"t{c}"))
-    both = met.join(side("a"), "a").join(side("b"), "b").where("da <> db").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
+    found = met.join(side("a"), "a").join(side("b"), "b").where("da <> db").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
     score = F.round(F.col("shared") / F.sqrt(F.size("ta") * F.size("tb")), 6)
-    return both.where(F.col("shared") >= shared).select("a", "b", "shared", score.alias("score")).where(F.col("score") >= least)
+    return found.where(F.col("shared") >= shared).select("a", "b", "shared", score.alias("score")).where(F.col("score") >= least)
+
+
+def _sketches(step: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            n = pdf["h"].map(len).to_numpy()
+            sizes = np.floor(np.log(n) / step + 1e-9).astype(int)
+            out = []
+            for h, c in zip(pdf["h"], sizes):
+                bits = 64 << max(0, math.ceil(math.log2(2 * math.exp((c + 1) * step) / 64)))  # the same for a class
+                out.append(np.packbits(np.bincount(np.asarray(h, np.int64) & bits - 1, minlength=bits) & 1).tobytes())
+            yield pdf.drop(columns="h").assign(n=n, **{"class": sizes}, sketch=out)
+
+    return run
+
+
+def _near_sketches(floor: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for mine in (pdf[pdf["left"]], pdf[~pdf["left"]]):
+            words = np.frombuffer(b"".join(mine["sketch"]), np.uint64).reshape(len(mine), -1) if len(mine) else np.zeros((0, 1), np.uint64)
+            sides.append((mine["id"].to_numpy(), mine["document_id"].to_numpy(), mine["n"].to_numpy(float), words))
+        (ids, docs, n, x), (ids2, docs2, n2, y) = sides
+        while x.shape[1] < y.shape[1]:  # a larger sketch folds to half its bits
+            y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+        y, same, found = np.ascontiguousarray(y.T), pdf["l_class"].iloc[0] == pdf["r_class"].iloc[0] and pdf["l_part"].iloc[0] == pdf["r_part"].iloc[0], []
+        for i in range(0, len(ids), 128):
+            apart = np.zeros((len(ids[i : i + 128]), len(ids2)), np.int32)
+            for w in range(len(y)):
+                apart += np.bitwise_count(x[i : i + 128, w, None] ^ y[w][None, :])
+            most = n[i : i + 128, None] + n2[None, :] - 2 * floor * np.sqrt(n[i : i + 128, None] * n2[None, :]) + 1e-6
+            a, b = np.nonzero(apart <= most)
+            a += i
+            good = (docs[a] != docs2[b]) & ((ids[a] < ids2[b]) if same else True)
+            found.append(np.stack([np.minimum(ids[a], ids2[b])[good], np.maximum(ids[a], ids2[b])[good]]))
+        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), int)
+        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+
+    return run
 
 
 def quota_selection(candidates: DataFrame, quotas: dict[str, int], seed: str) -> tuple[list[tuple[str, str, str]], dict[str, int]]:
@@ -77,9 +138,9 @@ def quota_selection(candidates: DataFrame, quotas: dict[str, int], seed: str) ->
     rows = candidates.where(F.col("stratum").isin(*quotas)).select("id", "stratum", "group", rank.alias("h"))
     best = rows.groupBy("stratum", "group").agg(F.min(F.struct("h", "id")).alias("b"))
     order = Window.partitionBy("stratum").orderBy(F.col("b")["h"], F.col("b")["id"])
-    kept = best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= slots).select("stratum", "group", F.col("b")["id"].alias("id"), "r").collect()
+    leading = best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= slots).select("stratum", "group", F.col("b")["id"].alias("id"), "r").collect()
     ranked: dict[str, list] = {s: [] for s in quotas}
-    for row in sorted(kept, key=lambda r: r["r"]):
+    for row in sorted(leading, key=lambda r: r["r"]):
         ranked[row["stratum"]].append(row)
     holder: dict[str, tuple[str, int]] = {}
     taken: dict[tuple[str, int], object] = {}
