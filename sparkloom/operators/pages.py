@@ -27,8 +27,9 @@ def degenerate(text: Column) -> Column:
     """A text of 40 characters or more that is one character for over 80 %, over 8000 long, or of 60 words or more of which under 35 % differ."""
     t = plain(text)
     body = F.replace(t, F.lit(" "), F.lit(""))
-    # Characters are counted one distinct character at a time, in the JVM.
-    top = F.array_max(F.transform(F.array_distinct(F.split(body, "")), lambda c: F.when(c == "", 0).otherwise(F.char_length(body) - F.char_length(F.replace(body, c, F.lit(""))))))
+    # A character of over 80 % of 20 or more stands three times in a row somewhere: only such ones are counted.
+    tripled = F.array_distinct(F.regexp_extract_all(body, F.lit(r"(?s)(.)\1\1"), F.lit(1)))
+    top = F.coalesce(F.array_max(F.transform(tripled, lambda c: F.char_length(body) - F.char_length(F.replace(body, c, F.lit(""))))), F.lit(0))
     words = F.split(F.lower(t), " ")
     few = (F.size(words) >= 60) & (F.size(F.array_distinct(words)) < 0.35 * F.size(words))
     return (F.char_length(t) >= 40) & ((top > 0.8 * F.char_length(body)) | (F.char_length(t) > 8000) | few)
