@@ -1,7 +1,7 @@
 """Structural chunking of a document's segments.
 
-The order of a document's segments decides its headings and chunks: windows over a document's
-rows, and folds over the texts between two headings.
+The order of a document's segments decides its headings and chunks: running sums and maxima over
+ranges of a document's rows, and one pass over the lengths of the texts between two headings.
 """
 
 from __future__ import annotations
@@ -9,33 +9,91 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kept import kept
+from .ordered import running_in_parts
+
 MAX_CHARS, MIN_CHARS = 4000, 200
 #: Beginnings of captions; a fixed value.
 CAPTION = r"(?i)^\s*(figure|fig\.?|рис\.?|рисунок|table|таблиц[аы]|схема|диаграмма)\s*\.?\s*\d"
 ARROW, TABLE_STEP = " → ", "таблица"
 #: Beyond every place in a document.
-LAST = (1 << 31) - 1
+LAST = (1 << 63) - 1
+
+
+def numbered(segments: DataFrame) -> DataFrame:
+    """Segments without their texts, numbered by ``nth`` in the order of each document; ``of`` names the texts (see ``texts_of``)."""
+    own = F.coalesce("source_text", F.lit(""))
+    rows = segments.select("document_id", "id", "idx", "kind", "heading_level", "page_idx", text_key(segments).alias("of"), F.char_length(own).alias("n"), (stripped(own) != "").alias("own"), ((F.col("kind") == "paragraph") & own.rlike(CAPTION)).alias("caption"), (F.coalesce("image", F.lit("")) != "").alias("stored"))
+    return kept(running_in_parts(rows, ["document_id"], ["idx"], sums={"nth": F.lit(1).cast("long")}))
+
+
+def text_key(segments: DataFrame) -> Column:
+    """A hash that names a segment's two texts: rows that share it have equal ones."""
+    return F.md5(F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("document_id", "idx", "id", "source_text", "translated_text") if c in segments.columns)))
+
+
+def texts_of(segments: DataFrame) -> DataFrame:
+    """(of, source_text, translated_text): one row for each ``text_key``."""
+    return segments.select(text_key(segments).alias("of"), "source_text", "translated_text").dropDuplicates(["of"])
 
 
 def heading_paths(segments: DataFrame) -> DataFrame:
     """(document_id, idx, path): headings with the path they open.
 
     A heading of level n replaces everything from place n of the path on; a level that
-    skips places leaves no holes. One fold per document over its headings only.
+    skips places leaves no holes.
     """
-    heads = segments.where("kind = 'heading'")
-    level = F.greatest(F.coalesce("heading_level", F.lit(1)), F.lit(1))
-    listed = heads.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("idx", level.alias("level"), F.trim("source_text").alias("title")))).alias("all"))
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("path"), F.expr("cast(array() as array<struct<idx:int,path:array<string>>>)").alias("out"))
+    return _paths(numbered(segments), segments).select("document_id", "idx", "path")
 
-    def step(acc: Column, h: Column) -> Column:
-        path = F.concat(F.slice(acc["path"], F.lit(1), F.least(h["level"] - 1, F.size(acc["path"]))), F.array(h["title"]))
-        return F.struct(path.alias("path"), F.concat(acc["out"], F.array(F.struct(h["idx"].alias("idx"), path.alias("path")))).alias("out"))
 
-    return listed.select("document_id", F.inline(F.aggregate("all", start, step)["out"]))
+def _paths(rows: DataFrame, segments: DataFrame) -> DataFrame:
+    """(document_id, idx, nth, path) of the headings among ``numbered`` rows.
+
+    A heading's depth is the least of its level and one more than the depth before: its number less the running maximum of number - level. The path holds
+    the last heading so far of every depth up to its own, found by a running maximum for each distinct depth; titles are joined at the end.
+    """
+    heads = rows.where("kind = 'heading'").select("document_id", "idx", "nth", "of", F.greatest(F.coalesce("heading_level", F.lit(1)), F.lit(1)).alias("level"))
+    heads = kept(running_in_parts(heads, ["document_id"], ["nth"], sums={"number": F.lit(1).cast("long")}))
+    deep = running_in_parts(heads, ["document_id"], ["nth"], maxima={"over": F.col("number") - F.col("level")})
+    deep = kept(deep.withColumn("depth", (F.col("number") - F.greatest(F.col("over"), F.lit(0))).cast("int")))
+    depths = sorted(r.depth for r in deep.select("depth").distinct().collect())
+    last = {f"_at{d}": F.when(F.col("depth") == d, F.struct("nth", "of")) for d in depths}
+    deep = running_in_parts(deep, ["document_id"], ["nth"], maxima=last)
+    steps = F.array(*(F.when(F.col("depth") >= d, F.col(f"_at{d}")["of"]) for d in depths)) if depths else F.array().cast("array<string>")
+    steps = deep.select("document_id", "idx", "nth", F.posexplode(F.slice(steps, F.lit(1), F.col("depth"))).alias("place", "of"))
+    titles = texts_of(segments.where("kind = 'heading'")).select("of", F.trim("source_text").alias("title"))
+    listed = steps.join(titles, "of").groupBy("document_id", "idx", "nth").agg(F.array_sort(F.collect_list(F.struct("place", "title"))).alias("path"))
+    return listed.select("document_id", "idx", "nth", F.transform("path", lambda x: x["title"]).alias("path"))
+
+
+def _fill(most: int, least: int):
+    """Rows sorted by document_id, stretch and nth get the number of their chunk within the stretch; nothing but the last row's state is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, part, held = None, 0, 0
+        for batch in batches:
+            parts = []
+            for *mine, n in zip(*(batch.column(c).to_pylist() for c in ("document_id", "stretch", "n"))):
+                if mine != key:
+                    key, part, held = mine, 0, 0
+                if held + n > most and held > least:
+                    part, held = part + 1, 0
+                held += n
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int32())], names=[*batch.schema.names, "part"])
+
+    return run
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """A join on keys that may be null on both sides."""
+    right = right.select(*(F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns))
+    on = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys]
+    return left.join(right, on, how).drop(*(f"_r_{c}" for c in keys))
 
 
 def chunked(segments: DataFrame, most: int = MAX_CHARS, least: int = MIN_CHARS) -> DataFrame:
@@ -46,55 +104,47 @@ def chunked(segments: DataFrame, most: int = MAX_CHARS, least: int = MIN_CHARS)
     together stay under half of ``least`` are left out; tables and images never are.
 
     Headings and images cut a document into stretches (a running count); a stretch's texts fill
-    chunks by a fold over their lengths. Chunks are numbered by the place where each is complete.
+    chunks in one pass over their lengths. Chunks are numbered by the place where each is complete. Places are found on rows without
+    texts, and by running sums over ranges: no task gathers a document; texts join their chunk at the end.
     """
-    in_order = Window.partitionBy("document_id").orderBy("idx")
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    rows = segments.withColumns({"next_kind": F.lead("kind").over(in_order), "next_source": F.lead("source_text").over(in_order), "next_other": F.lead("translated_text").over(in_order)})
-    own = stripped(F.coalesce("source_text", F.lit(""))) != ""
-    ahead = (F.col("next_kind") == "paragraph") & F.coalesce("next_source", F.lit("")).rlike(CAPTION)
-    image = F.col("kind") == "image"
-    rows = rows.withColumn("shown", image & (own | F.coalesce(ahead, F.lit(False)) | ~blank("image")))
-    rows = rows.withColumn("stretch", F.count_if(F.col("shown") | (F.col("kind") == "heading")).over(so_far)).withColumn("under", F.max(F.when(F.col("kind") == "heading", F.col("idx"))).over(so_far))
-    paths = heading_paths(segments).select("document_id", F.col("idx").alias("under"), "path")
-    rows = rows.join(paths, ["document_id", "under"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
-    begins = rows.groupBy("document_id", "stretch").agg(F.min("idx").alias("begin"))
-    ends = begins.select("document_id", (F.col("stretch") - 1).alias("stretch"), F.col("begin").alias("end"))
-
-    other = F.when(~blank("translated_text"), F.col("translated_text")).otherwise(F.coalesce("source_text", F.lit("")))
-    piece = F.struct("idx", F.coalesce("source_text", F.lit("")).alias("en"), other.alias("ru"), "page_idx", "id", "path")
-    texts = rows.where(~F.col("kind").isin("table", "image")).groupBy("document_id", "stretch").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-    start = F.struct(F.expr("cast(array() as array<int>)").alias("part"), F.lit(0).alias("now"), F.lit(0).alias("held"))
-
-    def fill(acc: Column, p: Column) -> Column:
-        n = F.char_length(p["en"])
-        full = (acc["held"] + n > most) & (acc["held"] > least)
-        now = acc["now"] + full.cast("int")
-        return F.struct(F.concat(acc["part"], F.array(now)).alias("part"), now.alias("now"), F.when(full, n).otherwise(acc["held"] + n).alias("held"))
-
-    filled = texts.select("document_id", "stretch", F.explode(F.arrays_zip("pieces", F.aggregate("pieces", start, fill)["part"].alias("part"))).alias("z")).select("document_id", "stretch", "z.part", "z.pieces.*")
-    line = F.array_sort(F.collect_list(F.struct("idx", "en", "ru", "id")))
-    made = filled.groupBy("document_id", "stretch", "part").agg(line.alias("lines"), F.min("idx").alias("first"), F.min("page_idx").alias("page_start"), F.max("page_idx").alias("page_end"), F.first("path").alias("path"))
-    following = F.lead("first").over(Window.partitionBy("document_id", "stretch").orderBy("part"))
-    made = made.withColumn("following", following).join(ends, ["document_id", "stretch"], "left").withColumn("at", F.coalesce("following", "end", F.lit(LAST)))
-    joined = lambda c, keep: stripped(F.array_join(F.transform(F.filter("lines", keep), lambda x: x[c]), "\n"))
-    sections = made.select("document_id", "at", F.lit(0).alias("later"), F.lit("section").alias("kind"), "path", joined("en", lambda x: x["en"] != "").alias("text_en"), joined("ru", lambda x: F.lit(True)).alias("text_ru"), "page_start", "page_end", F.col("lines.id").alias("segment_ids"))
-    sections = sections.where(F.char_length("text_en") + F.char_length("text_ru") >= least // 2)
-
-    named = F.when(own, F.struct(F.col("source_text").alias("en"), F.col("translated_text").alias("ru"))).when(ahead, F.struct(F.col("next_source").alias("en"), F.col("next_other").alias("ru")))
-    page = F.coalesce("page_idx", F.lit(0)) + 1
+    rows = numbered(segments)
+    # Only a caption that follows an image is of use to it.
+    captions = rows.where("caption").select("document_id", (F.col("nth") - 1).alias("nth"), F.col("of").alias("next_of"))
+    rows = _joined(rows, captions, ["document_id", "nth"])
+    image, table = F.col("kind") == "image", F.col("kind") == "table"
+    rows = rows.withColumn("shown", image & (F.col("own") | F.col("next_of").isNotNull() | F.col("stored")))
+    cuts = F.coalesce(F.col("shown") | (F.col("kind") == "heading"), F.lit(False))
+    rows = kept(running_in_parts(rows, ["document_id"], ["nth"], sums={"stretch": cuts.cast("long")}, maxima={"under": F.when(F.col("kind") == "heading", F.col("nth"))}))
+    ends = rows.groupBy("document_id", (F.col("stretch") - 1).alias("stretch")).agg(F.min("nth").alias("end"))
+
+    texts = rows.where(~F.col("kind").isin("table", "image")).select("document_id", "stretch", "nth", "n", "id", "page_idx", "under", "of")
+    sorted_texts = texts.repartition("document_id", "stretch").sortWithinPartitions("document_id", "stretch", "nth")
+    filled = kept(sorted_texts.mapInArrow(_fill(most, least), texts.withColumn("part", F.lit(0)).schema))
+    firsts = filled.groupBy("document_id", "stretch", "part").agg(F.min("nth").alias("first"))
+    parts = _joined(firsts, firsts.select("document_id", "stretch", (F.col("part") - 1).alias("part"), F.col("first").alias("following")), ["document_id", "stretch", "part"])
+    parts = _joined(parts, ends, ["document_id", "stretch"]).select("document_id", "stretch", "part", F.coalesce("following", "end", F.lit(LAST)).alias("at"))
+    pieces = _joined(filled, parts, ["document_id", "stretch", "part"], "inner").select("document_id", "at", F.lit(0).alias("later"), F.lit("section").alias("kind"), "under", "nth", "id", "page_idx", "of")
+    named = F.when(table | F.col("own"), F.col("of")).otherwise(F.col("next_of"))
+    singles = rows.where(table | F.col("shown")).select("document_id", F.col("nth").alias("at"), F.lit(1).alias("later"), "kind", "under", "nth", "id", "page_idx", named.alias("of"))
+
+    line = F.array_sort(F.collect_list(F.struct("nth", F.col("source_text").alias("en"), F.col("translated_text").alias("ru"), "id")))
+    made = pieces.unionByName(singles).join(texts_of(segments), "of", "left").groupBy("document_id", "at", "later").agg(F.first("kind").alias("kind"), F.first("under").alias("under"), line.alias("lines"), F.min("page_idx").alias("page_start"), F.max("page_idx").alias("page_end"))
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    other = lambda x: F.when(empty(x["ru"]) != "", x["ru"]).otherwise(empty(x["en"]))
+    joined = lambda texts: stripped(F.array_join(texts, "\n"))
+    only = F.col("lines")[0]
+    page = F.coalesce("page_start", F.lit(0)) + 1
     title = lambda text, words: F.coalesce(stripped(text), F.concat(F.lit(words[0]), page, F.lit(words[1])))
-    table = F.col("kind") == "table"
-    single = rows.where(table | F.col("shown")).withColumn("named", named)
-    source = stripped(F.coalesce("source_text", F.lit("")))
-    singles = single.select(
-        "document_id", F.col("idx").alias("at"), F.lit(1).alias("later"), "kind", F.when(table, F.concat("path", F.array(F.lit(TABLE_STEP)))).otherwise(F.col("path")).alias("path"),
-        F.when(table, source).otherwise(title(F.col("named")["en"], ("Figure (page ", ")"))).alias("text_en"), F.when(table, stripped(other)).otherwise(title(F.coalesce(F.nullif(F.col("named")["ru"], F.lit("")), F.col("named")["en"]), ("Рисунок (стр. ", ")"))).alias("text_ru"),
-        F.col("page_idx").alias("page_start"), F.col("page_idx").alias("page_end"), F.array("id").alias("segment_ids"),
-    )
-    place = F.row_number().over(Window.partitionBy("document_id").orderBy("at", "later")) - 1
-    return sections.unionByName(singles).select("document_id", place.alias("idx"), "kind", F.array_join("path", ARROW).alias("heading_path"), "text_en", "text_ru", "page_start", "page_end", "segment_ids")
+    text_en = F.when(F.col("kind") == "section", joined(F.filter(F.transform("lines", lambda x: empty(x["en"])), lambda t: t != ""))).when(table, stripped(empty(only["en"]))).otherwise(title(only["en"], ("Figure (page ", ")")))
+    text_ru = F.when(F.col("kind") == "section", joined(F.transform("lines", other))).when(table, stripped(other(only))).otherwise(title(F.coalesce(F.nullif(only["ru"], F.lit("")), only["en"]), ("Рисунок (стр. ", ")")))
+    made = made.select("document_id", "at", "later", "kind", "under", text_en.alias("text_en"), text_ru.alias("text_ru"), "page_start", "page_end", F.col("lines.id").alias("segment_ids"))
+    made = kept(made.where((F.col("kind") != "section") | (F.char_length("text_en") + F.char_length("text_ru") >= least // 2)))
+    order = running_in_parts(made.select("document_id", "at", "later", "under"), ["document_id"], ["at", "later"], sums={"nth": F.lit(1).cast("long")})
+    paths = _paths(rows, segments).select("document_id", F.col("nth").alias("under"), "path")
+    led = _joined(order, paths, ["document_id", "under"]).withColumn("path", F.coalesce("path", F.array().cast("array<string>"))).drop("under")
+    full = _joined(made, led, ["document_id", "at", "later"], "inner")
+    path = F.when(table, F.concat("path", F.array(F.lit(TABLE_STEP)))).otherwise(F.col("path"))
+    return full.select("document_id", (F.col("nth") - 1).cast("int").alias("idx"), "kind", F.array_join(path, ARROW).alias("heading_path"), "text_en", "text_ru", "page_start", "page_end", "segment_ids")
 
 
 def stripped(text: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kept import kept
+from .kept import measured
 
 RANGES = 64
 
@@ -56,7 +56,7 @@ def running_in_parts(rows: DataFrame, keys: list[str], order: list[str], sums: d
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(c).asc_nulls_first() for c in (*keys, *order, "_tie")]
     dealt = rows.withColumns({f"_{n}": c for n, c in (sums | maxima).items()} | {"_tie": F.monotonically_increasing_id()})
-    dealt = kept(dealt.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()))
+    dealt = measured(dealt.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()))
     inner = Window.partitionBy("_part", *keys).orderBy(*by[len(keys) :]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("_part", *keys).agg(F.count("*").alias("_c"), *(F.sum(f"_{n}").alias(f"_{n}") for n in sums), *(F.max(f"_{n}").alias(f"_{n}") for n in maxima))

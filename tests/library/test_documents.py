@@ -118,3 +118,56 @@ def test_stream_equals_batch(spark, tmp_path):
     # The last windows stay open until the watermark passes them; all that were closed agree.
     assert streamed.exceptAll(batch).count() == 0 and streamed.count() > 0
     assert events.sessions(table.withColumn("ts", F.col("ts").cast("timestamp"))).agg(F.sum("n")).first()[0] == table.count()
+
+
+def plain_chunks(rows, most, least):
+    """Chunks of one document by a loop: (kind, path, segment ids)."""
+    path, out, held, ids, under = [], [], 0, [], []
+    texts = {}
+
+    def close():
+        nonlocal held, ids
+        en, ru = ("\n".join(t for t in (texts[i][n] for i in ids) if t or n) for n in (0, 1))
+        if ids and len(en.strip()) + len(ru.strip()) >= least // 2:
+            out.append(("section", " → ".join(under), list(ids)))
+        held, ids = 0, []
+
+    for i, (_, ident, _, kind, level, _, text, other, image) in enumerate(rows):
+        after = rows[i + 1] if i + 1 < len(rows) else None
+        texts[ident] = (text or "", other or text or "")
+        if kind == "heading":
+            close()
+            path = [*path[: max(level or 1, 1) - 1], (text or "").strip()]
+        elif kind == "image":
+            if (text or "").strip() or image or (after and after[3] == "paragraph" and (after[6] or "").startswith("Figure ")):
+                close()
+                out.append(("image", " → ".join(path), [ident]))
+            continue
+        elif kind == "table":
+            out.append(("table", " → ".join([*path, "таблица"]), [ident]))
+            continue
+        if held + len(text or "") > most and held > least:
+            close()
+        held, ids, under = held + len(text or ""), [*ids, ident], path
+    close()
+    return out
+
+
+def test_chunks_equal_a_plain_loop_also_without_a_document_id(spark):
+    rng, rows = random.Random(5), {}
+    for name, n in (("a", 150), (None, 90), ("b", 1)):
+        rows[name] = []
+        for i in range(n):
+            kind = rng.choice(["heading", "paragraph", "paragraph", "paragraph", "table", "image"])
+            text = rng.choice([None, "", "Figure 3 pump", "w" * rng.randrange(1, 90)])
+            rows[name].append((name, f"{name}-{i}", 2 * i, kind, rng.choice([None, 0, 1, 2, 3, 5]) if kind == "heading" else None, i, text or ("x" if kind == "heading" else text), rng.choice([None, "", "д" * 30]), rng.choice([None, "k"])))
+    df = spark.createDataFrame([r for some in rows.values() for r in some], SEGMENT).repartition(7)
+    got = {}
+    for r in chunking.chunked(df, 120, 20).collect():
+        got.setdefault(r.document_id, {})[r.idx] = (r.kind, r.heading_path, r.segment_ids)
+    for name in rows:
+        want = plain_chunks(rows[name], 120, 20)
+        mine = got.get(name, {})
+        assert sorted(mine) == list(range(len(want)))
+        # A table stands where it is, a section where it is complete.
+        assert sorted(mine.values()) == sorted(want)
