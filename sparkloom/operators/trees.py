@@ -48,7 +48,10 @@ def built(segments: DataFrame, namespace: str) -> DataFrame:
     ``segments`` have document_id, id, idx, kind, heading_level, page_idx, source_text and source_ref. Ids are named by the document
     and the reference, repeats of a reference numbered by #1, #2 in their order. Ordinals count the children of a node.
     """
-    rows = parents(segments.where(F.col("kind").isin(*KINDS)))
+    # Of the texts only titles go along, none of them twice.
+    title = F.when(F.col("kind") == "heading", F.col("source_text"))
+    named = segments.where(F.col("kind").isin(*KINDS)).select("document_id", "id", "idx", "kind", "heading_level", "page_idx", "source_ref", title.alias("title"))
+    rows = parents(named)
     rows = running_in_parts(rows, ["document_id", "parent_idx"], ["idx"], sums={"ordinal": F.lit(1)})
     rows = running_in_parts(rows, ["document_id", "source_ref"], ["idx"], sums={"_seen": F.lit(1)})
     of = uuid5(F.lit(namespace), F.col("document_id").cast("string"))
@@ -57,8 +60,7 @@ def built(segments: DataFrame, namespace: str) -> DataFrame:
     # Only headings have children: the join's right side is the headings.
     heads = rows.where("kind = 'heading'").select(F.col("document_id").alias("_d"), F.col("idx").alias("_i"), F.col("stable_id").alias("_p"))
     nodes = rows.join(heads, F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("parent_idx") == F.col("_i")), "left")
-    title = F.when(F.col("kind") == "heading", F.col("source_text"))
-    nodes = nodes.select("document_id", "stable_id", F.coalesce("_p", "root_id").alias("parent_id"), (F.col("ordinal") - 1).cast("long").alias("ordinal"), "kind", F.col("level").alias("heading_level"), title.alias("title"), F.col("page_idx").alias("page_start"), F.col("id").alias("segment_id"), "idx")
+    nodes = nodes.select("document_id", "stable_id", F.coalesce("_p", "root_id").alias("parent_id"), (F.col("ordinal") - 1).cast("long").alias("ordinal"), "kind", F.col("level").alias("heading_level"), "title", F.col("page_idx").alias("page_start"), F.col("id").alias("segment_id"), "idx")
     roots = rows.select("document_id", "root_id").distinct()
     none = {c: F.lit(None).cast(nodes.schema[c].dataType) for c in ("parent_id", "heading_level", "title", "page_start", "segment_id", "idx")}
     roots = roots.select("document_id", F.col("root_id").alias("stable_id"), F.lit(0).cast("long").alias("ordinal"), F.lit("document").alias("kind")).withColumns(none)

@@ -62,6 +62,15 @@ def test_built_tree(spark):
         assert [n.idx for n in sorted(below, key=lambda n: n.ordinal)] == sorted((n.idx for n in below), key=lambda i: -1 if i is None else i)
 
 
+def test_only_titles_of_the_texts_are_carried_through_the_ranges(spark, monkeypatch):
+    carried, run = [], trees.running_in_parts
+    monkeypatch.setattr(trees, "running_in_parts", lambda rows, *a, **k: carried.append(rows) or run(rows, *a, **k))
+    df = spark.createDataFrame(made(random.Random(1), "d", 40), SEGMENTS).withColumn("source_ref", F.col("id"))
+    titles = {n.segment_id: n.title for n in trees.built(df, NAMESPACE).collect() if n.segment_id}
+    assert titles == {r.id: r.source_text if r.kind == "heading" else None for r in df.collect()}
+    assert carried and not any("source_text" in rows.columns for rows in carried)
+
+
 def walk(nodes):
     below = {}
     for node, parent, ordinal in nodes:
