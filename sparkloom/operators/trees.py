@@ -8,11 +8,15 @@ that double their reach number it. No task holds a document, and none folds over
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import chunking
-from .kept import kept
+from .kept import kept, measured
 from .ordered import running_in_parts
 
 #: Kinds of segments that become nodes; fixed values.
@@ -143,26 +147,101 @@ def tree_chunks(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     return made.join(per, ["document_id", "idx"]).withColumn("idx", (F.col("nth") - 1).cast("int")).drop("nth")
 
 
-def relation_groups(links: DataFrame, namespace: Column, label: str) -> DataFrame:
+#: Links of one document that a task holds at once.
+TOGETHER = 500_000
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block, least block linked to it) of links between blocks."""
+    blocks, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(blocks))
+    while True:
+        least = np.minimum(low[x], low[y])
+        new = low.copy()
+        for side in (x, y):
+            np.minimum.at(new, side, least)
+            np.minimum.at(new, low[side], least)
+        new = new[new]
+        if (new == low).all():
+            return blocks, blocks[low]
+        low = new
+
+
+def _grouped(most: int):
+    """Links sorted by document become (document_id, blocks, whole): groups of linked blocks, the first their least; a document at a partition's edge, or of more than ``most`` links, may have more of them elsewhere."""
+
+    def of(doc: list, x: np.ndarray, y: np.ndarray, place: np.ndarray, whole: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+        # Blocks of several documents side by side: a document's number and its block become one number.
+        names, code = np.unique(np.concatenate([x, y]), return_inverse=True)
+        base = place * len(names)
+        block, low = _forest(base + code[: len(x)], base + code[len(x) :])
+        order = np.lexsort((block, low))
+        block, low = block[order], low[order]
+        starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        mine = low[starts] // len(names)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(low)].astype(np.int32)), pa.array(names[block % len(names)], pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([doc[i] for i in mine], kind), lists, pa.array(whole[mine])], names=["document_id", "blocks", "whole"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kind, cut = None, None, True  # cut: the first document held may have had links before
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            kind = table.schema.field(0).type
+            held = table if held is None else pa.concat_tables([held, table])
+            code = held.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+            place = code.indices.to_numpy(zero_copy_only=False)
+            last = int(np.searchsorted(place, place[-1]))
+            if last == 0 and held.num_rows < most:
+                continue
+            out, stop = held, last or held.num_rows
+            out, held = out.slice(0, stop), out.slice(stop)
+            whole = np.full(len(code.dictionary), True)
+            whole[0] = not cut
+            cut = last == 0
+            if cut:
+                whole[0] = False
+            yield of(code.dictionary.to_pylist(), out.column(1).to_numpy(), out.column(2).to_numpy(), place[:stop], whole, kind)
+        if held is not None and held.num_rows:
+            code = held.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+            place = code.indices.to_numpy(zero_copy_only=False)
+            yield of(code.dictionary.to_pylist(), held.column(1).to_numpy(), held.column(2).to_numpy(), place, np.full(len(code.dictionary), False), kind)
+
+    return run
+
+
+def relation_groups(links: DataFrame, namespace: Column, label: str, most: int = TOGETHER) -> DataFrame:
     """(document_id, block, group_id) for links (document_id, a, b) between blocks: connected ones share a group, named by label and their sorted numbers.
 
-    Components by least labels; a component's numbers are gathered to name it, so that a name needs as many numbers as its group has blocks.
+    Links are range partitioned and sorted by document; a task finds the groups of every document that lies between its edges, and
+    replaces the links of the others by those of each group's blocks to its least. Only these go through components by least labels, over rounds. A component's numbers are
+    gathered to name it, so that a name needs as many numbers as its group has blocks.
     """
-    ends = links.select("document_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    both = kept(ends.unionByName(ends.select("document_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ends = links.select("document_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("document_id is not null and a is not null and b is not null")
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = ends.repartitionByRange(parts, "document_id", "a", "b").sortWithinPartitions("document_id")
+    kind = ends.schema["document_id"].dataType.simpleString()
+    groups = measured(ordered.mapInArrow(_grouped(most), f"document_id {kind}, blocks array<bigint>, whole boolean"))
+    # A document may lie between the edges of no task, so that all of its parts say so.
+    rest = groups.where("not whole").select("document_id", F.col("blocks")[0].alias("a"), F.explode("blocks").alias("b"))
+    open_groups = _components(rest).groupBy("document_id", "low").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
+    every = groups.where("whole").select("document_id", "blocks").unionByName(open_groups.select("document_id", "blocks"))
+    numbers = F.array_join(F.transform("blocks", lambda b: b.cast("string")), ",")
+    return every.select("document_id", F.explode("blocks").alias("block"), uuid5(namespace, F.concat(F.lit(f"{label}:"), numbers)).alias("group_id"))
+
+
+def _components(ends: DataFrame) -> DataFrame:
+    """(document_id, block, low): the least block that links (document_id, a, b) lead to."""
+    both = measured(ends.unionByName(ends.select("document_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy("document_id", F.col("a").alias("block")).agg(F.least(F.min("a"), F.min("b")).alias("low"))
     while True:
-        labels = kept(labels)
+        labels = measured(labels)
         near = both.join(labels.withColumnRenamed("block", "b"), ["document_id", "b"]).groupBy("document_id", F.col("a").alias("block")).agg(F.min("low").alias("near"))
         new = labels.join(near, ["document_id", "block"]).withColumn("new", F.least("low", "near"))
         # A label's own label: long chains halve every round.
         onward = new.select("document_id", F.col("block").alias("new"), F.col("new").alias("onward"))
-        new = kept(new.join(onward, ["document_id", "new"], "left").select("document_id", "block", "low", F.least("new", F.coalesce("onward", "new")).alias("new")))
+        new = measured(new.join(onward, ["document_id", "new"], "left").select("document_id", "block", "low", F.least("new", F.coalesce("onward", "new")).alias("new")))
         changed = not new.where("new <> low").isEmpty()
         labels = new.select("document_id", "block", F.col("new").alias("low"))
         if not changed:
-            break
-    numbers = F.array_join(F.transform(F.array_sort(F.collect_list("block")), lambda b: b.cast("string")), ",")
-    groups = labels.groupBy("document_id", "low").agg(numbers.alias("numbers"))
-    named = groups.select("document_id", "low", uuid5(namespace, F.concat(F.lit(f"{label}:"), "numbers")).alias("group_id"))
-    return labels.join(named, ["document_id", "low"]).select("document_id", "block", "group_id")
+            return labels

@@ -8,7 +8,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import trees
+from sparkloom.operators import evaluation, trees
 from sparkloom.plans.trees import NAMESPACE
 
 SEGMENTS = "document_id string, id string, idx int, kind string, heading_level int, page_idx int, source_text string, translated_text string, image string"
@@ -110,6 +110,30 @@ def test_relation_groups(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [4, 25, 500_000])
+def test_relation_groups_of_documents_of_any_size(spark, most):
+    rng = random.Random(most)
+    rows = [(d, rng.randrange(60), rng.randrange(60)) for d in range(40) for _ in range(rng.choice([1, 5, 30]))] + [(99, i, i + 1) for i in range(300)]
+    group = {}
+    for d, a, b in rows:
+        mine = group.setdefault((d, a), {a}) | group.setdefault((d, b), {b})
+        for x in mine:
+            group[d, x] = mine
+    links = spark.createDataFrame(rows, "document_id long, a int, b int").repartition(7)
+    got = {(r.document_id, r.block): r.group_id for r in trees.relation_groups(links, F.lit(NAMESPACE), "x", most).collect()}
+    assert got == {(d, x): str(uuid.uuid5(uuid.UUID(NAMESPACE), "x:" + ",".join(map(str, sorted(mine))))) for (d, x), mine in group.items()}
+
+
+def test_ancestors_of_chains_and_rings_in_few_rounds(spark, monkeypatch):
+    links = [(i, i - 1 if i % 10 else None) for i in range(2000)] + [(5000 + i, 5000 + (i + 1) % 7) for i in range(7)] + [(6000, 5003), (6001, 9999)]
+    want = {i: (i - i % 10, i % 10) for i in range(2000) if i % 10} | {5000 + i: (None, None) for i in range(7)} | {6000: (None, None), 6001: (9999, 1)}
+    steps, keep = [], evaluation.measured
+    monkeypatch.setattr(evaluation, "measured", lambda df: steps.append(1) or keep(df))
+    got = {r.child: (r.root, r.depth) for r in evaluation.ancestors(spark.createDataFrame(links, "child long, parent long").repartition(5)).collect()}
+    assert got == want
+    assert len(steps) <= 8  # by the longest chain of 9 links; 12 by the number of rows
+
+
 @pytest.fixture
 def segments(spark):
     rows = [(d, f"{d}{i}", i, "heading" if i % 4 == 0 else "table" if i % 5 == 4 else "paragraph", 1 if i % 4 == 0 else None, i, f"{d} {i} " + "word " * 60, None, None) for d in ("good", "twice", "lost", "cut", "hash") for i in range(12)]
