@@ -80,6 +80,21 @@ def test_scores_count_phrases(spark):
     assert got == {1: want[0], 2: want[1]}
 
 
+def test_searches_keep_no_postings(spark, monkeypatch):
+    """What is kept grows with the queries, not with the documents that hold their words; many units take a shuffle and give the same rows."""
+    seen = []
+    kept = fulltext.kept
+    monkeypatch.setattr(fulltext, "kept", lambda df: seen.append(kept(df)) or seen[-1])
+    frame = spark.range(3000).selectExpr("id", "concat(if(id % 500 = 0, 'alpha beta', 'beta alpha'), ' gamma delta') as text")
+    asked = spark.createDataFrame([(1, '"alpha beta" gamma'), (2, "delta gamma"), (3, "-beta or missing"), (4, '"beta gamma" -delta')], "q int, said string")
+    find = lambda: sorted(map(tuple, fulltext.matches(frame, asked, "id", "text", "q", "said", 5).collect()))
+    got = find()
+    assert [r[:3] for r in got] == [*((1, 500 * i, i + 1) for i in range(5)), *((2, i, i + 1) for i in range(5))]
+    assert max(df.count() for df in seen) < 100
+    monkeypatch.setattr(fulltext, "BROADCAST_UNITS", 0)
+    assert find() == got
+
+
 def test_match_all_equals_a_plain_search(spark):
     rng = random.Random(11)
     docs = [(i, " ".join(rng.choice(["the", "pump", "oil", "seal", "of", "gear"]) for _ in range(rng.randrange(9)))) for i in range(80)]
