@@ -90,7 +90,7 @@ def _best(block, k: int, exclude_self: bool):
                     d = np.round(1 - q[j : j + QUERIES] @ x[i : i + ROWS].T, 9) + 0.0
                     if exclude_self:
                         d[names[j : j + QUERIES, None] == own[None, i : i + ROWS]] = np.inf
-                    _merge(ids[j : j + QUERIES], dist[j : j + QUERIES], d, own[i : i + ROWS], k)
+                    merge(ids[j : j + QUERIES], dist[j : j + QUERIES], d, own[i : i + ROWS], k)
         keep = np.isfinite(dist)
         for j in range(0, len(q), QUERIES):
             mine = keep[j : j + QUERIES]
@@ -99,7 +99,7 @@ def _best(block, k: int, exclude_self: bool):
     return run
 
 
-def _merge(ids: np.ndarray, dist: np.ndarray, d: np.ndarray, own: np.ndarray, k: int) -> None:
+def merge(ids: np.ndarray, dist: np.ndarray, d: np.ndarray, own: np.ndarray, k: int) -> None:
     """Put the distances ``d`` of rows ``own`` among each query's k best, in place; only those up to the k-th best so far are sorted."""
     most = dist[:, -1]
     if d.shape[1] > k:

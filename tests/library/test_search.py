@@ -35,6 +35,25 @@ def test_pruning_leaves_common_terms_out(spark, monkeypatch):
     assert partial.count() == 30 * 100  # of 30 * 5100 rows
 
 
+@pytest.mark.parametrize("k", [2, 30])
+def test_best_documents_keep_a_row_a_document(spark, monkeypatch, k):
+    """No posting is kept, whatever is asked; the rows are those of pruned postings, copies by id and texts without a word left out."""
+    seen = []
+    for name in ("kept", "measured"):
+        keep = getattr(lexical, name, None)
+        monkeypatch.setattr(lexical, name, lambda df, keep=keep: seen.append(keep(df)) or seen[-1], raising=False)
+    monkeypatch.setattr(lexical, "SCORES", 50, raising=False)
+    rng = random.Random(k)
+    texts = [" ".join(rng.choice(["the", "pump", "oil", "seal", "of", "gear", "насос", "x1"]) for _ in range(rng.randrange(40))) for _ in range(150)]
+    docs = spark.createDataFrame([*enumerate(texts + texts[:50]), (500, None), (501, "")], "id int, text string")
+    asked = spark.createDataFrame([("a", "the pump of OIL"), ("b", "Насос, насос x1"), ("c", "none"), ("d", ""), ("e", None), ("f", "gear the seal pump oil of")], "q string, said string")
+    find = lambda df: sorted(map(tuple, lexical.bm25(df, asked, "id", "text", "q", "said", k).collect()))
+    got = find(docs)
+    assert {r[0] for r in got} == {"a", "b", "f"} and max(df.count() for df in seen) <= 202
+    assert got == [(q, int(i), *r) for q, i, *r in find(docs.withColumn("id", F.format_string("%03d", "id")))]
+    assert lexical.bm25(docs, asked.where("q = 'd'"), "id", "text", "q", "said", k).count() == 0 == lexical.bm25(docs.limit(0), asked, "id", "text", "q", "said", k).count()
+
+
 def plain(query, docs, ending):
     """Alternatives of (negated, words) by reading the query from left to right."""
     import re
