@@ -2,13 +2,13 @@
 
 A segment's parent is the nearest heading before it of a smaller level (any heading, for
 other kinds): running maxima by level give all nearest smaller values at once. Preorder
-is list ranking: every node is entered and left once, these steps form one list a tree, and pointers
-that double their reach number it. No task holds a document, and none folds over it.
+follows from the sizes of subtrees, and both from pointers to ancestors that double their reach.
+No task holds a document, and none folds over it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,48 +72,63 @@ def built(segments: DataFrame, namespace: str) -> DataFrame:
 
 
 def preorder(nodes: DataFrame, tree: str, node: str, parent: str, ordinal: str) -> DataFrame:
-    """(tree, node, place): every node's place in its tree's preorder, from 0; children by ordinal, then id. A node that no root leads to has place null.
+    """(tree, node, place): every node's place in its tree's preorder, from 0; children by ordinal, then id. A node that no root leads to has place null."""
+    return placed(nodes.select(tree, node, parent, ordinal), tree, node, parent, ordinal).select(tree, node, "place")
 
-    List ranking over steps: entering a node leads to entering its first child, or else to leaving it; leaving it leads to entering the next
-    sibling, or else to leaving the parent. Pointers jump to their target's target, adding the entries they pass, as many rounds as the logarithm
-    of the longest list; every step has one predecessor at any distance, so the joins have no hot key.
+
+def placed(nodes: DataFrame, tree: str, node: str, parent: str, ordinal: str) -> DataFrame:
+    """``nodes`` with their ``place`` (see ``preorder``), kept.
+
+    A node stands behind its parent and all that is below its earlier siblings. Two passes over pointers to ancestors, which jump to their target's target and so
+    take as many rounds as the logarithm of the depth: the first sums up what is below every node, the second what stands between it and the root.
+    Nodes go by numbers, so that a round moves three of them a node, and those whose pointers left the tree are not moved. A node may have
+    any share of the children: sums are taken before the shuffle, and pointers meet one row of their target by an equi-join that AQE splits.
     """
-    rows = kept(nodes.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(ordinal).alias("ordinal")))
-    # Siblings by running counts, as one node may have any share of the children.
-    placed = kept(running_in_parts(rows.where("parent is not null"), ["tree", "parent"], ["ordinal", "node"], sums={"nth": F.lit(1)}).select("tree", "node", "parent", "nth"))
-    following = placed.select("tree", "parent", (F.col("nth") - 1).alias("nth"), F.col("node").alias("next"))
-    left = placed.join(following, ["tree", "parent", "nth"], "left")
-    leave = left.select("tree", "node", F.lit(1).alias("side"), F.coalesce("next", "parent").alias("to"), F.when(F.col("next").isNotNull(), 0).otherwise(1).alias("to_side"))
-    ends = rows.where("parent is null").select("tree", "node", F.lit(1).alias("side"), F.lit(None).cast(rows.schema["node"].dataType).alias("to"), F.lit(1).alias("to_side"))
-    first = placed.where("nth = 1").select("tree", F.col("parent").alias("node"), F.col("node").alias("child"))
-    enter = rows.join(first, ["tree", "node"], "left").select("tree", "node", F.lit(0).alias("side"), F.coalesce("child", "node").alias("to"), F.when(F.col("child").isNotNull(), 0).otherwise(1).alias("to_side"))
-    # ahead: nodes entered from this step on, itself included, up to but without the step it points to.
-    steps = kept(enter.unionByName(leave).unionByName(ends).withColumn("ahead", (1 - F.col("side")).cast("long")))
-    done, open_steps = steps.where("to is null"), steps.where("to is not null")
-    limit, reach = steps.count(), 1
-    while reach < 2 * limit:
-        target = done.unionByName(open_steps).select("tree", F.col("node").alias("to"), F.col("side").alias("to_side"), F.col("to").alias("t2"), F.col("to_side").alias("s2"), F.col("ahead").alias("more"))
-        jumped = open_steps.join(target, ["tree", "to", "to_side"]).select("tree", "node", "side", F.col("t2").alias("to"), F.col("s2").alias("to_side"), (F.col("ahead") + F.col("more")).alias("ahead"))
-        jumped = kept(jumped)
-        done, open_steps = kept(done.unionByName(jumped.where("to is null"))), jumped.where("to is not null")
-        if open_steps.isEmpty():
+    rows = measured(nodes.withColumn("_no", F.monotonically_increasing_id()))
+    names = rows.select(F.col(tree).alias("_tree"), F.col(node).alias("_node"), F.col("_no").alias("up"))
+    children = rows.where(F.col(parent).isNotNull()).select(F.col(tree).alias("_of"), F.col(parent).alias("_parent"), "_no", F.col(ordinal).alias("ordinal"), F.col(node).alias("node"))
+    # Nodes of a missing parent drop out here.
+    children = measured(children.join(names, F.col("_of").eqNullSafe(F.col("_tree")) & (F.col("_parent") == F.col("_node"))).select("_no", "up", "ordinal", "node"))
+    roots = rows.where(F.col(parent).isNull()).select("_no", F.lit(None).cast("long").alias("up"))
+
+    def jumped(at: DataFrame, sums: str) -> tuple[DataFrame, DataFrame]:
+        """Rows (_no, up, sums) whose pointers have a target, and these with the pointer and sums of their target as far, more."""
+        going = at.where("up is not null")
+        return going, going.join(at.select(F.col("_no").alias("up"), F.col("up").alias("far"), F.col(sums).alias("more")), "up")
+
+    # size: the node and what is below it, as far as its pointer reaches.
+    at = measured(roots.unionByName(children.select("_no", "up")).withColumn("size", F.lit(1).cast("long")))
+    left, rounds = at.where("up is not null").count(), 0
+    while left:
+        going, far = jumped(at, "size")
+        below = going.groupBy(F.col("up").alias("_no")).agg(F.sum("size").alias("below"))
+        pointers = at.where("up is null").select("_no", "up").unionByName(far.select("_no", F.col("far").alias("up")))
+        sized = at.select("_no", "size").join(below, "_no", "left").select("_no", (F.col("size") + F.coalesce("below", F.lit(0))).alias("size"))
+        at, before, rounds = measured(pointers.join(sized, "_no")), left, rounds + 1
+        left = at.where("up is not null").count()
+        # As long as a way leads to a root, some pointer leaves the tree in every round: the rest are rings and what hangs on them.
+        if left == before:
             break
-        reach *= 2
-    total = rows.groupBy("tree").agg(F.count("*").alias("n"))
-    entered = done.where("side = 0").select("tree", "node", "ahead")
-    reached = entered.groupBy("tree").agg(F.max("ahead").alias("n"))
-    place = entered.join(reached, "tree").select("tree", "node", (F.col("n") - F.col("ahead")).alias("place"))
-    return rows.join(total.select("tree"), "tree", "left_semi").select("tree", "node").join(place, ["tree", "node"], "left").select(F.col("tree").alias(tree), F.col("node").alias(node), "place")
+
+    # place: what stands between the node and its pointer's target.
+    sizes = at.where("up is null").select("_no", "size")
+    ordered = running_in_parts(children.join(sizes, "_no"), ["up"], ["ordinal", "node"], sums={"upto": F.col("size")})
+    at = measured(roots.withColumn("place", F.lit(0).cast("long")).unionByName(ordered.select("_no", "up", (F.col("upto") - F.col("size") + 1).alias("place"))))
+    for _ in range(rounds):
+        going, far = jumped(at, "place")
+        at = measured(at.where("up is null").unionByName(far.select("_no", F.col("far").alias("up"), (F.col("place") + F.col("more")).alias("place"))))
+    return measured(rows.join(at.where("up is null").select("_no", "place"), "_no", "left").drop("_no"))
 
 
 def coverage_problems(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     """(document_id, problem, n): unknown, repeated, uncovered segments, nodes without a way to a root, other than one root; by document."""
+    nodes = nodes if "place" in nodes.columns else placed(nodes, "document_id", "stable_id", "parent_id", "ordinal")
     refs = nodes.where("segment_id is not null").groupBy("document_id", "segment_id").agg(F.count("*").alias("times"))
     mine = segments.select("document_id", F.col("id").alias("segment_id"), F.lit(1).alias("mine"))
     both = mine.join(refs, ["document_id", "segment_id"], "full")
     told = F.when(F.col("mine").isNull(), "unknown segment").when(F.col("times").isNull(), "segment not covered").when(F.col("times") > 1, "segment covered twice")
     roots = nodes.groupBy("document_id").agg(F.count_if(F.col("parent_id").isNull()).alias("n")).where("n <> 1").select("document_id", F.lit("not one root").alias("problem"), "n")
-    lost = preorder(nodes, "document_id", "stable_id", "parent_id", "ordinal").where("place is null").groupBy("document_id").agg(F.count("*").alias("n")).select("document_id", F.lit("node without a way to the root").alias("problem"), "n")
+    lost = nodes.where("place is null").groupBy("document_id").agg(F.count("*").alias("n")).select("document_id", F.lit("node without a way to the root").alias("problem"), "n")
     return both.select("document_id", told.alias("problem")).where("problem is not null").groupBy("document_id", "problem").agg(F.count("*").alias("n")).unionByName(roots).unionByName(lost)
 
 
@@ -125,26 +140,26 @@ def input_hash(segments: DataFrame) -> DataFrame:
 
 
 def in_tree_order(segments: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``segments`` of documents without a coverage problem, idx replaced by the place in the tree's preorder and heading_level by the node's."""
-    order = preorder(nodes, "document_id", "stable_id", "parent_id", "ordinal")
-    at = nodes.where("segment_id is not null").join(order, ["document_id", "stable_id"]).select("document_id", F.col("segment_id").alias("id"), "place", F.col("heading_level").alias("_level"), "stable_id")
-    good = segments.join(coverage_problems(segments, nodes).select("document_id").distinct(), "document_id", "left_anti")
+    """``segments`` of documents without a coverage problem, idx replaced by the place in the tree's preorder and heading_level by the node's, and with its stable_id."""
+    nodes = nodes if "place" in nodes.columns else placed(nodes, "document_id", "stable_id", "parent_id", "ordinal")
+    at = nodes.where("segment_id is not null").select("document_id", F.col("segment_id").alias("id"), "place", F.col("heading_level").alias("_level"), "stable_id")
+    # Kept with their size: few documents are broadcast, so that the others' segments aren't shuffled by document.
+    bad = measured(coverage_problems(segments, nodes).select("document_id").distinct())
+    good = segments.join(bad, "document_id", "left_anti")
     level = F.when(F.col("kind") == "heading", F.col("_level")).otherwise(F.col("heading_level"))
     return good.join(at, ["document_id", "id"]).withColumns({"idx": (F.col("place") - 1).cast("int"), "heading_level": level.cast("int")}).drop("place", "_level")
 
 
-def tree_chunks(segments: DataFrame, nodes: DataFrame) -> DataFrame:
+def tree_chunks(segments: DataFrame, nodes: DataFrame, translated: Callable[[Column], Column] | None = None) -> DataFrame:
     """Chunks (document_id, idx, kind, heading_path, text_en, text_ru, page_start, page_end, segment_ids, tree_node_ids) in the tree's order.
 
     Chunks are numbered by their first segment's place. Documents whose tree doesn't cover every segment
-    once have none; ``coverage_problems`` says why.
+    once have none; ``coverage_problems`` says why. ``translated``: see ``chunking.chunked``. Order and chunks are found without the texts.
     """
-    ordered = kept(in_tree_order(segments, nodes))
-    made = kept(chunking.chunked(ordered))
-    places = made.select("document_id", "idx", F.posexplode("segment_ids").alias("n", "id")).join(ordered.select("document_id", "id", F.col("idx").alias("at"), "stable_id"), ["document_id", "id"])
-    per = places.groupBy("document_id", "idx").agg(F.min("at").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("n", "stable_id"))), lambda x: x["stable_id"]).alias("tree_node_ids"))
-    per = running_in_parts(per, ["document_id"], ["first"], sums={"nth": F.lit(1)}).drop("first")
-    return made.join(per, ["document_id", "idx"]).withColumn("idx", (F.col("nth") - 1).cast("int")).drop("nth")
+    tree = placed(nodes.select("document_id", "stable_id", "parent_id", "ordinal", "heading_level", "segment_id"), "document_id", "stable_id", "parent_id", "ordinal")
+    rows = chunking.numbered(in_tree_order(chunking.outlines(segments, translated), tree))
+    chunks = chunking.planned(rows, ["first"], also=("stable_id",)).withColumn("tree_node_ids", F.col("lines.stable_id"))
+    return chunking.written(chunks, rows, segments, translated, ("tree_node_ids",))
 
 
 #: Links of one document that a task holds at once.

@@ -57,7 +57,7 @@ def heap(rows: DataFrame) -> DataFrame:
     """Nodes of that tree, each document's root without a segment."""
     from ..operators.ordered import running_in_parts
 
-    r = running_in_parts(rows, ["document_id"], ["idx"], sums={"r": F.lit(1)})
+    r = running_in_parts(rows.select("document_id", "idx", "id", "heading_level"), ["document_id"], ["idx"], sums={"r": F.lit(1)})
     nodes = r.select("document_id", F.concat(F.lit("n"), F.col("r").cast("string")).alias("stable_id"), F.concat(F.lit("n"), F.floor((F.col("r") + 1) / 3).cast("string")).alias("parent_id"), (-F.col("r")).alias("ordinal"), F.col("heading_level").alias("heading_level"), F.col("id").alias("segment_id"))
     root = rows.select("document_id").distinct().select("document_id", F.lit("n0").alias("stable_id"), F.lit(0).cast("long").alias("ordinal"))
     return nodes.unionByName(root, allowMissingColumns=True)
@@ -93,6 +93,6 @@ def sta9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("chk4_tree_chunks")
 def chk4_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of sources in the order of that tree."""
-    rows = segments(spark, sf_dir).withColumns({"idx": F.col("idx").cast("int"), "translated_text": F.upper("source_text"), "image": F.lit(None).cast("string"), "id": F.col("id").cast("string")})
+    rows = segments(spark, sf_dir).withColumns({"idx": F.col("idx").cast("int"), "image": F.lit(None).cast("string"), "id": F.col("id").cast("string")})
     nodes = heap(rows)
-    return trees.tree_chunks(rows, nodes)
+    return trees.tree_chunks(rows, nodes, translated=F.upper)

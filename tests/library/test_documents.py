@@ -171,3 +171,44 @@ def test_chunks_equal_a_plain_loop_also_without_a_document_id(spark):
         assert sorted(mine) == list(range(len(want)))
         # A table stands where it is, a section where it is complete.
         assert sorted(mine.values()) == sorted(want)
+
+
+def test_lengths_without_texts_equal_those_of_joined_texts(spark):
+    rng = random.Random(9)
+    bits = ["", " ", "\n", "\u00a0", "\u2003\t", "a", "ж b", "\u0085", "x\ny", "\u200b"]
+    lists = [["".join(rng.choices(bits, k=rng.randrange(4))) for _ in range(rng.randrange(6))] for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lists)], "i int, texts array<string>")
+    # Extents are found text by text, as columns.
+    each = df.select("i", F.posexplode("texts").alias("n", "t")).withColumn("x", chunking._extent(F.col("t"))).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("n", "t", "x"))).alias("l"))
+    got = each.select("l", chunking._joined_length(F.transform("l", lambda y: y["x"])).alias("length"), F.char_length(chunking.stripped(F.array_join(F.transform("l", lambda y: y["t"]), "\n"))).alias("want")).collect()
+    assert len(got) > 200 and [r.length for r in got] == [r.want for r in got]
+
+
+def plain_texts(rows):
+    """Texts of a document's only section."""
+    strip = lambda t: t.strip(" \n\u00a0")
+    en = strip("\n".join(t for _, t, _ in rows if t))
+    return en, strip("\n".join(r or t or "" for _, t, r in rows)), [i for i, *_ in rows]
+
+
+@pytest.mark.parametrize("section_chunks", [1, 64])
+def test_short_sections_repeated_segments_and_long_sections(spark, monkeypatch, section_chunks):
+    monkeypatch.setattr(chunking, "SECTION_CHUNKS", section_chunks, raising=False)
+    docs = {
+        "short": [("a", " x\u00a0", None), ("b", "\n", "")],  # 1 and 1 characters
+        "white": [("a", " " * 50, None), ("b", "x", None)],
+        "enough": [("a", "x" * 4, None), ("b", "", None), ("c", "\n", None), ("d", "y ", None)],  # 7 and 9 with the lines between
+        "other": [("a", None, "z" * 20), ("b", None, None)],
+        "same": [("a", "s" * 9, None)] * 3,  # one segment three times
+    }
+    rows = [(d, i, 0 if d == "same" else n, "paragraph", None, n, t, r, None) for d, some in docs.items() for n, (i, t, r) in enumerate(some)]
+    rows += [("long", f"{n}", n, "heading" if n == 0 else "table", 1 if n == 0 else None, n, f"t{n}" * 20, None, None) for n in range(9)]
+    got = {}
+    for r in chunking.chunked(spark.createDataFrame(rows, SEGMENT), 120, 32).collect():
+        got.setdefault(r.document_id, []).append(r)
+    want = {d: plain_texts(some) for d, some in docs.items()}
+    want = {d: x for d, x in want.items() if len(x[0]) + len(x[1]) >= 16}
+    assert set(want) == {"enough", "other", "same"}
+    assert {d: (r.text_en, r.text_ru, r.segment_ids) for d, (r, *more) in got.items() if d != "long" and not more} == want
+    long = sorted(got["long"], key=lambda r: r.idx)
+    assert [r.segment_ids for r in long] == [[str(n)] for n in (*range(1, 9), 0)] and [r.heading_path for r in long] == ["t0" * 20 + " → таблица"] * 8 + ["t0" * 20]

@@ -8,7 +8,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import evaluation, trees
+from sparkloom.operators import chunking, evaluation, ordered, trees
 from sparkloom.plans.trees import NAMESPACE
 
 SEGMENTS = "document_id string, id string, idx int, kind string, heading_level int, page_idx int, source_text string, translated_text string, image string"
@@ -102,6 +102,17 @@ def test_preorder_equals_recursion(spark):
     assert {(r.tree, r.node): r.place for r in trees.preorder(df, "tree", "node", "parent", "ordinal").collect()} == want
 
 
+def test_preorder_in_as_many_rounds_as_the_depth_asks_for(spark, monkeypatch):
+    kept = []
+    for name in ("kept", "measured"):
+        monkeypatch.setattr(trees, name, lambda df, keep=getattr(trees, name): kept.append(df) or keep(df))
+    nodes = [(i, (i - 1) // 30 if i else None, -i) for i in range(900)]
+    df = spark.createDataFrame([("t", *x) for x in nodes] + [(None, *x) for x in nodes[:40]], "tree string, node int, parent int, ordinal int").repartition(3)
+    got = {(r.tree, r.node): r.place for r in trees.preorder(df, "tree", "node", "parent", "ordinal").collect()}
+    assert got == {("t", k): v for k, v in walk(nodes).items()} | {(None, k): v for k, v in walk(nodes[:40]).items()}
+    assert len(kept) <= 10  # by the depth of 2, not by the length of the walk
+
+
 def test_relation_groups(spark):
     links = spark.createDataFrame([("d", i, i + 1) for i in range(1, 60)] + [("d", 100, 90), ("d", 7, 7), ("e", 1, 2), ("e", 3, 3)], "document_id string, a int, b int")
     got = {(r.document_id, r.block): r.group_id for r in trees.relation_groups(links, F.lit(NAMESPACE), "x").collect()}
@@ -166,6 +177,22 @@ def test_tree_chunks_follow_the_tree(spark, segments):
     assert all([f"n{s[4:]}" for s in r.segment_ids] == r.tree_node_ids for r in good)
 
 
+def test_tree_chunks_keep_no_texts_and_carry_none_through_ranges(spark, segments, monkeypatch):
+    nodes = nodes_of(spark, segments)
+    seen = []
+    for module, names in ((trees, ("kept", "measured")), (chunking, ("kept", "measured", "running_in_parts")), (ordered, ("measured",))):
+        for name in names:
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, lambda df, *a, of=getattr(module, name), **k: seen.append(df.columns) or of(df, *a, **k))
+    stored = trees.tree_chunks(segments.withColumn("translated_text", F.upper("source_text")), nodes).collect()
+    assert len(stored) == 10 and all("WORD WORD" in r.text_ru and "word word" in r.text_en for r in stored)
+    assert len(seen) > 10
+    assert not [c for columns in seen for c in columns if "text" in c]
+    # A translation that is made of the source gives the same rows.
+    made = trees.tree_chunks(segments.drop("translated_text"), nodes, translated=F.upper).collect()
+    assert {(r.document_id, r.idx): r for r in made} == {(r.document_id, r.idx): r for r in stored}
+
+
 def test_input_hash_sees_every_field(spark, segments):
     whole = {r.document_id: r.input_hash for r in trees.input_hash(segments).collect()}
     for column, value in (("idx", F.col("idx") + 1), ("source_text", F.lit(None).cast("string")), ("page_idx", F.lit(None).cast("int")), ("kind", F.lit("x"))):
